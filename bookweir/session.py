@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-_PACKAGE = Path(__file__).resolve().parent
-_ARCHIVE = f"{_PACKAGE.name}-src.zip"
+import bookweir
 
 
 def build_session(app_name: str = "bookweir", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,13 +27,13 @@ def build_session(app_name: str = "bookweir", master: str | None = None, **conf:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give a session what the jobs need: UTC, and this package on every Python worker."""
+    """Give a session what the jobs need: UTC, and this package's functions on every Python worker.
+
+    Functions travel by value, so the package need not be installed on the
+    executors.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    context = spark.sparkContext
-    if not any(str(path).endswith(_ARCHIVE) for path in context.listFiles):
-        folder = tempfile.mkdtemp(prefix="bookweir-ship-")
-        archive = shutil.make_archive(f"{folder}/{_ARCHIVE[:-4]}", "zip", _PACKAGE.parent, _PACKAGE.name)
-        context.addPyFile(archive)
+    cloudpickle.register_pickle_by_value(bookweir)
     return spark
 
 
