@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The expressions run unchanged in Spark SQL and in DuckDB.
@@ -49,25 +49,57 @@ BOOK_PAGE_COLUMNS = [
   ELSE '<html><head></head><body><p>nothing</p></body></html>' END AS html""",
 ]
 
+REQUEST_URL_COLUMNS = [
+    "CAST(floor(event_id / 5) AS BIGINT) AS request_id",
+    "event_id",
+    """CASE WHEN event_id % 7 = 3 THEN concat('not a url ', CAST(event_id AS STRING))
+       WHEN event_id % 11 = 0 THEN concat('ftp://files.example.com/', CAST(event_id AS STRING))
+       ELSE concat('https://d', CAST(user_id AS STRING), '.example.com/b/', CAST(event_id AS STRING)) END AS url""",
+]
+REQUEST_COLUMNS = [
+    """CASE request_id % 6 WHEN 0 THEN 'goodreads' WHEN 1 THEN 'amazon' WHEN 2 THEN 'google_books'
+       WHEN 3 THEN 'openlibrary' WHEN 4 THEN 'unknown' ELSE 'elsewhere' END AS source""",
+    "request_id % 13 AS priority",
+    "concat('batch ', CAST(request_id AS STRING)) AS metadata",
+]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def crawl_log(events: DataFrame) -> DataFrame:
-    """Request outcomes derived from an event table (batch or stream)."""
-    return events.selectExpr(*CRAWL_LOG_COLUMNS)
+def crawl_log(events: DataFrame, *extra: Column) -> DataFrame:
+    """Request outcomes derived from an event table (batch or stream), with extra columns of it."""
+    return events.select(*[F.expr(column) for column in CRAWL_LOG_COLUMNS], *extra)
 
 
 def book_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Rendered book pages of six kinds, built from `part` and `supplier`."""
+    """Rendered book pages of six kinds, built from `part` and `supplier`.
+
+    Rendering and reading a page costs far more than moving the few columns it
+    is made of, so the rows are spread over all cores first.
+    """
     supplier = table(spark, folder, "supplier")
     suppliers = supplier.select(F.count("*")).scalar()
-    part = table(spark, folder, "part").withColumn("suppkey", F.col("p_partkey") % suppliers)
-    joined = part.join(supplier, F.col("suppkey") == F.col("s_suppkey"))
+    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    spread = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    part = spread.withColumn("suppkey", F.col("p_partkey") % suppliers)
+    names = supplier.select("s_suppkey", "s_name")
+    joined = part.join(names, F.col("suppkey") == F.col("s_suppkey"))
     return joined.selectExpr(*BOOK_PAGE_COLUMNS)
 
 
+def scrape_requests(events: DataFrame) -> DataFrame:
+    """Requests of five URLs each, some of them not acceptable."""
+    return (
+        events.selectExpr(*REQUEST_URL_COLUMNS)
+        .groupBy("request_id")
+        .agg(F.sort_array(F.collect_list(F.struct("event_id", "url"))).alias("u"))
+        .selectExpr("*", *REQUEST_COLUMNS)
+        .select("request_id", F.transform("u", lambda x: x["url"]).alias("urls"), "source", "priority", "metadata")
+    )
+
+
 def dirty_documents(documents: DataFrame) -> DataFrame:
     """Documents with line breaks, entities and control characters put in."""
     dirty = F.replace(F.col("text"), F.lit(" "), F.lit(" \n"))
