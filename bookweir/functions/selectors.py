@@ -21,7 +21,7 @@ _SIMPLE = re.compile(
 )
 
 
-class Test(NamedTuple):
+class AttrTest(NamedTuple):
     attr: str
     op: str  # has, eq, contains, token
     value: str = ""
@@ -31,12 +31,12 @@ class Simple(NamedTuple):
     """One element test: a tag (None for any) and attribute tests."""
 
     tag: str | None
-    tests: tuple[Test, ...] = ()
+    tests: tuple[AttrTest, ...] = ()
 
 
 def parse(css: str) -> list[list[Simple]]:
     """Alternatives, each a chain of element tests from the outermost inwards."""
-    return [[_simple(word) for word in part.split()] for part in css.split(",")]
+    return [[_simple(word) for word in part.split() or [""]] for part in css.split(",")]
 
 
 def _simple(word: str) -> Simple:
@@ -48,10 +48,10 @@ def _simple(word: str) -> Simple:
         if m["tag"]:
             tag = None if m["tag"] == "*" else m["tag"].lower()
         elif m["cls"]:
-            tests.append(Test("class", "token", m["cls"]))
+            tests.append(AttrTest("class", "token", m["cls"]))
         else:
             op = {None: "has", "=": "eq", "*=": "contains"}[m["op"]]
-            tests.append(Test(m["attr"].lower(), op, m["value"] or ""))
+            tests.append(AttrTest(m["attr"].lower(), op, m["value"] or ""))
     if end != len(word) or not word:
         raise ValueError(f"unsupported selector: {word!r}")
     return Simple(tag, tuple(tests))

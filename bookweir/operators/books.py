@@ -10,7 +10,7 @@ from bookweir.functions.arrays import hold, let
 from bookweir.functions.urls import is_http_url, resolve_url
 from bookweir.operators.dom import shred
 from bookweir.operators.html import METADATA_KEEP, STRUCTURED_KEEP, attr, with_metadata, with_structured_items
-from bookweir.schemas import BOOK_METADATA_RANGES, BOOK_RANGES, METADATA, SOURCES
+from bookweir.schemas import METADATA
 
 # The selector rules and limits for pages without structured data.
 AUTHOR_CSS = '[class*="author"], [class*="Author"], .author, .Author'
@@ -287,38 +287,6 @@ def with_defaults(found: DataFrame, run_time: Column | None = None) -> DataFrame
     )
 
 
-def _range_reasons(columns: list[str], prefix: str, ranges: dict) -> list[Column]:
-    reasons = []
-    for name, (low, high) in ranges.items():
-        if name not in columns:
-            continue
-        value = F.col(f"{prefix}{name}")
-        bad = (value < low) if high is None else ~value.between(low, high)
-        reasons.append(F.when(bad, F.lit(f"{name} out of range")))
-    return reasons
-
-
-def book_reasons(found: DataFrame) -> Column:
-    """Reasons why a book row breaks the model, an empty array if none."""
-    columns = found.columns
-    reasons = [F.when(F.col("metadata.title").isNull(), F.lit("title missing"))]
-    reasons += _range_reasons([f.name for f in METADATA.fields], "metadata.", BOOK_METADATA_RANGES)
-    reasons += _range_reasons(columns, "", BOOK_RANGES)
-    for name in ("cover_image_url", "source_url"):
-        url = F.col(f"metadata.{name}")
-        reasons.append(F.when(url.isNotNull() & ~is_http_url(url), F.lit(f"{name} is no http url")))
-    if "primary_source" in columns:
-        reasons.append(F.when(~F.col("primary_source").isin(SOURCES), F.lit("unknown source")))
-    return F.array_compact(F.array(*reasons))
-
-
-def validate_books(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into rows that satisfy the model and quarantined rows with `reasons`."""
-    checked = found.withColumn("reasons", book_reasons(found))
-    bad = F.size("reasons") > 0
-    return checked.filter(~bad).drop("reasons"), checked.filter(bad)
-
-
 def _is_filled(value: Column, type_name: str) -> Column:
     if type_name == "array":
         return F.coalesce(F.size(value) > 0, F.lit(False))

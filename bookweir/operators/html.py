@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from bookweir.functions import selectors
 from bookweir.functions.arrays import hold, with_runs
-from bookweir.functions.selectors import Simple, Test
+from bookweir.functions.selectors import Simple, AttrTest
 from bookweir.functions.urls import domain_key, resolve_url
 from bookweir.operators.dom import shred
 
-LINK_KEEP = [Simple("a", (Test("href", "has"),))]
-IMAGE_KEEP = [Simple("img", (Test("src", "has"),))]
+LINK_KEEP = [Simple("a", (AttrTest("href", "has"),))]
+IMAGE_KEEP = [Simple("img", (AttrTest("src", "has"),))]
 METADATA_KEEP = selectors.element_tests("meta", "title", "link[rel]")
 JSON_LD_CSS = 'script[type="application/ld+json"]'
 STRUCTURED_KEEP = selectors.element_tests(JSON_LD_CSS, "[itemtype]", "[itemprop]")

@@ -19,11 +19,13 @@ def ordered_chunks(rows: DataFrame, key: str, order: list[str], chunks: int | No
     `_pos` grows with (key, order) but leaves gaps between chunks. The result is
     checkpointed: chunk numbers are read by more than one pass and must be the
     same in each, also after an executor is lost. (key, order) must be unique.
+    There are as many chunks as shuffle partitions, at least one per core.
     """
-    use_checkpoint_dir(rows.sparkSession)
+    spark = rows.sparkSession
+    use_checkpoint_dir(spark)
     columns = [key, *order]
-    ranged = rows.repartitionByRange(chunks, *columns) if chunks else rows.repartitionByRange(*columns)
-    numbered = ranged.sortWithinPartitions(*columns).select(
+    chunks = chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    numbered = rows.repartitionByRange(chunks, *columns).sortWithinPartitions(*columns).select(
         "*", F.spark_partition_id().alias("_chunk"), F.monotonically_increasing_id().alias("_pos")
     )
     return numbered.checkpoint()

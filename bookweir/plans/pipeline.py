@@ -1,0 +1,38 @@
+"""The whole path of a crawl as one job: requests and fetches in, results and their statistics out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bookweir.operators import outcomes
+from bookweir.operators.books import completeness, extract_books
+from bookweir.sources.requests import expand_requests, validate_requests
+
+
+def scrape_results(fetches: DataFrame) -> DataFrame:
+    """One result per fetch: status, error fields, size and book.
+
+    `fetches` has page_id, url, source, http_status, exception_class, html and
+    any further columns. The pages are read once and the raw text is dropped
+    there, so no later step moves it.
+    """
+    judged = outcomes.error_fields(outcomes.classify_fetch(fetches.withColumn("body", F.col("html")))).drop("body")
+    sized = judged.withColumn("data_size_bytes", F.octet_length("html").cast("bigint"))
+    readable = (F.col("status") == "success") & (F.col("data_size_bytes") > 0)
+    found = extract_books(sized.withColumn("html", F.when(readable, F.col("html"))))
+    lacking = (F.col("status") == "success") & (F.col("data_size_bytes") > 0) & F.col("metadata").isNull()
+    return found.withColumn("status", F.when(lacking, "partial").otherwise(F.col("status"))).withColumn(
+        "data_completeness", F.when(F.col("metadata").isNotNull(), completeness()).otherwise(F.lit(0.0))
+    )
+
+
+def scrape_batch(requests: DataFrame, fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results of the accepted tasks, and the rejected tasks with reasons.
+
+    Tasks meet results after extraction, when a row is small. A task whose URL
+    was not fetched has a null status.
+    """
+    accepted, rejected = validate_requests(expand_requests(requests))
+    results = scrape_results(fetches).drop("source")
+    return accepted.join(results, "url", "left"), rejected

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bookweir.functions.text import clean_text
 from bookweir.functions.times import epoch_micros
 from bookweir.functions.urls import domain_key, resolve_url
-from bookweir.operators import adaptive, books, dom, html, limits, metrics, outcomes, queue, stats
+from bookweir.operators import adaptive, books, dom, html, limits, metrics, outcomes, queue, stats, validate
 from bookweir.session import prepare
 from bookweir.sources import requests as rq
 from bookweir.sources.pages import load_pages, stream_pages
@@ -611,7 +611,7 @@ def _book_validate(spark, folder):
         .withField("review_count", k % 9 - 1)
         .withField("source_url", F.when(k % 10 == 0, F.lit("ftp://x/y")).otherwise(F.col("metadata.source_url"))),
     ).withColumn("confidence_score", k % 6 / 4)
-    accepted, bad = books.validate_books(changed)
+    accepted, bad = validate.validate_books(changed)
     return (
         accepted.select("page_id", F.lit("").alias("reasons"))
         .unionByName(bad.select("page_id", _joined("reasons").alias("reasons")))
