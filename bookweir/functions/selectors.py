@@ -1,7 +1,7 @@
 """The CSS subset in use: tag, .class, [a], [a="v"], [a*="v"], descendant, comma.
 
 A selector becomes plain data, which serves twice: as a native predicate over
-node columns and as the `keep` list that tells the page reader which elements
+elements and as the `keep` list that tells the page reader which elements
 to emit.
 """
 
@@ -10,8 +10,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from bookweir.functions.arrays import quote
 
 _SIMPLE = re.compile(
     r"""(?P<tag>^[A-Za-z][\w-]*|^\*)
@@ -57,28 +56,28 @@ def _simple(word: str) -> Simple:
     return Simple(tag, tuple(tests))
 
 
-def matches(simple: Simple, tag: Column, attrs: Column) -> Column:
-    """The element test as a native predicate; never null."""
-    hit = F.lit(True) if simple.tag is None else tag == simple.tag
+def predicate(simples: list[Simple], node: str | None = None) -> str:
+    """SQL text: whether an element passes any of the tests; never null.
+
+    `node` is a struct, by default the row itself.
+    """
+    prefix = f"{node}." if node else ""
+    return "(" + " OR ".join(_all_of(simple, prefix) for simple in simples) + ")" if simples else "false"
+
+
+def _all_of(simple: Simple, prefix: str) -> str:
+    checks = [] if simple.tag is None else [f"{prefix}tag = {quote(simple.tag)}"]
     for test in simple.tests:
-        value = F.try_element_at(attrs, F.lit(test.attr))
+        found, value = f"try_element_at({prefix}attrs, {quote(test.attr)})", quote(test.value)
         if test.op == "has":
-            check = value.isNotNull()
+            checks.append(f"{found} IS NOT NULL")
         elif test.op == "eq":
-            check = value == test.value
+            checks.append(f"coalesce({found} = {value}, false)")
         elif test.op == "token":
-            check = F.array_contains(F.split(value, r"[ \t\n\f\r]+"), test.value)
+            checks.append(rf"coalesce(array_contains(split({found}, r'[ \t\n\f\r]+'), {value}), false)")
         else:
-            check = value.contains(test.value) if test.value else F.lit(False)
-        hit = hit & F.coalesce(check, F.lit(False))
-    return hit
-
-
-def any_match(simples: list[Simple], tag: Column, attrs: Column) -> Column:
-    hit = F.lit(False)
-    for simple in simples:
-        hit = hit | matches(simple, tag, attrs)
-    return hit
+            checks.append(f"coalesce(contains({found}, {value}), false)" if test.value else "false")
+    return "(" + " AND ".join(checks or ["true"]) + ")"
 
 
 def element_tests(*css: str) -> list[Simple]:

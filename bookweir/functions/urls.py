@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bookweir.functions.arrays import let
+from bookweir.functions.arrays import let, struct
 
 # RFC 3986, appendix B: scheme, authority, path, query, fragment.
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -16,122 +16,95 @@ _HIERARCHICAL = [
 ]
 
 
-def _tidy(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+_NO_TEXT = "cast(array() AS array<string>)"
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _PARTS, group)
+def _tidy(url: str) -> str:
+    return rf"regexp_replace(regexp_replace({url}, r'^[\x00-\x20]+', ''), r'[\t\r\n]', '')"
 
 
-def _without_last(items: Column) -> Column:
-    return F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
+def _part(url: str, group: int) -> str:
+    return f"regexp_extract({url}, r'{_PARTS}', {group})"
 
 
-def _remove_dots(segments: Column) -> Column:
-    """Fold `.` and `..` away; a trailing one leaves a directory."""
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == ".", acc)
-        .when(seg == "..", _without_last(acc))
-        .otherwise(F.concat(acc, F.array(seg))),
+def _split(url: str) -> str:
+    parts = struct(
+        scheme=f"lower({_part('u', 1)})",
+        authority=_part("u", 2),
+        path=_part("u", 3),
+        query=_part("u", 4),
+        fragment=_part("u", 5),
     )
-    tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.array_join(F.concat(kept, tail), "/")
-
-
-def _segments(base_path: Column, path: Column) -> Column:
-    """Path segments of a reference; a relative one starts in the base's directory."""
-    directory = let(
-        F.split(base_path, "/"),
-        lambda parts: F.when(F.element_at(parts, -1) == "", parts).otherwise(_without_last(parts)),
-    )
-    relative = let(
-        F.concat(directory, F.split(path, "/")),
-        lambda parts: F.filter(parts, lambda seg, i: (i == 0) | (i == F.size(parts) - 1) | (seg != "")),
-    )
-    return F.when(path.startswith("/"), F.split(path, "/")).otherwise(relative)
-
-
-def _merge_path(base_path: Column, path: Column) -> Column:
-    merged = let(_segments(base_path, path), _remove_dots)
-    return F.coalesce(F.nullif(merged, F.lit("")), F.lit("/"))
-
+    return let("u", _tidy(url), parts)
 
-def _prefixed(prefix: str, text: Column) -> Column:
-    return F.when(text != "", F.concat(F.lit(prefix), text)).otherwise(F.lit(""))
 
-
-def _assemble(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
-    rooted = F.when((authority != "") & (path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        _prefixed("//", authority),
-        rooted,
-        path,
-        _prefixed("?", query),
-        _prefixed("#", fragment),
-    )
+def _without_last(items: str) -> str:
+    return f"slice({items}, 1, greatest(size({items}) - 1, 0))"
 
 
-def _resolve(base: Column, ref: Column) -> Column:
-    """Join two split URLs that share a hierarchical scheme."""
-    own = ref["authority"] != ""
-    here = (ref["path"] == "") & ~own
-    target = F.struct(
-        F.when(own, ref["authority"]).otherwise(base["authority"]).alias("authority"),
-        F.when(own, ref["path"])
-        .when(here, base["path"])
-        .otherwise(_merge_path(base["path"], ref["path"]))
-        .alias("path"),
-        F.when(here & (ref["query"] == ""), base["query"]).otherwise(ref["query"]).alias("query"),
+def _merged_path(base: str, path: str) -> str:
+    """Path of a reference: a relative one starts in the base's directory, dots are folded away."""
+    directory = let(
+        "d", f"split({base}, '/')", f"CASE WHEN element_at(d, -1) = '' THEN d ELSE {_without_last('d')} END"
     )
-    scheme = F.when(ref["scheme"] != "", ref["scheme"]).otherwise(base["scheme"])
-    return let(target, lambda t: _assemble(scheme, t["authority"], t["path"], t["query"], ref["fragment"]))
-
-
-def _split(url: Column) -> Column:
-    names = ["authority", "path", "query", "fragment"]
-    return let(
-        _tidy(url),
-        lambda u: F.struct(
-            F.lower(_part(u, 1)).alias("scheme"), *[_part(u, i).alias(name) for i, name in enumerate(names, 2)]
-        ),
+    relative = let(
+        "p",
+        f"concat({directory}, split({path}, '/'))",
+        "filter(p, (seg, i) -> i = 0 OR i = size(p) - 1 OR seg <> '')",
     )
-
-
-def resolve_url(base: Column, ref: Column) -> Column:
-    """Absolute form of `ref` against `base`; `ref` unchanged without a base."""
-
-    def joined(base_parts: Column, ref_parts: Column) -> Column:
-        related = (ref_parts["scheme"] == "") | (ref_parts["scheme"] == base_parts["scheme"])
-        hierarchical = base_parts["scheme"].isin("", *_HIERARCHICAL)
-        return F.when(related & hierarchical, _resolve(base_parts, ref_parts)).otherwise(ref)
-
-    resolved = let(
-        F.struct(_split(base).alias("base"), _split(ref).alias("ref")), lambda p: joined(p["base"], p["ref"])
+    segments = f"CASE WHEN startswith({path}, '/') THEN split({path}, '/') ELSE {relative} END"
+    kept = f"""aggregate(segs, {_NO_TEXT}, (acc, seg) -> CASE WHEN seg = '.' THEN acc
+      WHEN seg = '..' THEN {_without_last('acc')} ELSE concat(acc, array(seg)) END)"""
+    tail = f"CASE WHEN element_at(segs, -1) IN ('.', '..') THEN array('') ELSE {_NO_TEXT} END"
+    return f"coalesce(nullif({let('segs', segments, f"array_join(concat({kept}, {tail}), '/')")}, ''), '/')"
+
+
+def _prefixed(prefix: str, text: str) -> str:
+    return f"CASE WHEN {text} <> '' THEN concat('{prefix}', {text}) ELSE '' END"
+
+
+_TARGET = struct(
+    scheme="CASE WHEN parts.r.scheme <> '' THEN parts.r.scheme ELSE parts.b.scheme END",
+    authority="CASE WHEN parts.r.authority <> '' THEN parts.r.authority ELSE parts.b.authority END",
+    path=f"""CASE WHEN parts.r.authority <> '' THEN parts.r.path WHEN parts.r.path = '' THEN parts.b.path
+      ELSE {_merged_path("parts.b.path", "parts.r.path")} END""",
+    query="""CASE WHEN parts.r.authority = '' AND parts.r.path = '' AND parts.r.query = '' THEN parts.b.query
+      ELSE parts.r.query END""",
+    fragment="parts.r.fragment",
+)
+_JOINED = f"""concat(
+  CASE WHEN t.scheme <> '' THEN concat(t.scheme, ':') ELSE '' END, {_prefixed("//", "t.authority")},
+  CASE WHEN t.authority <> '' AND t.path <> '' AND NOT startswith(t.path, '/') THEN '/' ELSE '' END, t.path,
+  {_prefixed("?", "t.query")}, {_prefixed("#", "t.fragment")})"""
+
+
+def resolved(base: str, ref: str) -> str:
+    """SQL text: absolute form of `ref` against `base`; `ref` unchanged without a base."""
+    schemes = ", ".join(f"'{scheme}'" for scheme in ("", *_HIERARCHICAL))
+    absolute = let(
+        "parts",
+        struct(b=_split(base), r=_split(ref)),
+        f"""CASE WHEN parts.r.scheme IN ('', parts.b.scheme) AND parts.b.scheme IN ({schemes})
+          THEN {let("t", _TARGET, _JOINED)} ELSE {ref} END""",
     )
-    return F.when(base.isNull() | (base == ""), ref).when(ref == "", base).otherwise(resolved)
+    return f"CASE WHEN {base} IS NULL OR {base} = '' THEN {ref} WHEN {ref} = '' THEN {base} ELSE {absolute} END"
 
 
-def netloc(url: Column) -> Column:
-    return _part(_tidy(url), 2)
+def resolve_url(base: str, ref: str) -> Column:
+    return F.expr(resolved(base, ref))
 
 
-def domain_key(url: Column) -> Column:
+def domain_key(url: str) -> Column:
     """Limiter key: the authority with user info and port, `default` when unreadable."""
+    authority = let("host", _part(_tidy(url), 2), "CASE WHEN contains(host, '[') = contains(host, ']') THEN host END")
+    return F.expr(f"coalesce({authority}, 'default')")
 
-    def readable(authority: Column) -> Column:
-        return F.when(authority.contains("[") == authority.contains("]"), authority)
 
-    return F.coalesce(let(netloc(url), readable), F.lit("default"))
+def http_url(url: str) -> str:
+    """SQL text: true for an http(s) URL with a host."""
+    scheme, host = f"try_parse_url({url}, 'PROTOCOL')", f"try_parse_url({url}, 'HOST')"
+    return f"coalesce(lower({scheme}) IN ('http', 'https') AND length({host}) > 0, false)"
 
 
-def is_http_url(url: Column) -> Column:
-    """True for an http(s) URL with a host."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.try_parse_url(url, F.lit("HOST"))
-    return F.coalesce(scheme.isin("http", "https") & (F.length(host) > 0), F.lit(False))
+def is_http_url(url: str) -> Column:
+    return F.expr(http_url(url))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookweir.functions import selectors
-from bookweir.functions.arrays import hold, let
-from bookweir.functions.urls import is_http_url, resolve_url
+from bookweir.functions.arrays import attribute, hold, let, struct
+from bookweir.functions.urls import http_url, resolved
 from bookweir.operators.dom import shred
-from bookweir.operators.html import METADATA_KEEP, STRUCTURED_KEEP, attr, with_metadata, with_structured_items
+from bookweir.operators.html import METADATA_KEEP, STRUCTURED_KEEP, with_metadata, with_structured_items
 from bookweir.schemas import METADATA
 
 # The selector rules and limits for pages without structured data.
@@ -28,18 +28,18 @@ HTML_BOOK_KEEP = [
 ]
 BOOK_KEEP = sorted({*HTML_BOOK_KEEP, *STRUCTURED_KEEP}, key=repr)
 
-_NUMBER = r"^\s*[+-]?(\d[\d_]*\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_INTEGER = r"^\s*[+-]?\d+\s*$"
+_NUMBER = r"r'^\s*[+-]?(\d[\d_]*\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$'"
+_INTEGER = r"r'^\s*[+-]?\d+\s*$'"
 
 
-def _metadata_struct(**given: Column) -> Column:
-    """A full metadata struct; fields that are not given are null (lists: empty)."""
-    fields = []
+def _metadata_struct(**given: str) -> str:
+    """SQL text: a full metadata struct; fields that are not given are null (lists: empty)."""
+    fields = {}
     for field in METADATA.fields:
-        default = F.array() if field.dataType.typeName() == "array" else F.lit(None)
-        value = given.get(field.name, default)
-        fields.append(value.cast(field.dataType).alias(field.name))
-    return F.struct(*fields)
+        kind = field.dataType.simpleString()
+        default = "array()" if kind.startswith("array") else "NULL"
+        fields[field.name] = f"cast({given.get(field.name, default)} AS {kind})"
+    return struct(**fields)
 
 
 # --- structured items -------------------------------------------------------
@@ -60,184 +60,140 @@ _TEXT_MEMBERS = {
 }
 
 
-def _get(item: Column, key: str, type_name: str) -> Column:
-    return F.try_variant_get(item, f'$["{key}"]', type_name)
+def _get(item: str, key: str, kind: str) -> str:
+    return f"""try_variant_get({item}, '$["{key}"]', '{kind}')"""
 
 
-def _member(item: Column, key: str) -> Column:
+def _member(item: str, key: str) -> str:
     """(kind, text) of a member; the kind is null when missing and VOID for a JSON null."""
-    return F.struct(
-        F.schema_of_variant(_get(item, key, "variant")).alias("kind"), _get(item, key, "string").alias("text")
-    )
-
-
-def _members(item: Column) -> Column:
-    """Everything the acceptance rules look at, read from the item once."""
-    rating = _get(item, "aggregateRating", "variant")
-    return F.struct(
-        item.alias("item"),
-        *[_member(item, key).alias(name) for name, key in _TEXT_MEMBERS.items()],
-        _get(item, "author", "array<string>").alias("authors"),
-        _member(_get(item, "publisher", "variant"), "name").alias("publisher_name"),
-        F.schema_of_variant(rating).alias("rating_kind"),
-        F.coalesce(F.to_json(rating), F.lit("null")).alias("rating_json"),
-        _member(rating, "ratingValue").alias("value"),
-        _get(rating, "ratingValue", "double").alias("value_number"),
-        _member(rating, "ratingCount").alias("count"),
-        _get(rating, "ratingCount", "double").alias("count_number"),
-    )
-
-
-def _text(member: Column) -> Column:
+    return struct(kind=f"schema_of_variant({_get(item, key, 'variant')})", text=_get(item, key, "string"))
+
+
+_RATING = _get("item", "aggregateRating", "variant")
+# Everything the acceptance rules look at, read from the item once.
+_MEMBERS = struct(
+    item="item",
+    **{name: _member("item", key) for name, key in _TEXT_MEMBERS.items()},
+    authors=_get("item", "author", "array<string>"),
+    publisher_name=_member(_get("item", "publisher", "variant"), "name"),
+    rating_kind=f"schema_of_variant({_RATING})",
+    no_rating=f"""coalesce(to_json({_RATING}), 'null')
+      IN ('null', '""', '0', '0.0', '-0.0', 'false', '[]', '{{}}')""",
+    value=_member(_RATING, "ratingValue"),
+    value_number=_get(_RATING, "ratingValue", "double"),
+    count=_member(_RATING, "ratingCount"),
+    count_number=_get(_RATING, "ratingCount", "double"),
+)
+# Both are null when `aggregateRating` is missing or empty; inside it a missing
+# member is 0, text must be a number, and a JSON null is refused.
+_RATING_VALUE = f"""CASE WHEN m.no_rating THEN NULL WHEN m.value.kind IS NULL THEN 0.0D
+  WHEN m.value.kind = 'STRING' THEN
+    CASE WHEN m.value.text RLIKE {_NUMBER} THEN try_cast(replace(trim(m.value.text), '_') AS double) END
+  WHEN m.value.kind <> 'VOID' THEN m.value_number END"""
+_RATING_COUNT = f"""CASE WHEN m.no_rating THEN NULL WHEN m.count.kind IS NULL THEN 0L
+  WHEN m.count.kind = 'STRING' THEN
+    CASE WHEN m.count.text RLIKE {_INTEGER} THEN try_cast(trim(m.count.text) AS bigint) END
+  WHEN m.count.kind = 'BIGINT' THEN try_cast(m.count.text AS bigint)
+  WHEN m.count.kind <> 'VOID' THEN try_cast(m.count_number AS bigint) END"""
+_READ = struct(m="m", rating=_RATING_VALUE, rating_count=_RATING_COUNT)
+
+
+def _text(member: str) -> str:
     """Value of an optional text member; a missing one is ''."""
-    return F.when(member["kind"].isNull(), F.lit("")).when(member["kind"] == "STRING", member["text"])
-
-
-def _text_ok(member: Column) -> Column:
-    return F.coalesce(member["kind"].isin("STRING", "VOID"), F.lit(True))
-
-
-def _url_ok(member: Column) -> Column:
-    return (member["kind"] == "VOID") | ((member["kind"] == "STRING") & is_http_url(member["text"]))
-
+    return f"CASE WHEN {member}.kind IS NULL THEN '' WHEN {member}.kind = 'STRING' THEN {member}.text END"
 
-def _numbers(m: Column) -> Column:
-    """Rating, rating count, and whether they are acceptable.
 
-    Both are null when `aggregateRating` is missing or empty; inside it a
-    missing member is 0, text must be a number, and a JSON null is refused.
-    """
-    value_kind, value_text = m["value"]["kind"], m["value"]["text"]
-    value = (
-        F.when(value_kind.isNull(), F.lit(0.0))
-        .when(
-            value_kind == "STRING",
-            F.when(value_text.rlike(_NUMBER), F.replace(F.trim(value_text), F.lit("_")).try_cast("double")),
-        )
-        .when(value_kind != "VOID", m["value_number"])
-    )
-    count_kind, count_text = m["count"]["kind"], m["count"]["text"]
-    count = (
-        F.when(count_kind.isNull(), F.lit(0).cast("bigint"))
-        .when(count_kind == "STRING", F.when(count_text.rlike(_INTEGER), F.trim(count_text).try_cast("bigint")))
-        .when(count_kind == "BIGINT", count_text.try_cast("bigint"))
-        .when(count_kind != "VOID", m["count_number"].try_cast("bigint"))
-    )
-    empty = m["rating_json"].isin("null", '""', "0", "0.0", "-0.0", "false", "[]", "{}")
-    numbers = F.struct(empty.alias("empty"), value.alias("rating"), count.alias("count"))
-    is_object = m["rating_kind"].startswith("OBJECT")
-    return let(
-        numbers,
-        lambda n: F.struct(
-            F.when(~n["empty"], n["rating"]).alias("rating"),
-            F.when(~n["empty"], n["count"]).alias("count"),
-            F.coalesce(
-                n["empty"] | (is_object & (n["rating"] >= 0) & (n["rating"] <= 5) & (n["count"] >= 0)), F.lit(False)
-            ).alias("ok"),
-        ),
-    )
+def _text_ok(member: str) -> str:
+    return f"coalesce({member}.kind IN ('STRING', 'VOID'), true)"
 
 
-def _accepted(m: Column, types: list[str], strict_urls: bool) -> Column:
-    author, publisher = m["author"]["kind"], m["publisher"]["kind"]
-    listed = author.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(m["authors"], lambda a: a.isNull())
+def _accepted(types: list[str], strict_urls: bool) -> str:
+    """SQL text: whether the item read into `c` passes every rule."""
+    allowed = ", ".join(f"'{name}'" for name in types)
     checks = [
-        m["type"]["kind"] == "STRING",
-        m["type"]["text"].isin(types),
-        F.coalesce(m["title"]["kind"] == "STRING", F.lit(True)),
-        author.isNull() | (author == "STRING") | listed,
-        F.when(publisher.startswith("OBJECT"), _text_ok(m["publisher_name"])).otherwise(_text_ok(m["publisher"])),
-        m["numbers"]["ok"],
+        f"c.m.type.kind = 'STRING' AND c.m.type.text IN ({allowed})",
+        "coalesce(c.m.title.kind = 'STRING', true)",
+        """(c.m.author.kind IS NULL OR c.m.author.kind = 'STRING'
+            OR c.m.author.kind IN ('ARRAY<STRING>', 'ARRAY<VOID>') AND NOT exists(c.m.authors, a -> a IS NULL))""",
+        f"""CASE WHEN startswith(c.m.publisher.kind, 'OBJECT') THEN {_text_ok('c.m.publisher_name')}
+            ELSE {_text_ok('c.m.publisher')} END""",
+        """(c.m.no_rating OR startswith(c.m.rating_kind, 'OBJECT') AND c.rating BETWEEN 0 AND 5
+            AND c.rating_count >= 0)""",
     ]
-    checks += [_text_ok(m[name]) for name in ("isbn", "isbn13", "isbn10", "description", "source_id")]
-    url_ok = _url_ok if strict_urls else _text_ok
-    checks += [url_ok(m[name]) for name in ("cover_image_url", "source_url")]
-    accepted = checks[0]
-    for check in checks[1:]:
-        accepted = accepted & check
-    return F.coalesce(accepted, F.lit(False))
-
-
-def _structured_metadata(m: Column) -> Column:
-    author = m["author"]
-    urls = {name: _text(m[name]) for name in ("cover_image_url", "source_url")}
-    return _metadata_struct(
-        authors=F.when(author["kind"].isNull() | (author["kind"] == "STRING"), F.array(_text(author))).otherwise(
-            m["authors"]
-        ),
-        publisher=F.when(m["publisher"]["kind"].startswith("OBJECT"), _text(m["publisher_name"])).otherwise(
-            _text(m["publisher"])
-        ),
-        rating=m["numbers"]["rating"],
-        rating_count=m["numbers"]["count"],
-        source_metadata=m["item"],
-        **{name: _text(m[name]) for name in ("title", "isbn", "isbn13", "isbn10", "description", "source_id")},
-        **{name: F.when(is_http_url(url), url) for name, url in urls.items()},
-    )
+    checks += [_text_ok(f"c.m.{name}") for name in ("isbn", "isbn13", "isbn10", "description", "source_id")]
+    for url in ("c.m.cover_image_url", "c.m.source_url"):
+        strict = f"({url}.kind = 'VOID' OR {url}.kind = 'STRING' AND {http_url(f'{url}.text')})"
+        checks.append(strict if strict_urls else _text_ok(url))
+    return f"coalesce({' AND '.join(checks)}, false)"
+
+
+_STRUCTURED_METADATA = _metadata_struct(
+    authors=f"""CASE WHEN c.m.author.kind IS NULL OR c.m.author.kind = 'STRING' THEN array({_text('c.m.author')})
+      ELSE c.m.authors END""",
+    publisher=f"""CASE WHEN startswith(c.m.publisher.kind, 'OBJECT') THEN {_text('c.m.publisher_name')}
+      ELSE {_text('c.m.publisher')} END""",
+    rating="c.rating",
+    rating_count="c.rating_count",
+    source_metadata="c.m.item",
+    **{name: _text(f"c.m.{name}") for name in ("title", "isbn", "isbn13", "isbn10", "description", "source_id")},
+    **{
+        name: f"CASE WHEN {http_url(f'c.m.{name}.text')} THEN {_text(f'c.m.{name}')} END"
+        for name in ("cover_image_url", "source_url")
+    },
+)
 
 
 def with_structured_book(doms: DataFrame, strict_urls: bool = True, extended_types: bool = False) -> DataFrame:
     """Add `structured`: metadata of the first acceptable book item, else null."""
-    types = EXTENDED_BOOK_TYPES if extended_types else BOOK_TYPES
-    members = F.transform(F.transform("items", _members), lambda m: m.withField("numbers", _numbers(m)))
-    accepted = F.filter(members, lambda m: _accepted(m, types, strict_urls))
-    return hold(
-        with_structured_items(doms),
-        structured=F.get(F.transform(F.slice(accepted, 1, 1), _structured_metadata), F.lit(0)),
-    )
+    accepted = _accepted(EXTENDED_BOOK_TYPES if extended_types else BOOK_TYPES, strict_urls)
+    read = f"transform(transform(items, item -> {_MEMBERS}), m -> {_READ})"
+    first = f"slice(filter({read}, c -> {accepted}), 1, 1)"
+    return hold(with_structured_items(doms), structured=f"get(transform({first}, c -> {_STRUCTURED_METADATA}), 0)")
 
 
 # --- selector rules ---------------------------------------------------------
 
 
-def _first_text(tag: str) -> Column:
-    return F.get(F.transform(F.filter("nodes", lambda n: n["tag"] == tag), lambda n: n["text"]), F.lit(0))
+def _first_text(tag: str) -> str:
+    return f"get(filter(nodes, n -> n.tag = '{tag}'), 0).text"
 
 
-def _texts(css: str, accept) -> Column:
-    tests = selectors.element_tests(css)
-    hits = F.filter("nodes", lambda n: selectors.any_match(tests, n["tag"], n["attrs"]) & accept(F.length(n["text"])))
-    return F.transform(hits, lambda n: n["text"])
+def _texts(css: str, length: str) -> str:
+    """Texts of matching elements whose length satisfies the condition."""
+    hit = selectors.predicate(selectors.element_tests(css), "n")
+    return f"transform(filter(nodes, n -> {hit} AND length(n.text) {length}), n -> n.text)"
 
 
-def _cover(page_url: Column) -> Column:
-    images, boxes = selectors.element_tests(COVER_CSS), selectors.element_tests(COVER_BOX_CSS)
-    box_ids = F.transform(
-        F.filter("nodes", lambda n: selectors.any_match(boxes, n["tag"], n["attrs"])), lambda n: n["pre"]
-    )
-
-    def is_cover(n: Column) -> Column:
-        src, alt = attr(n, "src"), F.coalesce(attr(n, "alt"), F.lit(""))
-        placed = selectors.any_match(images, n["tag"], n["attrs"]) | F.arrays_overlap(n["up"], box_ids)
-        named = F.lower(src).contains("cover") | F.lower(alt).contains("cover")
-        return (n["tag"] == "img") & F.coalesce((src != "") & named, F.lit(False)) & placed
+_SRC, _ALT = attribute("n", "src"), attribute("n", "alt")
+_COVER_BOXES = f"""transform(filter(nodes, n -> {selectors.predicate(selectors.element_tests(COVER_BOX_CSS), 'n')}),
+  n -> n.pre)"""
+_COVERS = f"""filter(nodes, n -> n.tag = 'img' AND coalesce({_SRC} <> '', false)
+  AND (contains(lower({_SRC}), 'cover') OR contains(lower(coalesce({_ALT}, '')), 'cover'))
+  AND ({selectors.predicate(selectors.element_tests(COVER_CSS), 'n')} OR arrays_overlap(n.up, boxes)))"""
+_COVER = f"""get(transform(slice({let('boxes', _COVER_BOXES, _COVERS)}, 1, 1),
+  n -> {resolved('url', _SRC)}), 0)"""
+_TITLE = f"""coalesce(nullif(try_element_at(page_meta, 'title'), ''), {_first_text('h1')}, {_first_text('h2')})"""
+_HTML_METADATA = _metadata_struct(
+    title="_title",
+    authors=_texts(AUTHOR_CSS, f"BETWEEN 1 AND {AUTHOR_MAX_CHARS}"),
+    description=f"coalesce(get({_texts(DESCRIPTION_CSS, f'>= {DESCRIPTION_MIN_CHARS}')}, 0), '')",
+    cover_image_url="_cover",
+    source_metadata="to_variant_object(page_meta)",
+)
 
-    return F.get(
-        F.transform(F.filter("nodes", is_cover), lambda n: resolve_url(page_url, attr(n, "src"))), F.lit(0)
-    )
 
-
-def with_html_book(doms: DataFrame, unless: Column | None = None) -> DataFrame:
+def with_html_book(doms: DataFrame, unless: str = "false") -> DataFrame:
     """Add `from_html`: metadata by selector rules, null without a title or with a bad cover.
 
     Pages where `unless` holds are skipped.
     """
-    wanted = ~unless if unless is not None else F.lit(True)
-    title = F.coalesce(
-        F.nullif(F.try_element_at("page_meta", F.lit("title")), F.lit("")), _first_text("h1"), _first_text("h2")
-    )
-    out = hold(with_metadata(doms), _title=F.when(wanted, title), _cover=F.when(wanted, _cover(F.col("url"))))
-    metadata = _metadata_struct(
-        title=F.col("_title"),
-        authors=_texts(AUTHOR_CSS, lambda n: n.between(1, AUTHOR_MAX_CHARS)),
-        description=F.coalesce(
-            F.get(_texts(DESCRIPTION_CSS, lambda n: n >= DESCRIPTION_MIN_CHARS), F.lit(0)), F.lit("")
-        ),
-        cover_image_url=F.col("_cover"),
-        source_metadata=F.to_variant_object("page_meta"),
+    out = hold(
+        with_metadata(doms),
+        _title=f"CASE WHEN NOT ({unless}) THEN {_TITLE} END",
+        _cover=f"CASE WHEN NOT ({unless}) THEN {_COVER} END",
     )
-    usable = (F.col("_title") != "") & (F.col("_cover").isNull() | is_http_url(F.col("_cover")))
-    return hold(out, from_html=F.when(usable, metadata)).drop("_title", "_cover")
+    usable = f"_title <> '' AND (_cover IS NULL OR {http_url('_cover')})"
+    return hold(out, from_html=f"CASE WHEN {usable} THEN {_HTML_METADATA} END").drop("_title", "_cover")
 
 
 # --- books ------------------------------------------------------------------
@@ -262,7 +218,7 @@ def books_html(pages: DataFrame) -> DataFrame:
 def extract_books(pages: DataFrame, strict_urls: bool = True, extended_types: bool = False) -> DataFrame:
     """Every page with `metadata` of its book (null: none) - one read, no shuffle."""
     doms = with_structured_book(shred(pages, BOOK_KEEP), strict_urls, extended_types)
-    doms = with_html_book(doms, unless=F.col("structured").isNotNull())
+    doms = with_html_book(doms, unless="structured IS NOT NULL")
     others = [name for name in pages.columns if name != "html"]
     return doms.select(*others, F.coalesce("structured", "from_html").alias("metadata"))
 

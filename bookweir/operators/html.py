@@ -6,31 +6,28 @@ with a `nodes` array (`shred`). The latter work inside the row, without a shuffl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookweir.functions import selectors
-from bookweir.functions.arrays import hold, with_runs
-from bookweir.functions.selectors import Simple, AttrTest
-from bookweir.functions.urls import domain_key, resolve_url
+from bookweir.functions.arrays import attribute, hold, quote, struct, with_runs
+from bookweir.functions.selectors import AttrTest, Simple
+from bookweir.functions.urls import domain_key, resolve_url, resolved
 from bookweir.operators.dom import shred
 
 LINK_KEEP = [Simple("a", (AttrTest("href", "has"),))]
 IMAGE_KEEP = [Simple("img", (AttrTest("src", "has"),))]
 METADATA_KEEP = selectors.element_tests("meta", "title", "link[rel]")
 JSON_LD_CSS = 'script[type="application/ld+json"]'
-STRUCTURED_KEEP = selectors.element_tests(JSON_LD_CSS, "[itemtype]", "[itemprop]")
+MICRODATA_KEEP = selectors.element_tests("[itemtype]", "[itemprop]")
+STRUCTURED_KEEP = [*selectors.element_tests(JSON_LD_CSS), *MICRODATA_KEEP]
 
 # Attributes that hold a list of tokens.
 _TOKEN_LISTS = {"class", "rel", "rev", "headers"}
 
 
-def attr(node: Column, name: str) -> Column:
-    return F.try_element_at(node["attrs"], F.lit(name))
-
-
-def _filled(value: Column) -> Column:
-    return F.coalesce(value != "", F.lit(False))
+def _filled(value: str) -> str:
+    return f"coalesce({value} <> '', false)"
 
 
 def select(nodes: DataFrame, css: str) -> DataFrame:
@@ -41,26 +38,20 @@ def select(nodes: DataFrame, css: str) -> DataFrame:
     descendant selector needs one sort per page, not a range join.
     """
     chains = selectors.parse(css)
-    tag, attrs = F.col("tag"), F.col("attrs")
     before = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    out = nodes.filter(selectors.any_match([s for chain in chains for s in chain], tag, attrs))
+    out = nodes.filter(selectors.predicate([simple for chain in chains for simple in chain]))
     hits = []
     for c, chain in enumerate(chains):
-        inside = F.lit(True)
+        inside = "true"
         for depth, simple in enumerate(chain):
-            hit = selectors.matches(simple, tag, attrs) & inside
-            if depth < len(chain) - 1:
-                name = f"_in_{c}_{depth}"
-                out = out.withColumn(
-                    name, F.coalesce(F.max(F.when(hit, F.col("post"))).over(before) > F.col("post"), F.lit(False))
-                )
-                inside = F.col(name)
-            else:
+            hit = f"({selectors.predicate([simple])} AND {inside})"
+            if depth == len(chain) - 1:
                 hits.append(hit)
-    matched = hits[0]
-    for hit in hits[1:]:
-        matched = matched | hit
-    return out.filter(matched).select(*nodes.columns)
+                continue
+            inside = f"_in_{c}_{depth}"
+            outer_post = F.max(F.expr(f"CASE WHEN {hit} THEN post END")).over(before)
+            out = out.withColumn(inside, F.coalesce(outer_post > F.col("post"), F.lit(False)))
+    return out.filter(" OR ".join(hits)).select(*nodes.columns)
 
 
 def descendants(nodes: DataFrame, outer_css: str, inner_css: str) -> DataFrame:
@@ -68,63 +59,70 @@ def descendants(nodes: DataFrame, outer_css: str, inner_css: str) -> DataFrame:
     return select(nodes, f"{outer_css} {inner_css}")
 
 
-def _has_attributes(attrs: Column, wanted: dict[str, str]) -> Column:
-    hit = F.lit(True)
+def _has_attributes(wanted: dict[str, str], node: str | None = None) -> str:
+    prefix, checks = f"{node}." if node else "", ["true"]
     for name, value in wanted.items():
-        found = F.try_element_at(attrs, F.lit(name))
-        same = found == value
+        found = f"try_element_at({prefix}attrs, {quote(name)})"
+        same = f"{found} = {quote(value)}"
         if name in _TOKEN_LISTS:
-            same = same | F.array_contains(F.split(found, r"\s+"), value)
-        hit = hit & F.coalesce(same, F.lit(False))
-    return hit
+            same = rf"({same} OR array_contains(split({found}, r'\s+'), {quote(value)}))"
+        checks.append(f"coalesce({same}, false)")
+    return " AND ".join(checks)
+
+
+def find_all(nodes: DataFrame, tag: str, attrs: dict[str, str] | None = None) -> DataFrame:
+    """Every element of each page by tag and attribute equality."""
+    return nodes.filter(F.col("tag") == tag).filter(_has_attributes(attrs or {}))
 
 
 def first_match(nodes: DataFrame, tag: str, attrs: dict[str, str] | None = None) -> DataFrame:
     """First element of each page by tag and attribute equality."""
-    found = nodes.filter((F.col("tag") == tag) & _has_attributes(F.col("attrs"), attrs or {}))
     rest = [name for name in nodes.columns if name != "page_id"]
-    return (
-        found.groupBy("page_id")
-        .agg(F.min_by(F.struct(*rest), F.col("pre")).alias("first"))
-        .select("page_id", *[F.col(f"first.{name}").alias(name) for name in rest])
-    )
+    first = find_all(nodes, tag, attrs).groupBy("page_id").agg(F.min_by(F.struct(*rest), F.col("pre")).alias("first"))
+    return first.select("page_id", *[F.col(f"first.{name}").alias(name) for name in rest])
 
 
-def find_all(nodes: DataFrame, tag: str, attrs: dict[str, str] | None = None) -> DataFrame:
-    """Every element of each page by tag and attribute equality."""
-    return nodes.filter((F.col("tag") == tag) & _has_attributes(F.col("attrs"), attrs or {}))
+def _elements(pages: DataFrame, keep: list[Simple], tag: str, needed: str) -> DataFrame:
+    """Page rows exploded to their `tag` elements with a filled `needed` attribute."""
+    doms = shred(pages.select("page_id", "url", "html"), keep)
+    found = F.expr(f"filter(nodes, n -> n.tag = '{tag}' AND {_filled(attribute('n', needed))})")
+    return doms.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "n"))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """One row per non-empty `a[href]`: absolute url, text, title."""
-    doms = shred(pages.select("page_id", "url", "html"), LINK_KEEP)
-    found = F.filter("nodes", lambda n: (n["tag"] == "a") & _filled(attr(n, "href")))
-    return doms.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "n")).select(
+    return _elements(pages, LINK_KEEP, "a", "href").select(
         "page_id",
         "page_url",
         "pos",
-        resolve_url(F.col("page_url"), attr(F.col("n"), "href")).alias("url"),
+        resolve_url("page_url", attribute("n", "href")).alias("url"),
         F.col("n.text").alias("text"),
-        F.coalesce(attr(F.col("n"), "title"), F.lit("")).alias("title"),
+        F.expr(f"coalesce({attribute('n', 'title')}, '')").alias("title"),
     )
 
 
 def images(pages: DataFrame) -> DataFrame:
     """One row per non-empty `img[src]`: absolute url, alt, title."""
-    doms = shred(pages.select("page_id", "url", "html"), IMAGE_KEEP)
-    found = F.filter("nodes", lambda n: (n["tag"] == "img") & _filled(attr(n, "src")))
-    return doms.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "n")).select(
+    return _elements(pages, IMAGE_KEEP, "img", "src").select(
         "page_id",
         "page_url",
         "pos",
-        resolve_url(F.col("page_url"), attr(F.col("n"), "src")).alias("url"),
-        F.coalesce(attr(F.col("n"), "alt"), F.lit("")).alias("alt"),
-        F.coalesce(attr(F.col("n"), "title"), F.lit("")).alias("title"),
+        resolve_url("page_url", attribute("n", "src")).alias("url"),
+        F.expr(f"coalesce({attribute('n', 'alt')}, '')").alias("alt"),
+        F.expr(f"coalesce({attribute('n', 'title')}, '')").alias("title"),
     )
 
 
-def _entry(key: Column, value: Column) -> Column:
-    return F.struct(key.alias("key"), value.alias("value"))
+_META_KEY = f"lower(coalesce(nullif({attribute('n', 'name')}, ''), {attribute('n', 'property')}))"
+_META_ENTRIES = f"""filter(
+  transform(filter(nodes, n -> n.tag = 'meta'), n -> {struct(key=_META_KEY, value=attribute('n', 'content'))}),
+  e -> {_filled('e.key')} AND {_filled('e.value')})"""
+_TITLE_ENTRY = f"""transform(slice(filter(nodes, n -> n.tag = 'title'), 1, 1),
+  n -> {struct(key="'title'", value='n.text')})"""
+_CANONICAL_ENTRY = f"""transform(
+  filter(slice(filter(nodes, n -> n.tag = 'link' AND {_has_attributes({'rel': 'canonical'}, 'n')}), 1, 1),
+    n -> {_filled(attribute('n', 'href'))}),
+  n -> {struct(key="'canonical_url'", value=resolved('url', attribute('n', 'href')))})"""
 
 
 def with_metadata(doms: DataFrame) -> DataFrame:
@@ -132,33 +130,12 @@ def with_metadata(doms: DataFrame) -> DataFrame:
 
     A later entry wins, then `<title>` (also an empty one), then the canonical link.
     """
-    named = F.transform(
-        F.filter("nodes", lambda n: n["tag"] == "meta"),
-        lambda n: _entry(
-            F.lower(F.coalesce(F.nullif(attr(n, "name"), F.lit("")), attr(n, "property"))), attr(n, "content")
-        ),
-    )
-    titles = F.slice(F.filter("nodes", lambda n: n["tag"] == "title"), 1, 1)
-    canonical = F.slice(
-        F.filter("nodes", lambda n: (n["tag"] == "link") & _has_attributes(n["attrs"], {"rel": "canonical"})), 1, 1
-    )
-    entries = F.concat(
-        F.filter(named, lambda e: _filled(e["key"]) & _filled(e["value"])),
-        F.transform(titles, lambda n: _entry(F.lit("title"), n["text"])),
-        F.transform(
-            F.filter(canonical, lambda n: _filled(attr(n, "href"))),
-            lambda n: _entry(F.lit("canonical_url"), resolve_url(F.col("url"), attr(n, "href"))),
-        ),
-    )
-    ordered = F.transform(
-        F.col("_entries"), lambda e, i: F.struct(e["key"].alias("key"), i.alias("rank"), e["value"].alias("value"))
-    )
-    out = doms.withColumn("_entries", entries).withColumn("_sorted", F.array_sort(ordered))
-    out = with_runs(out, "_runs", "_sorted", lambda a, b: a["key"] == b["key"])
-    last = F.transform("_runs", lambda run: F.element_at(run, -1))
-    return hold(
-        out, page_meta=F.map_from_entries(F.transform(last, lambda e: _entry(e["key"], e["value"])))
-    ).drop("_entries", "_sorted", "_runs")
+    out = doms.withColumn("_entries", F.expr(f"concat({_META_ENTRIES}, {_TITLE_ENTRY}, {_CANONICAL_ENTRY})"))
+    ranked = struct(key="e.key", rank="i", value="e.value")
+    out = out.withColumn("_sorted", F.expr(f"array_sort(transform(_entries, (e, i) -> {ranked}))"))
+    out = with_runs(out, "_runs", "_sorted", "a.key = b.key")
+    last = f"transform(_runs, run -> {struct(key='element_at(run, -1).key', value='element_at(run, -1).value')})"
+    return hold(out, page_meta=f"map_from_entries({last})").drop("_entries", "_sorted", "_runs")
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -167,20 +144,34 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     return with_metadata(doms).select("page_id", F.col("page_meta").alias("metadata"))
 
 
-def _json_ld_items() -> Column:
-    """JSON-LD values of a page as array<variant>; arrays flattened, bad JSON skipped."""
-    scripts = F.filter(
-        "nodes", lambda n: (n["tag"] == "script") & _has_attributes(n["attrs"], {"type": "application/ld+json"})
-    )
-    parsed = F.filter(F.transform(scripts, lambda n: F.try_parse_json(n["text"])), lambda v: v.isNotNull())
-    return F.flatten(
-        F.transform(
-            parsed,
-            lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), v.cast("array<variant>")).otherwise(
-                F.array(v)
-            ),
-        )
-    )
+# JSON-LD values of a page as array<variant>; arrays flattened, bad JSON skipped.
+_JSON_LD_ITEMS = f"""flatten(transform(
+  filter(
+    transform(
+      filter(nodes, n -> n.tag = 'script' AND {_has_attributes({'type': 'application/ld+json'}, 'n')}),
+      n -> try_parse_json(n.text)),
+    v -> v IS NOT NULL),
+  v -> CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN cast(v AS array<variant>) ELSE array(v) END))"""
+
+_PROPERTY_VALUE = f"coalesce(nullif(n.text, ''), {attribute('n', 'content')})"
+_PROPERTIES = f"""filter(
+  transform(filter(nodes, n -> {_filled(attribute('n', 'itemprop'))}),
+    n -> {struct(up='n.up', pre='n.pre', key=attribute('n', 'itemprop'), value=_PROPERTY_VALUE)}),
+  p -> {_filled('p.value')})"""
+_SCOPES = f"""transform(filter(nodes, n -> {attribute('n', 'itemtype')} IS NOT NULL),
+  n -> {struct(key='n.pre', value=attribute('n', 'itemtype'))})"""
+_PAIRS = f"""array_sort(flatten(transform(_props,
+  p -> transform(array_intersect(p.up, map_keys(_types)),
+    s -> {struct(scope='s', key='p.key', pre='p.pre', value='p.value')}))))"""
+_ITEM_ENTRIES = f"""concat(
+  filter(
+    array({struct(key="'@type'", value='element_at(_types, run[0].scope)')},
+      {struct(key="'@context'", value="'http://schema.org'")}),
+    e -> NOT exists(run, r -> r.key = e.key)),
+  transform(run, r -> {struct(key='r.key', value='r.value')}))"""
+_ITEMS = f"""filter(
+  transform(_items, run -> {struct(pre='run[0].scope', item=f'map_from_entries({_ITEM_ENTRIES})')}),
+  i -> size(i.item) > 2)"""
 
 
 def _with_microdata(doms: DataFrame) -> DataFrame:
@@ -189,74 +180,30 @@ def _with_microdata(doms: DataFrame) -> DataFrame:
     Every property joins each of its enclosing items, which are named in the
     element itself (`up`), so only true pairs are formed.
     """
-    scopes = F.filter("nodes", lambda n: attr(n, "itemtype").isNotNull())
-    props = F.transform(
-        F.filter("nodes", lambda n: _filled(attr(n, "itemprop"))),
-        lambda n: F.struct(
-            n["up"].alias("up"),
-            n["pre"].alias("pre"),
-            attr(n, "itemprop").alias("key"),
-            F.coalesce(F.nullif(n["text"], F.lit("")), attr(n, "content")).alias("value"),
-        ),
-    )
-    out = doms.withColumn("_scopes", scopes).withColumn("_props", F.filter(props, lambda p: _filled(p["value"])))
-    scope_ids = F.transform("_scopes", lambda s: s["pre"])
-    pairs = F.flatten(
-        F.transform(
-            "_props",
-            lambda p: F.transform(
-                F.array_intersect(p["up"], F.col("_scope_ids")),
-                lambda s: F.struct(
-                    s.alias("scope"), p["key"].alias("key"), p["pre"].alias("pre"), p["value"].alias("value")
-                ),
-            ),
-        )
-    )
-    out = out.withColumn("_scope_ids", scope_ids).withColumn("_pairs", F.array_sort(pairs))
-    out = with_runs(out, "_keys", "_pairs", lambda a, b: (a["scope"] == b["scope"]) & (a["key"] == b["key"]))
-    out = out.withColumn("_last", F.transform("_keys", lambda run: F.element_at(run, -1)))
-    out = with_runs(out, "_items", "_last", lambda a, b: a["scope"] == b["scope"])
-    types = F.map_from_entries(F.transform("_scopes", lambda s: _entry(s["pre"], attr(s, "itemtype"))))
-    out = out.withColumn("_types", types)
-
-    def item(run: Column) -> Column:
-        scope = F.element_at(run, 1)["scope"]
-        own = F.transform(run, lambda e: _entry(e["key"], e["value"]))
-        own_keys = F.transform(run, lambda e: e["key"])
-        fixed = F.filter(
-            F.array(
-                _entry(F.lit("@type"), F.element_at(F.col("_types"), scope)),
-                _entry(F.lit("@context"), F.lit("http://schema.org")),
-            ),
-            lambda e: ~F.array_contains(own_keys, e["key"]),
-        )
-        return F.struct(scope.alias("pre"), F.map_from_entries(F.concat(fixed, own)).alias("item"))
-
-    items = F.filter(F.transform("_items", item), lambda i: F.size(i["item"]) > 2)
-    return hold(out, microdata=items).drop(
-        "_scopes", "_props", "_scope_ids", "_pairs", "_keys", "_last", "_items", "_types"
-    )
+    out = doms.withColumns({"_types": F.expr(f"map_from_entries({_SCOPES})"), "_props": F.expr(_PROPERTIES)})
+    out = with_runs(out.withColumn("_pairs", F.expr(_PAIRS)), "_keys", "_pairs", "a.scope = b.scope AND a.key = b.key")
+    out = out.withColumn("_last", F.expr("transform(_keys, run -> element_at(run, -1))"))
+    out = with_runs(out, "_items", "_last", "a.scope = b.scope")
+    return hold(out, microdata=_ITEMS).drop("_types", "_props", "_pairs", "_keys", "_last", "_items")
 
 
 def with_structured_items(doms: DataFrame) -> DataFrame:
     """Add `items` array<variant>: JSON-LD first, then microdata; needs `STRUCTURED_KEEP` elements."""
-    micro = F.transform("microdata", lambda m: F.to_variant_object(m["item"]))
-    return hold(_with_microdata(doms), items=F.concat(_json_ld_items(), micro))
+    described = "transform(microdata, m -> to_variant_object(m.item))"
+    return hold(_with_microdata(doms), items=f"concat({_JSON_LD_ITEMS}, {described})")
 
 
 def json_ld(pages: DataFrame) -> DataFrame:
     """One row per JSON-LD item."""
     doms = shred(pages.select("page_id", "html"), selectors.element_tests(JSON_LD_CSS))
-    return doms.select("page_id", F.posexplode(_json_ld_items()).alias("pos", "item"))
+    return doms.select("page_id", F.posexplode(F.expr(_JSON_LD_ITEMS)).alias("pos", "item"))
 
 
 def microdata(pages: DataFrame) -> DataFrame:
     """One row per microdata item with its properties."""
-    doms = shred(pages.select("page_id", "html"), selectors.element_tests("[itemtype]", "[itemprop]"))
-    return (
-        _with_microdata(doms)
-        .select("page_id", F.posexplode("microdata").alias("pos", "m"))
-        .select("page_id", "pos", F.col("m.item").alias("item"))
+    found = _with_microdata(shred(pages.select("page_id", "html"), MICRODATA_KEEP))
+    return found.select("page_id", F.posexplode("microdata").alias("pos", "m")).select(
+        "page_id", "pos", F.col("m.item").alias("item")
     )
 
 
@@ -272,42 +219,20 @@ def parse_report(pages: DataFrame) -> DataFrame:
     return shred(sized, []).select("page_id", "url", "html_length", F.col("nodes").isNotNull().alias("parsed"))
 
 
-def out_links(found: DataFrame) -> DataFrame:
-    """Links and distinct targets per page."""
-    return found.groupBy("page_id").agg(
-        F.count("*").alias("out_links"), F.count_distinct("url").alias("distinct_targets")
-    )
-
-
-def in_links(found: DataFrame) -> DataFrame:
-    """Links and linking pages per target.
-
-    One target may receive a third of all links, so the distinct pages are
-    counted on (target, page) rows, which combine before the shuffle.
-    """
-    per_page = found.groupBy("url", "page_id").agg(F.count("*").alias("n"))
-    return per_page.groupBy("url").agg(
-        F.sum("n").alias("in_links"), F.count("*").alias("linking_pages")
-    )
-
-
-def link_domains(found: DataFrame) -> DataFrame:
-    """Links and linking pages per target domain."""
-    per_page = found.groupBy(domain_key(F.col("url")).alias("domain"), "page_id").agg(F.count("*").alias("n"))
-    return per_page.groupBy("domain").agg(F.sum("n").alias("links"), F.count("*").alias("linking_pages"))
-
-
 def link_rollup(found: DataFrame) -> DataFrame:
-    """The three counts as one long table (scope, key, links, others).
+    """Links per page, target and target domain as one long table (scope, key, links, others).
 
-    The links are first reduced to (page, target) counts. All three levels read
-    the same shuffled counts, so the pages are parsed once.
+    `others` counts distinct targets of a page, and pages linking to a target or
+    domain. The links are first reduced to (page, target) counts, so a target
+    that receives a third of all links is combined before its rows meet. All
+    three levels read the same shuffled counts: the pages are parsed once.
     """
-    pairs = found.groupBy("page_id", "url").agg(F.count("*").alias("n"))
-    pairs = pairs.withColumn("domain", domain_key(F.col("url")))
-    page = pairs.groupBy(F.lit("page").alias("scope"), F.col("page_id").cast("string").alias("key"))
-    target = pairs.groupBy(F.lit("target").alias("scope"), F.col("url").alias("key"))
+    pairs = found.groupBy("page_id", "url").agg(F.count("*").alias("n")).withColumn("domain", domain_key("url"))
     by_domain = pairs.groupBy("domain", "page_id").agg(F.sum("n").alias("n"))
-    domain = by_domain.groupBy(F.lit("domain").alias("scope"), F.col("domain").alias("key"))
-    counts = [F.sum("n").alias("links"), F.count("*").alias("others")]
-    return page.agg(*counts).unionByName(target.agg(*counts)).unionByName(domain.agg(*counts))
+    levels = [
+        pairs.groupBy(F.lit("page").alias("scope"), F.col("page_id").cast("string").alias("key")),
+        pairs.groupBy(F.lit("target").alias("scope"), F.col("url").alias("key")),
+        by_domain.groupBy(F.lit("domain").alias("scope"), F.col("domain").alias("key")),
+    ]
+    page, target, domain = [level.agg(F.sum("n").alias("links"), F.count("*").alias("others")) for level in levels]
+    return page.unionByName(target).unionByName(domain)

@@ -53,8 +53,8 @@ def validate_books(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     reasons += _out_of_range([field.name for field in METADATA.fields], BOOK_METADATA_RANGES, "metadata.")
     reasons += _out_of_range(found.columns, BOOK_RANGES)
     for name in ("cover_image_url", "source_url"):
-        url = F.col(f"metadata.{name}")
-        reasons.append(F.when(url.isNotNull() & ~is_http_url(url), F.lit(f"{name} is no http url")))
+        url = f"metadata.{name}"
+        reasons.append(F.when(F.col(url).isNotNull() & ~is_http_url(url), F.lit(f"{name} is no http url")))
     reasons += _not_allowed(found.columns, {"primary_source": SOURCES})
     return _quarantine(found, reasons)
 

@@ -233,7 +233,7 @@ def _test_limits(spark: SparkSession) -> DataFrame:
 
 @_query("limit_lookup")
 def _limit_lookup(spark, folder):
-    keyed = _log(spark, folder).select("log_id", domain_key(F.col("url")).alias("domain"))
+    keyed = _log(spark, folder).select("log_id", domain_key("url").alias("domain"))
     return limits.limit_lookup(keyed, "domain", _test_limits(spark)).select(
         "log_id", "domain", "requests_per_second", "burst_size"
     )
@@ -466,10 +466,8 @@ def _resolve_urls(spark, folder):
     log = _log(spark, folder)
     ref = F.get(F.array(*forms), (F.col("log_id") % len(forms)).cast("int"))
     references = log.select(
-        F.lit("reference").alias("kind"),
-        F.col("log_id").alias("id"),
-        resolve_url(F.concat(F.col("url"), F.lit("?q=1#f")), ref).alias("url"),
-    )
+        "log_id", F.concat(F.col("url"), F.lit("?q=1#f")).alias("base"), ref.alias("ref")
+    ).select(F.lit("reference").alias("kind"), F.col("log_id").alias("id"), resolve_url("base", "ref").alias("url"))
     found = html.links(_pages(spark, folder)).select(F.lit("link").alias("kind"), F.col("page_id").alias("id"), "url")
     shown = html.images(rendered).select(F.lit("image").alias("kind"), F.col("page_id").alias("id"), "url")
     return found.unionByName(shown).unionByName(canonical.filter("url IS NOT NULL")).unionByName(references)
@@ -670,7 +668,7 @@ def _domain_key(spark, folder):
         F.lit("http://[broken/"), F.lit(None).cast("string"), F.concat(F.lit("//"), domain, F.lit("?q")),
     ]
     url = F.get(F.array(*forms), (F.col("log_id") % len(forms)).cast("int"))
-    return _log(spark, folder).select("log_id", domain_key(url).alias("domain_key"))
+    return _log(spark, folder).select("log_id", url.alias("asked")).select("log_id", domain_key("asked").alias("domain_key"))
 
 
 def _audit_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -781,14 +779,19 @@ def _stream_adaptive(spark, folder):
 
 @_query("stream_extract")
 def _stream_extract(spark, folder):
-    path = jobs.work_folder(spark, "extract")
     pages = stream_pages(spark, folder, "pages.parquet").select("page_id", "url", "html")
-    jobs.drain(jobs.extract_new_pages(pages, f"{path}/books", f"{path}/links"), f"{path}/state")
-    found = spark.read.parquet(f"{path}/books")
-    return found.select("page_id", "url", F.col("metadata.title").alias("title"))
+    titles = jobs.extract_new_pages(pages).select("page_id", "url", F.col("metadata.title").alias("title"))
+    return jobs.drained_table(titles, "extract")
+
+
+@_query("stream_links")
+def _stream_links(spark, folder):
+    pages = stream_pages(spark, folder, "pages.parquet").select("page_id", "url", "html")
+    found = html.links(pages).select("page_id", F.col("pos").cast("bigint").alias("pos"), "url", "text", "title")
+    return jobs.drained_table(found, "links")
 
 
 def titles_by_domain(spark: SparkSession, folder: str) -> DataFrame:
     """Books found per domain of a page table: read, extract, count."""
-    found = books.books(_pages(prepare(spark), folder)).withColumn("domain", domain_key(F.col("url")))
+    found = books.books(_pages(prepare(spark), folder)).withColumn("domain", domain_key("url"))
     return found.groupBy("domain").agg(F.count("*").alias("books"))

@@ -21,7 +21,7 @@ def request_reasons() -> F.Column:
     low, high = REQUEST_RANGES["priority"]
     return F.array_compact(
         F.array(
-            F.when(~is_http_url(F.col("url")), F.lit("url is no http url")),
+            F.when(~is_http_url("url"), F.lit("url is no http url")),
             F.when(~F.coalesce(F.col("source").isin(SOURCES), F.lit(False)), F.lit("unknown source")),
             F.when(~F.coalesce(F.col("priority").between(low, high), F.lit(False)), F.lit("priority out of range")),
         )

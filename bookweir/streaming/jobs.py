@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from bookweir.operators.books import extract_books
-from bookweir.operators.html import links
 from bookweir.session import use_checkpoint_dir
 
 _log = logging.getLogger(__name__)
@@ -46,19 +45,13 @@ def on_results(results: DataFrame, callback: Callable[[DataFrame, int], None]) -
     return results.writeStream.foreachBatch(call)
 
 
-def extract_new_pages(pages: DataFrame, books_path: str, links_path: str | None = None) -> DataStreamWriter:
-    """Books (and links) of new pages.
+def extract_new_pages(pages: DataFrame) -> DataFrame:
+    """Books of new pages as a stream.
 
-    Pages are independent, so each batch runs the batch job. A batch writes its
-    own folder, so a repeated batch replaces itself.
+    Extraction never leaves a page's row, so the batch job runs on a stream as
+    it is; `links` does too.
     """
-
-    def extract(batch: DataFrame, batch_id: int) -> None:
-        extract_books(batch).write.mode("overwrite").parquet(f"{books_path}/batch={batch_id}")
-        if links_path:
-            links(batch).write.mode("overwrite").parquet(f"{links_path}/batch={batch_id}")
-
-    return pages.writeStream.foreachBatch(extract)
+    return extract_books(pages)
 
 
 def drain(writer: DataStreamWriter, checkpoint: str) -> None:
