@@ -16,17 +16,17 @@ ENTITIES = [
 ]
 # Java's \s is ASCII only; (?U) widens it, and the four separators below
 # U+0020 count as white space as well.
-_SPACE = r"[\s\x1c-\x1f]"
-_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
-
-
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
+# All control characters; tabs and line breaks are spaces by then.
+_CONTROL = r"\p{Cc}"
 
 
 def clean_text(text: Column) -> Column:
-    """Collapse white space, decode six entities, drop control characters, strip."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U){_SPACE}+", " ")
+    """Collapse white space, decode six entities, drop control characters, strip.
+
+    Once the white space is collapsed only plain spaces are left to strip.
+    """
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, " ")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return strip(F.regexp_replace(out, _CONTROL, ""))
+    return F.trim(F.regexp_replace(out, _CONTROL, ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookweir.functions.selectors import Simple
+from bookweir.functions.selectors import AttrTest, Simple
 from bookweir.schemas import NODE
 
 # Elements without content, and the start tags that end an open
@@ -60,19 +60,17 @@ class _Elements(HTMLParser):
         self._wanted = wanted
         self._texts: list[str] = []
         self._open: list[tuple] = []
-        self._open_tags: Counter = Counter()
+        self._open_tags: defaultdict[str, int] = defaultdict(int)
         self._kept: list[int] = []
         self._next_pre = self._next_post = 0
         self.rows: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_PARAGRAPH:
+        if tag in ENDS_PARAGRAPH and self._open_tags["p"]:
             self._end_open({"p"}, PARAGRAPH_SCOPE)
         if tag in IMPLIED_ENDS:
             self._end_open(*IMPLIED_ENDS[tag])
-        named: dict[str, str] = {}
-        for name, value in attrs:
-            named.setdefault(name, value or "")
+        named = {name: value or "" for name, value in reversed(attrs)} if attrs else {}
         pre, self._next_pre = self._next_pre, self._next_pre + 1
         keep = self._wanted(tag, named)
         parent = self._open[-1][1] if self._open else None
@@ -98,6 +96,9 @@ class _Elements(HTMLParser):
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def finish(self, html: str) -> list[dict]:
         self.feed(html)
         self.close()
@@ -137,25 +138,42 @@ class _Elements(HTMLParser):
         return tag
 
 
+def _holds(test: AttrTest, attrs: dict) -> bool:
+    value = attrs.get(test.attr)
+    if value is None:
+        return False
+    if test.op == "eq":
+        return value == test.value
+    if test.op == "token":
+        return test.value in value.split()
+    return test.op == "has" or (test.value != "" and test.value in value)
+
+
 def _keeper(keep: list[Simple] | None) -> Callable[[str, dict], bool]:
-    """The `keep` list as a test on one start tag."""
+    """The `keep` list as a test on one start tag; most tags fail it without a look at attributes."""
     if keep is None:
         return lambda tag, attrs: True
-
-    def holds(test, attrs):
-        value = attrs.get(test.attr)
-        if value is None:
-            return False
-        if test.op == "eq":
-            return value == test.value
-        if test.op == "token":
-            return test.value in value.split()
-        return test.op == "has" or (test.value != "" and test.value in value)
-
-    return lambda tag, attrs: any(
-        (simple.tag is None or simple.tag == tag) and all(holds(test, attrs) for test in simple.tests)
-        for simple in keep
-    )
+    by_tag: dict[str | None, list] = defaultdict(list)
+    for simple in keep:
+        by_tag[simple.tag].append(simple.tests)
+    by_tag, anywhere = dict(by_tag), by_tag.get(None, [])
+    bare = any(not tests for tests in anywhere)
+
+    def wanted(tag: str, attrs: dict) -> bool:
+        candidates = by_tag.get(tag, ())
+        if attrs:
+            candidates = [*candidates, *anywhere]
+        elif bare:
+            return True
+        for tests in candidates:
+            for test in tests:
+                if not _holds(test, attrs):
+                    break
+            else:
+                return True
+        return False
+
+    return wanted
 
 
 def _elements(html: str | None, wanted: Callable[[str, dict], bool]) -> list[dict] | None:
