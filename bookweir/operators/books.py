@@ -281,8 +281,9 @@ def consolidate(found: DataFrame) -> DataFrame:
     firsts = []
     for field in METADATA.fields:
         value = F.col(f"metadata.{field.name}")
-        filled = _is_filled(value, field.dataType.typeName())
-        firsts.append(F.min_by(value, F.when(filled, order)).alias(field.name))
+        kind = field.dataType.typeName()
+        first = F.min_by(value, F.when(_is_filled(value, kind), order))
+        firsts.append((F.coalesce(first, F.array()) if kind == "array" else first).alias(field.name))
     merged = found.groupBy(book_key().alias("book_key")).agg(
         F.min_by("primary_source", order).alias("primary_source"),
         F.sort_array(F.collect_set("primary_source")).alias("sources"),
