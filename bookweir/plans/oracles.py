@@ -58,7 +58,7 @@ REQUESTS = f"""urls AS (SELECT {', '.join(REQUEST_URL_COLUMNS)} FROM events),
 
 def _unescaped(text: str) -> str:
     for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        text = f"replace({text}, '&{entity};', '{char}')"
+        text = f"regexp_replace({text}, '&{entity};?', '{char}', 'g')"
     return text
 
 

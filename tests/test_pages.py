@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bookweir.operators import books, dom, html
 from bookweir.operators.validate import validate_books
-from bookweir.plans.pipeline import scrape_batch
+from bookweir.plans.crawl import scrape_batch
 from bookweir.sources.pages import load_pages, stream_pages
 from bookweir.sources.tables import book_pages
 from bookweir.streaming import jobs
