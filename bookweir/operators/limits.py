@@ -8,7 +8,7 @@ from fractions import Fraction
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,8 +83,15 @@ class Bucket:
         self.refill = rate.numerator
         self.full = burst_size * self.one
 
+    def level(self, text: str) -> int:
+        """Units of a level written by `text`, also by a bucket with another rate."""
+        return min(self.full, int(Fraction(text) * self.one))
+
+    def text(self, units: int) -> str:
+        return f"{units}/{self.one}"
+
     def refilled(self, units: int, micros: int) -> int:
-        return min(self.full, units + micros * self.refill)
+        return min(self.full, units + max(0, micros) * self.refill)
 
     def taken(self, units: int) -> int:
         return units - self.one if units >= self.one else units
@@ -101,12 +108,13 @@ class Passage:
     once they met at the full mark).
     """
 
-    def __init__(self, bucket: Bucket):
+    def __init__(self, bucket: Bucket, known: int | None = None):
+        """Follow every start level, or the one level that is `known`."""
         self.bucket = bucket
-        self.ranges = [[0, bucket.full, 0, True]]
+        self.ranges = [[0, bucket.full, 0, True] if known is None else [0, bucket.full, known, False]]
 
     def step(self, micros: int) -> None:
-        bucket, add, out = self.bucket, micros * self.bucket.refill, []
+        bucket, add, out = self.bucket, max(0, micros) * self.bucket.refill, []
         for low, high, level, moving in self.ranges:
             level += add
             if not moving:
@@ -143,45 +151,42 @@ _SUMMARY = (
     "_chunk int, first_key string, first_us bigint, last_key string, last_us bigint,"
     " requests_per_second double, burst_size int, ranges array<struct<low:string,high:string,level:string,moving:boolean>>"
 )
-_COLUMNS = ["_chunk", "_key", "_us", "requests_per_second", "burst_size"]
+_COLUMNS = ["_chunk", "_key", "_us", "requests_per_second", "burst_size", "_saved"]
 
 
 def _chunk_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chunk: its first key, and how it leaves its last key's bucket.
 
     Only these two reach over the edges of a chunk. A key that starts inside
-    the chunk starts with a full bucket, so a single level is followed for it.
+    the chunk starts with its saved level or a full bucket, so a single level is
+    followed for it.
     """
     first = last = passage = None
     for batch in batches:
-        for chunk, key, micros, rate, burst in zip(*(batch.column(name).to_pylist() for name in _COLUMNS)):
-            if first is None:
-                first, last = (key, micros), (chunk, key, micros, rate, burst)
+        for row in zip(*(batch.column(name).to_pylist() for name in _COLUMNS)):
+            chunk, key, micros, rate, burst, saved = row
+            if saved is not None:
+                bucket = Bucket(rate, burst)
+                passage = Passage(bucket, bucket.level(saved))
+            elif first is None:
                 passage = Passage(Bucket(rate, burst))
                 passage.step(0)
-                continue
-            if key != last[1]:
+            elif key != last[1]:
                 bucket = Bucket(rate, burst)
-                passage = Passage(bucket)
-                passage.ranges = [[0, bucket.full, bucket.taken(bucket.full), False]]
+                passage = Passage(bucket, bucket.taken(bucket.full))
             else:
                 passage.step(micros - last[2])
-            last = (chunk, key, micros, rate, burst)
+            first, last = first or (key, micros), row
     if first is None:
         return
     ranges = [
         {"low": str(low), "high": str(high), "level": str(level), "moving": moving}
         for low, high, level, moving in passage.ranges
     ]
-    yield pa.RecordBatch.from_pylist(
-        [
-            {
-                "_chunk": last[0], "first_key": first[0], "first_us": first[1], "last_key": last[1], "last_us": last[2],
-                "requests_per_second": last[3], "burst_size": last[4], "ranges": ranges,
-            }
-        ],
-        schema=_SUMMARY_ARROW,
-    )
+    chunk, key, micros, rate, burst, _ = last
+    summary = {"_chunk": chunk, "first_key": first[0], "first_us": first[1], "last_key": key, "last_us": micros}
+    summary |= {"requests_per_second": rate, "burst_size": burst, "ranges": ranges}
+    yield pa.RecordBatch.from_pylist([summary], schema=_SUMMARY_ARROW)
 
 
 _SUMMARY_ARROW = pa.schema(
@@ -228,31 +233,41 @@ def _replay(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, level, seen, bucket, position = None, 0, 0, None, -1
         for batch in batches:
-            admitted, delays, tokens = [], [], []
+            asked, admitted, delays, tokens, levels = [], [], [], [], []
             columns = [batch.column(name).to_pylist() for name in [*_COLUMNS[1:], "_level", "_seen", "_pos"]]
-            for row_key, micros, rate, burst, start, start_seen, pos in zip(*columns):
+            for row_key, micros, rate, burst, saved, start, start_seen, pos in zip(*columns):
                 if pos <= position:
                     raise ValueError("chunk is out of order")
                 position = pos
+                asked.append(saved is None)
                 if bucket is None or row_key != key:
-                    fresh = bucket is None
-                    bucket = Bucket(rate, burst)
-                    level, seen = (int(start), start_seen) if fresh and start is not None else (bucket.full, micros)
-                    key = row_key
+                    goes_on = bucket is None and start is not None
+                    bucket, key = Bucket(rate, burst), row_key
+                    level, seen = (int(start), start_seen) if goes_on else (bucket.full, micros)
+                if saved is not None:
+                    level, seen = bucket.level(saved), micros
+                    continue
                 level, seen = bucket.refilled(level, micros - seen), micros
                 delays.append(bucket.delay(level))
                 admitted.append(level >= bucket.one)
                 level = bucket.taken(level)
                 tokens.append(level / bucket.one)
-            kept = [batch.column(name) for name in names]
+                levels.append(bucket.text(level))
+            kept = batch.select(names).filter(pa.array(asked, pa.bool_()))
+            results = [pa.array(admitted, pa.bool_()), pa.array(delays, pa.float64()), pa.array(tokens, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(admitted, pa.bool_()), pa.array(delays, pa.float64()), pa.array(tokens, pa.float64())],
-                [*names, "admitted", "delay_seconds", "tokens_after"],
+                [*kept.columns, *results, pa.array(levels, pa.string())],
+                [*names, "admitted", "delay_seconds", "tokens_after", "level"],
             )
 
     return run
 
 
+def _bucket_key(keys: str | list[str]) -> Column:
+    names = [keys] if isinstance(keys, str) else keys
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(name).cast("string"), F.lit("default")) for name in names])
+
+
 def token_bucket(
     rows: DataFrame,
     key: str | list[str],
@@ -260,20 +275,24 @@ def token_bucket(
     tie: str = "log_id",
     limit: Limit | None = None,
     chunks: int | None = None,
+    saved: DataFrame | None = None,
+    keep_level: bool = False,
 ) -> DataFrame:
     """Add `admitted`, `delay_seconds` and `tokens_after` to every request.
 
-    Each key has a bucket that starts full; a blocked request takes no token.
-    The limit comes from `limit` or from the columns `requests_per_second` and
+    Each key has a bucket that starts full, or at its `saved` level from an
+    earlier run (`bucket_levels`); a blocked request takes no token. The limit
+    comes from `limit` or from the columns `requests_per_second` and
     `burst_size` (`limit_lookup`). Requests run in (ts, tie) order.
 
     Three steps over even chunks: what each chunk does to the bucket of its last
     key, the level every chunk starts with (one row per chunk), and the replay.
-    A hot key is spread over many chunks and no task holds a whole key.
+    A hot key is spread over many chunks and no task holds a whole key. A saved
+    level is one more row in front of its key's requests.
     """
-    keys = [key] if isinstance(key, str) else key
-    name = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("default")) for k in keys])
-    timed = rows.withColumns({"_key": name, "_us": epoch_micros(F.col(ts))})
+    timed = rows.withColumns(
+        {"_key": _bucket_key(key), "_us": epoch_micros(F.col(ts)), "_saved": F.lit(None).cast("string")}
+    )
     if limit is not None:
         timed = timed.withColumns(
             {
@@ -281,8 +300,21 @@ def token_bucket(
                 "burst_size": F.lit(limit.burst_size),
             }
         )
-    timed = timed.withColumn("burst_size", F.col("burst_size").cast("int"))
-    chunked = ordered_chunks(timed, "_key", ["_us", tie], chunks)
+    timed = timed.withColumn("burst_size", F.col("burst_size").cast("int")).withColumn("_turn", F.lit(1))
+    if saved is not None:
+        now = limit or Limit(0)
+        levels = saved.select(
+            F.col("bucket_key").alias("_key"),
+            F.col("seen_us").alias("_us"),
+            F.col("level").alias("_saved"),
+            (F.lit(float(now.requests_per_second)) if limit else F.col("requests_per_second")).alias(
+                "requests_per_second"
+            ),
+            (F.lit(now.burst_size) if limit else F.col("burst_size")).cast("int").alias("burst_size"),
+            F.lit(0).alias("_turn"),
+        )
+        timed = timed.unionByName(levels, allowMissingColumns=True)
+    chunked = ordered_chunks(timed, "_key", ["_turn", "_us", tie], chunks)
     summaries = chunked.select(*_COLUMNS).mapInArrow(_chunk_summary, _SUMMARY)
     starts = (
         summaries.withColumn("_all", F.lit(0))
@@ -291,15 +323,40 @@ def token_bucket(
     )
     started = chunked.join(F.broadcast(starts), "_chunk", "left")
     kept = [field for field in timed.schema.fields if field.name in rows.columns]
-    schema = T.StructType(
-        [
-            *kept,
-            T.StructField("admitted", T.BooleanType()),
-            T.StructField("delay_seconds", T.DoubleType()),
-            T.StructField("tokens_after", T.DoubleType()),
-        ]
+    results = T.StructType.fromDDL("admitted boolean, delay_seconds double, tokens_after double, level string")
+    audited = started.mapInArrow(_replay([f.name for f in kept]), T.StructType([*kept, *results.fields]))
+    return audited if keep_level else audited.drop("level")
+
+
+def bucket_levels(
+    audited: DataFrame,
+    key: str | list[str],
+    ts: str = "ts",
+    tie: str = "log_id",
+    limit: Limit | None = None,
+    saved: DataFrame | None = None,
+) -> DataFrame:
+    """Levels to start the next run with, from an audit that kept its `level` column.
+
+    Keys without new requests keep their `saved` level.
+    """
+    rate = F.lit(float(limit.requests_per_second)) if limit else F.col("requests_per_second")
+    burst = F.lit(limit.burst_size) if limit else F.col("burst_size")
+    rows = audited.select(
+        _bucket_key(key).alias("bucket_key"),
+        "level",
+        epoch_micros(F.col(ts)).alias("seen_us"),
+        rate.alias("requests_per_second"),
+        burst.cast("int").alias("burst_size"),
+        F.struct(F.lit(1).alias("run"), epoch_micros(F.col(ts)).alias("us"), F.col(tie).alias("tie")).alias("at"),
     )
-    return started.mapInArrow(_replay([field.name for field in kept]), schema)
+    if saved is not None:
+        no_tie = F.lit(None).cast(audited.schema[tie].dataType)
+        earlier = F.struct(F.lit(0).alias("run"), F.col("seen_us").alias("us"), no_tie.alias("tie"))
+        rows = rows.unionByName(saved.withColumn("at", earlier))
+    names = ["level", "seen_us", "requests_per_second", "burst_size"]
+    last = rows.groupBy("bucket_key").agg(F.max_by(F.struct(*names), "at").alias("last"))
+    return last.select("bucket_key", "last.*")
 
 
 def nested_token_bucket(

@@ -403,6 +403,7 @@ _ORACLES: dict[str, str] = {
     status = 'success' AND log_id % 6 <> 5 AS has_book FROM results)
   SELECT metric, source, status, error_type, le, round(value, 3) AS value FROM ({_COUNTERS})""",
     "stream_token_bucket": _AUDIT_RESULT,
+    "stream_token_bucket_runs": _AUDIT_RESULT,
     "stream_adaptive": _ADAPTIVE_RESULT,
     "stream_extract": f"""SELECT page_id, url,
   {_element_text("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title FROM pages""",

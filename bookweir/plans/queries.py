@@ -766,6 +766,14 @@ def _stream_token_bucket(spark, folder):
     return _audit_result(audited.select(F.col("id").alias("log_id"), F.col("key").alias("domain"), "admitted", "delay_seconds", "tokens_after"))
 
 
+@_query("stream_token_bucket_runs")
+def _stream_token_bucket_runs(spark, folder):
+    path = jobs.work_folder(spark, "audit")
+    log = crawl_log(_stream_log(spark, folder)).select("log_id", "ts", "domain")
+    jobs.drain(stream_limits.audit_in_runs(log, "domain", AUDIT_LIMIT, path), f"{path}/state")
+    return _audit_result(spark.read.parquet(f"{path}/rows"))
+
+
 @_query("stream_adaptive")
 def _stream_adaptive(spark, folder):
     log = crawl_log(_stream_log(spark, folder))

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from bookweir.functions.times import epoch_micros
 from bookweir.operators.adaptive import AdaptiveConfig
-from bookweir.operators.limits import Bucket, Limit
+from bookweir.operators.limits import Bucket, Limit, bucket_levels, token_bucket
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -110,6 +110,29 @@ def stream_token_bucket(rows: DataFrame, key: str, limit: Limit, ts: str = "ts",
     )
 
 
+def audit_in_runs(
+    rows: DataFrame, key: str, limit: Limit, folder: str, ts: str = "ts", tie: str = "log_id"
+) -> DataStreamWriter:
+    """The token-bucket audit on a stream whose hot keys outgrow a task.
+
+    Every trigger is one run of the batch audit, which spreads a hot key over
+    many chunks and starts from the levels the run before left. A run writes
+    `rows/run=<n>` and `levels/run=<n>` below `folder`; a repeated run replaces
+    itself.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        saved = spark.read.parquet(f"{folder}/levels/run={batch_id - 1}") if batch_id else None
+        audited = token_bucket(batch, key, ts, tie, limit, saved=saved, keep_level=True)
+        audited.write.mode("overwrite").parquet(f"{folder}/rows/run={batch_id}")
+        written = spark.read.parquet(f"{folder}/rows/run={batch_id}")
+        levels = bucket_levels(written, key, ts, tie, limit, saved)
+        levels.write.mode("overwrite").parquet(f"{folder}/levels/run={batch_id}")
+
+    return rows.writeStream.foreachBatch(run)
+
+
 def stream_adaptive(
     rows: DataFrame,
     key: str,

@@ -177,6 +177,28 @@ def test_streams_equal_the_batch(spark, folder, tmp_path):
     _close(_figures(adapted.withColumnRenamed("id", "log_id")), _figures(batch))
 
 
+def test_runs_with_saved_levels_equal_one_run(spark, folder, tmp_path):
+    stream = crawl_log(_several_files(spark, folder, str(tmp_path / "events")))
+    limit, out = Limit(0.2 / 3600, 4), str(tmp_path / "audit")
+    jobs.drain(stream_limits.audit_in_runs(stream, "source", limit, out), f"{out}/state")
+    log = crawl_log(table(spark, folder, "events"))
+    expected = _loop(log.collect(), limit, lambda r: r.source)
+    assert _by_id(spark.read.parquet(f"{out}/rows")) == expected
+    assert spark.read.parquet(f"{out}/levels/run=3").count() == 5
+
+
+def test_saved_levels_survive_idle_runs_and_new_rates(spark):
+    limit = Limit(1, 4)
+    first = limits.token_bucket(_times(spark, [0, 0, 0]), "domain", limit=limit, keep_level=True)
+    levels = limits.bucket_levels(first, "domain", limit=limit)
+    other = limits.token_bucket(_times(spark, [1], "other"), "domain", limit=limit, saved=levels, keep_level=True)
+    levels = limits.bucket_levels(other, "domain", limit=limit, saved=levels)
+    assert {r.bucket_key: r.level for r in levels.collect()} == {"k": "1000000/1000000", "other": "3000000/1000000"}
+    again = limits.token_bucket(_times(spark, [1, 1, 1]), "domain", limit=Limit(0.5, 4), saved=levels)
+    assert [a for a, _ in sorted(_by_id(again).items())] == [0, 1, 2]
+    assert [_by_id(again)[i] for i in range(3)] == [(True, 0), (False, 1.0), (False, 1.0)]
+
+
 def test_a_failing_callback_does_not_stop_the_stream(spark, folder, tmp_path):
     stream = crawl_log(_several_files(spark, folder, str(tmp_path / "events")))
     seen = []
