@@ -30,9 +30,10 @@ def scrape_results(fetches: DataFrame) -> DataFrame:
 def scrape_batch(requests: DataFrame, fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results of the accepted tasks, and the rejected tasks with reasons.
 
-    Tasks meet results after extraction, when a row is small. A task whose URL
-    was not fetched has a null status.
+    `fetches` names the task it belongs to by request_id and pos, so a URL that
+    was asked for many times never meets its copies. Tasks meet results after
+    extraction, when a row is small. A task without a fetch has a null status.
     """
     accepted, rejected = validate_requests(expand_requests(requests))
-    results = scrape_results(fetches).drop("source")
-    return accepted.join(results, "url", "left"), rejected
+    results = scrape_results(fetches).drop("source", "url")
+    return accepted.join(results, ["request_id", "pos"], "left"), rejected

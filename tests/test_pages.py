@@ -227,24 +227,26 @@ def test_consolidated_sources(spark):
 
 def test_batch_results(spark):
     requests = spark.createDataFrame(
-        [(1, ["https://h/1", "https://h/2", "https://h/3", "https://h/4", "oops"], "amazon", 5)],
+        [(1, ["https://h/1", "https://h/2", "https://h/3", "https://h/4", "oops", "https://h/1"], "amazon", 5)],
         "request_id int, urls array<string>, source string, priority int",
     )
     fetches = spark.createDataFrame(
         [
-            (1, "https://h/1", "amazon", 200, None, "<title>T</title>"),
-            (2, "https://h/2", "amazon", 200, None, "<p>nothing</p>"),
-            (3, "https://h/3", "amazon", 404, None, "gone"),
+            (1, 0, 1, "https://h/1", "amazon", 200, None, "<title>T</title>"),
+            (1, 1, 2, "https://h/2", "amazon", 200, None, "<p>nothing</p>"),
+            (1, 2, 3, "https://h/3", "amazon", 404, None, "gone"),
+            (1, 5, 4, "https://h/1", "amazon", 200, None, ""),
         ],
-        "page_id int, url string, source string, http_status int, exception_class string, html string",
+        "request_id int, pos int, page_id int, url string, source string, http_status int, exception_class string, html string",
     )
     results, rejected = scrape_batch(requests, fetches)
-    got = {r.url: (r.status, r.metadata and r.metadata.title, r.error_code) for r in results.collect()}
+    got = {r.pos: (r.status, r.metadata and r.metadata.title, r.error_code) for r in results.collect()}
     assert got == {
-        "https://h/1": ("success", "T", None),
-        "https://h/2": ("partial", None, None),
-        "https://h/3": ("failed", None, "HTTP_404"),
-        "https://h/4": (None, None, None),
+        0: ("success", "T", None),
+        1: ("partial", None, None),
+        2: ("failed", None, "HTTP_404"),
+        3: (None, None, None),
+        5: ("success", None, None),
     }
     assert [r.url for r in rejected.collect()] == ["oops"]
 
