@@ -72,11 +72,14 @@ def active_requests(results: DataFrame) -> DataFrame:
     A request is open during [ts, ts + response time], both ends included.
     Edges are summed per instant first. The running sum then goes by calendar -
     days, seconds of a day, instants of a second - so no window sees more than
-    the number of days, 86,400 or a million rows, whatever the log holds.
+    the number of days, 86,400 or a million rows, whatever the log holds. The
+    three levels share one shuffle of the instants: times are made non-null, or
+    the joins would filter each copy in its own way.
     """
     started = epoch_micros(F.col("ts"))
     ended = started + F.round(F.col("response_time_ms") * 1000).cast("bigint")
-    edges = results.select(
+    timed = results.filter(F.col("ts").isNotNull() & F.col("response_time_ms").isNotNull())
+    edges = timed.select(
         F.inline(
             F.array(
                 F.struct(started.alias("at_us"), F.lit(1).alias("opened"), F.lit(0).alias("closed")),
@@ -85,11 +88,13 @@ def active_requests(results: DataFrame) -> DataFrame:
         )
     )
     instants = edges.groupBy("at_us").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
-    instants = instants.withColumn("second", F.floor(F.col("at_us") / _SECOND)).withColumn(
-        "net", F.col("opened") - F.col("closed")
-    )
+
+    def unit(time: str, size: int) -> Column:
+        return F.coalesce(F.floor(F.col(time) / size), F.lit(0))
+
+    instants = instants.withColumns({"second": unit("at_us", _SECOND), "net": F.col("opened") - F.col("closed")})
     seconds = instants.groupBy("second").agg(F.sum("net").alias("net"))
-    seconds = seconds.withColumn("day", F.floor(F.col("second") / (_DAY // _SECOND)))
+    seconds = seconds.withColumn("day", unit("second", _DAY // _SECOND))
     days = seconds.groupBy("day").agg(F.sum("net").alias("net"))
 
     before_day = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)

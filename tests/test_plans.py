@@ -51,3 +51,11 @@ CHEAP = ["active_requests", "request_rate_5m", "job_performance", "book_consolid
 def test_no_pairs(spark, folder, name):
     plan = _plan(entry.queries()[name](spark, folder))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["active_requests", "link_rollup"])
+def test_levels_share_one_scan(spark, folder, name):
+    df = entry.queries()[name](spark, folder)
+    df.collect()
+    final = _plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 2
