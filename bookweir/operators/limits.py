@@ -114,7 +114,12 @@ class Passage:
         self.ranges = [[0, bucket.full, 0, True] if known is None else [0, bucket.full, known, False]]
 
     def step(self, micros: int) -> None:
-        bucket, add, out = self.bucket, max(0, micros) * self.bucket.refill, []
+        bucket = self.bucket
+        if len(self.ranges) == 1 and not self.ranges[0][3]:
+            only = self.ranges[0]
+            only[2] = bucket.taken(bucket.refilled(only[2], micros))
+            return
+        add, out = max(0, micros) * bucket.refill, []
         for low, high, level, moving in self.ranges:
             level += add
             if not moving:
@@ -227,7 +232,7 @@ def _chunk_starts(summaries: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(starts, columns=["_chunk", "_level", "_seen"])
 
 
-def _replay(names: list[str]):
+def _replay(names: list[str], keep_level: bool):
     """Follow the bucket through one chunk, row by row, holding one batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +257,7 @@ def _replay(names: list[str]):
                 admitted.append(level >= bucket.one)
                 level = bucket.taken(level)
                 tokens.append(level / bucket.one)
-                levels.append(bucket.text(level))
+                levels.append(bucket.text(level) if keep_level else None)
             kept = batch.select(names).filter(pa.array(asked, pa.bool_()))
             results = [pa.array(admitted, pa.bool_()), pa.array(delays, pa.float64()), pa.array(tokens, pa.float64())]
             yield pa.RecordBatch.from_arrays(
@@ -324,7 +329,7 @@ def token_bucket(
     started = chunked.join(F.broadcast(starts), "_chunk", "left")
     kept = [field for field in timed.schema.fields if field.name in rows.columns]
     results = T.StructType.fromDDL("admitted boolean, delay_seconds double, tokens_after double, level string")
-    audited = started.mapInArrow(_replay([f.name for f in kept]), T.StructType([*kept, *results.fields]))
+    audited = started.mapInArrow(_replay([f.name for f in kept], keep_level), T.StructType([*kept, *results.fields]))
     return audited if keep_level else audited.drop("level")
 
 
