@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bookweir.llm import dedup, mixing
+from bookweir.llm import bpe, dedup, langid, mixing, pii, quality, token_counts
 from bookweir.session import prepare
 from bookweir.sources.tables import table
 
@@ -23,6 +24,31 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@_query
+def op2_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.span_digests(table(spark, folder, "documents"))
+
+
+@_query
+def op5_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(table(spark, folder, "documents"))
+
+
+@_query
+def op6_language_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(table(spark, folder, "documents"))
+
+
+@_query
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@_query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_groups(table(spark, folder, "documents"))
