@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bookweir.llm import bpe, dedup, langid, main_text, mixing, pii, quality, token_counts
+from bookweir.llm import bpe, dedup, langid, main_text, mixing, near, pii, quality, token_counts
 from bookweir.session import prepare
 from bookweir.sources.tables import table
 
@@ -34,6 +34,11 @@ def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.main_texts(table(spark, folder, "pages"))
 
 
+@_query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 @_query
 def op5_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
