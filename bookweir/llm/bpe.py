@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import unicodedata
 from functools import partial
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -214,8 +215,15 @@ def _merger(path: str) -> Merger:
     return once(f"bpe {path}", partial(Merger, path))
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all items of stretches that start at `starts`, one stretch after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Each row (struct `row`) and `out`: the ids of its text and the byte offset of each token.
+    """Each row (struct `row`) and `out`: n_tokens, the ids of its text, the byte offset of each token,
+    and decoded_sha256, the digest of what the ids decode to.
 
     `path` is the rank file. Null text is empty and has no tokens; repeated rows get the
     same ids; a long text is handled like any other; an empty table gives an empty result.
@@ -224,16 +232,32 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
     def work(texts: pa.Array) -> list:
         merger = _merger(path)
         ids, number, at, first = _pieces(texts, merger)
-        sizes = [[len(merger.tokens[i]) for i in x] for x in ids]
-        all_ids, all_starts = [], []
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        widths = np.fromiter((len(merger.tokens[i]) for i in flat.tolist()), np.int64, len(flat))
+        before = np.cumsum(widths) - widths
+        begins = np.cumsum(sizes) - sizes
+        own = sizes[number]
+        places = _ragged(begins[number], own)
+        # Bytes before a token: those before its pre-token, less those before the text, and those inside.
+        inside = before[places] - np.repeat(before[begins[number]], own) if len(places) else places
+        of_text = np.repeat(at[first[:-1]], np.diff(first))
+        starts = np.repeat(at[:-1] - of_text, own) + inside
+        ends = np.concatenate(([0], np.cumsum(own)))[first]
+        tokens = flat[places]
+        back = [merger.decode(x) for x in ids]
+        decoded_hash = []
         for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
-            chosen = number[lo:hi].tolist()
-            all_ids.append([i for k in chosen for i in ids[k]])
-            ends = np.cumsum([0] + [s for k in chosen for s in sizes[k]])
-            all_starts.append(ends[:-1])
-        return [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_starts, pa.list_(pa.int64()))]
-
-    return map_texts(docs, text_col, "ids array<int>, starts array<long>", work, keep, limit=1 << 20)
+            decoded_hash.append(hashlib.sha256(b"".join([back[k] for k in number[lo:hi].tolist()])).hexdigest())
+        return [
+            pa.array(np.diff(ends)),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens)),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(starts)),
+            pa.array(decoded_hash, pa.string()),
+        ]
+
+    result = "n_tokens long, ids array<int>, starts array<long>, decoded_sha256 string"
+    return map_texts(docs, text_col, result, work, keep, limit=1 << 20)
 
 
 def decoded(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bookweir.llm import bpe, dedup, langid, main_text, mixing, near, pii, quality, token_counts
+from bookweir.llm import bpe, dedup, langid, lm, main_text, mixing, near, pii, quality, token_counts
 from bookweir.session import prepare
 from bookweir.sources.tables import table
 
@@ -24,6 +24,11 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@_query
+def op1_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.text_scores(table(spark, folder, "documents"))
+
+
 @_query
 def op2_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.span_digests(table(spark, folder, "documents"))
