@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
 from functools import partial
 from itertools import chain
 from pathlib import Path
@@ -81,13 +80,19 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _classes() -> np.ndarray:
-    """Class of every codepoint: letter, number, other or white space (as MORE)."""
+    """Class of every codepoint: letter, number, other or white space (as MORE).
+
+    Which codepoints are letters or numbers changes from one version of Unicode to the next,
+    so the tokenizer library is asked once: with a class for a pattern it keeps just that class.
+    """
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     table = np.full(0x110000, OTHER, np.uint8)
-    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
-    table[[c for c, k in enumerate(kinds) if k[0] == "L"]] = LETTER
-    table[[c for c, k in enumerate(kinds) if k[0] == "N"]] = NUMBER
-    table[[c for c, k in enumerate(kinds) if k in ("Zs", "Zl", "Zp")]] = MORE
-    table[[9, 10, 11, 12, 13, 0x85]] = MORE
+    for symbol, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (MORE, r"\s")):
+        of_class = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        kept = of_class.decode_bytes(of_class.encode_ordinary(every)).decode()
+        table[np.frombuffer(kept.encode("utf-32-le"), np.uint32)] = symbol
     return table
 
 

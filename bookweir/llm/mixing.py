@@ -169,8 +169,8 @@ def mix(
     Columns: row (a struct of the columns in `keep`, all by default), size (words),
     source_size, target, and `taken`, an array with a struct (shard, place) for each time
     the document is taken; `place` orders a shard's documents at random. Documents are
-    taken whole. Where a pass ends inside a block, its documents are taken in order while
-    they fit, and the gap goes to the one whose size is nearest to it.
+    taken whole. Where a pass ends inside a block, its documents are taken in order as long
+    as they fit, so what is left open is less than the smallest that isn't taken.
 
     Null text has no words and is never taken; null is a source of its own, ordered last;
     repeated rows fall into one block and count each; a source without words has target 0;
@@ -228,21 +228,22 @@ def mix(
         F.max("rest").alias("rest"),
         F.max(F.when(F.col("rest").isNotNull(), F.struct("pass", "shard"))).alias("partly"),
     )
-    # A block that is cut: one for each source at most.
+    # A block that is cut, one for each source at most: its documents go in, in the order of
+    # their hashes, as long as they fit. A block has so many words at most, so many documents.
     cut = lean.join(decided.filter("rest IS NOT NULL").select("s", "block", "rest"), ["s", "block"]).filter("size > 0")
-    inside = Window.partitionBy("s", "block").orderBy("h")
-    cut = cut.withColumn("upto", F.sum("size").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
-    gap = F.col("rest") - F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto")).otherwise(0)).over(Window.partitionBy("s", "block"))
-    cut = cut.withColumn("gap", gap)
-    off = F.when(F.col("upto") > F.col("rest"), F.abs(F.col("size") - F.col("gap")))
-    nearest = cut.groupBy("s", "block").agg(
-        F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "h"))).alias("fits"),
-        F.min(F.when(off < F.col("gap"), F.struct(off.alias("off"), F.col("h").alias("h")))).alias("fills"),
+    alike = cut.groupBy("s", "block", "rest", "h").agg(F.sum("size").alias("size"))
+    items = alike.groupBy("s", "block").agg(
+        F.sort_array(F.collect_list(F.struct("h", "size"))).alias("items"), F.max("rest").alias("room")
     )
-    decided = decided.join(nearest, ["s", "block"], "left").select(
-        "s", "block", "whole", "partly", F.col("fits.h").alias("up_to_h"), F.col("fills.h").alias("fill_h")
-    )
-    one_more = F.col("partly").isNotNull() & ((F.col("h") <= F.col("up_to_h")) | F.coalesce(F.col("h") == F.col("fill_h"), F.lit(False)))
+    start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("chosen"))
+
+    def add(a: Column, i: Column) -> Column:
+        more = F.struct((a["room"] - i["size"]).alias("room"), F.array_append(a["chosen"], i["h"]).alias("chosen"))
+        return F.when(i["size"] <= a["room"], more).otherwise(a)
+
+    fitting = items.select("s", "block", F.aggregate("items", start, add, lambda a: a["chosen"]).alias("chosen"))
+    decided = decided.join(fitting, ["s", "block"], "left").select("s", "block", "whole", "partly", "chosen")
+    one_more = F.coalesce(F.array_contains("chosen", F.col("h")), F.lit(False))
     times = F.concat(
         F.coalesce("whole", F.array().cast("array<struct<pass:bigint,shard:bigint>>")),
         F.when(one_more, F.array("partly")).otherwise(F.array().cast("array<struct<pass:bigint,shard:bigint>>")),
