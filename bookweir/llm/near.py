@@ -282,21 +282,23 @@ def _shared(packed: DataFrame) -> DataFrame:
     return settle(packed.groupBy("part").applyInArrow(_share, _PACKED))
 
 
+_SIGNED = "sig long, class long, n long, level long"
+
+
 def _signatures(batches):
-    """Rows (sig, class, n) of each set: single rare shingles, pairs of frequent ones of a token class."""
+    """Rows (sig, class, n, level) of each set."""
     for batch in batches:
-        sigs, owners, sizes = [], [], []
+        sigs, levels, owners, sizes = [], [], [], []
         for ident, n, tokens, counts in zip(*(batch.column(k).to_pylist() for k in ("id", "n", "tokens", "counts"))):
             tokens, counts = np.frombuffer(tokens, np.uint64), np.frombuffer(counts, np.uint32)
-            own = signatures(n, tokens, counts)
+            own, level = signatures(n, tokens, counts)
             sigs.append(own)
+            levels.append(level)
             owners.append(np.full(len(own), ident))
             sizes.append(np.full(len(own), n))
         if sigs:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))],
-                names=["sig", "class", "n"],
-            )
+            columns = [np.concatenate(sigs).view(np.int64), *(np.concatenate(x) for x in (owners, sizes, levels))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "class", "n", "level"])
 
 
 def band(n: int) -> int:
@@ -307,34 +309,43 @@ def token_classes(scheme: int) -> int:
     return max(1, int(math.exp(scheme * _BAND)) // TOKENS_PER_CLASS)
 
 
-def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, frequent: int = FREQUENT) -> np.ndarray:
-    """Signatures of a set of n shingles, of which `tokens` are in `counts` sets each and the others in no other set."""
+def signatures(
+    n: int, tokens: np.ndarray, counts: np.ndarray, frequent: int = FREQUENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of n shingles, of which `tokens` are in `counts` sets each and the others in no other set.
+
+    The level of a signature says for which partners it is needed: a partner that may lack
+    `tau` shingles of the set has one of a level of `tau + 1` at most in common.
+    """
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
-    # Of n shingles a partner may lack n - ceil(3n/4); those that no one shares come first.
-    need = n - -(-n * NUMERATOR // DENOMINATOR) + 1 - (n - len(tokens))
-    if need <= 0:
-        return np.zeros(0, np.uint64)
+    # Shingles that no one shares come first. Of n shingles a partner may lack n - ceil(3n/4).
+    alone = n - len(tokens)
+    most = n - -(-n * NUMERATOR // DENOMINATOR) + 1
+    if alone >= most:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n_rare = int(np.searchsorted(counts, frequent))
-    found = [spans.mix(tokens[: min(need, n_rare)])]
-    need -= n_rare
-    if need > 0:
+    single = min(most - alone, n_rare)
+    found, levels = [spans.mix(tokens[:single])], [alone + 1 + np.arange(single)]
+    if alone + n_rare < most:
         often = tokens[n_rare:]
         spread = spans.mix(often + np.uint64(11))
         for scheme in (band(n), band(n) + 1):
             kind = (spread % np.uint64(token_classes(scheme))).astype(np.int64)
             first = np.zeros(len(often), bool)
             first[np.unique(kind, return_index=True)[1]] = True
-            upto = int(np.searchsorted(np.cumsum(~first), need)) + 1
-            inside, kind_in = often[:upto], kind[:upto]
+            reached = alone + n_rare + np.cumsum(~first)
+            upto = int(np.searchsorted(reached, most)) + 1
+            inside, kind_in, reached = often[:upto], kind[:upto], reached[:upto]
             by_kind = np.lexsort((inside, kind_in))
-            inside, kind_in = inside[by_kind], kind_in[by_kind]
+            inside, kind_in, reached = inside[by_kind], kind_in[by_kind], reached[by_kind]
             cuts = np.flatnonzero(np.diff(kind_in, prepend=-1, append=-1))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if hi - lo > 1:
                     a, b = np.array(list(itertools.combinations(range(lo, hi), 2))).T
                     found.append(spans.mix(spans.mix(inside[a]) * np.uint64(3) + inside[b] + np.uint64(scheme + 1)))
-    return np.unique(np.concatenate(found))
+                    levels.append(np.maximum(reached[a], reached[b]))
+    return np.concatenate(found), np.concatenate(levels)
 
 
 def _similar(batches):
@@ -382,40 +393,55 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def _sizes_fit(n: str, m: str) -> Column:
-    return (F.col(n) * DENOMINATOR >= F.col(m) * NUMERATOR) & (F.col(m) * DENOMINATOR >= F.col(n) * NUMERATOR)
+def _may_link() -> Column:
+    """Whether a signature that two sets (n, level) and (m, other) have in common can be the one that a link needs.
+
+    A link of sets of n and m shingles has 3(n + m)/7 in common, so `tau` of either is what is above that.
+    """
+    common = F.ceil((F.col("n") + F.col("m")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    return (F.col("level") <= F.col("n") - common + 1) & (F.col("other") <= F.col("m") - common + 1)
+
+
+def _groups(sets: DataFrame) -> DataFrame:
+    """Rows (sig, class, n, level) of the groups of two or more; groups of the same members are one."""
+    rows = sets.mapInArrow(_signatures, _SIGNED)
+    groups = rows.groupBy("sig").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y")
+    )
+    groups = groups.filter("size > 1").select("sig", F.xxhash64("size", "x", "y").alias("members"))
+    joined = rows.join(groups, "sig").groupBy("members", "class").agg(F.min("n").alias("n"), F.min("level").alias("level"))
+    return joined.withColumnRenamed("members", "sig")
 
 
 def linked_classes(sets: DataFrame) -> DataFrame:
     """Columns id and component of the classes that link, from the sets (id, n, tokens, counts)."""
-    rows = sets.mapInArrow(_signatures, "sig long, class long, n long")
-    groups = rows.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-    groups = settle(rows.join(groups.select("sig"), "sig"))
+    groups = settle(_groups(sets))
     found, links = groups.select(F.col("class").alias("id")).limit(0).withColumn("component", F.col("id")), None
 
     def by_component() -> DataFrame:
         """Groups that hold more than one component, with it."""
         joined = groups.join(found.withColumnRenamed("id", "class"), "class", "left")
-        joined = joined.select("sig", "class", "n", F.coalesce("component", "class").alias("component"))
+        joined = joined.select("sig", "class", "n", "level", F.coalesce("component", "class").alias("component"))
         several = joined.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        return joined.join(several.select("sig"), "sig")
+        return settle(joined.join(several.select("sig"), "sig"))
 
     for turn in range(ROUNDS + 1):
-        groups_now = by_component()
+        left = by_component()
+        if left.isEmpty():
+            break
+        one = [F.col("class").alias("c"), F.col("n").alias("m"), F.col("level").alias("other"), F.col("component").alias("k")]
         if turn < ROUNDS:
             # Every group compares the member of smallest hash, mostly the same for all groups of a cluster.
-            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), F.col("class").alias("c"), F.col("n").alias("m"), F.col("component").alias("k")))
-            centres = groups_now.groupBy("sig").agg(centre.alias("x")).select("sig", "x.c", "x.m", "x.k")
+            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), *one)).alias("x")
+            centres = left.groupBy("sig").agg(centre).select("sig", "x.c", "x.m", "x.other", "x.k")
+            pairs = left.join(centres, "sig").filter(F.col("component") != F.col("k"))
         else:
-            centres = groups_now.select("sig", F.col("class").alias("c"), F.col("n").alias("m"), F.col("component").alias("k"))
-        pairs = groups_now.join(centres, "sig").filter("component != k").filter(_sizes_fit("n", "m"))
-        pairs = pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
-        fresh = settle(verified(pairs, sets))
+            pairs = left.join(left.select("sig", *one), "sig").filter(F.col("component") < F.col("k"))
+        pairs = pairs.filter(_may_link()).select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b"))
+        fresh = settle(verified(pairs.distinct(), sets))
         if not fresh.isEmpty():
             links = fresh if links is None else links.union(fresh)
             found = components(links)
-        if by_component().isEmpty():
-            break
     return found
 
 

@@ -185,7 +185,7 @@ def test_links_share_a_signature():
     import numpy as np
 
     rng = random.Random(8)
-    for _ in range(300):
+    for _ in range(600):
         n = rng.randint(3, 120)
         universe = [rng.getrandbits(48) for _ in range(2 * n)]
         counts = {t: rng.choice([2, 3, 50, 90]) for t in universe}
@@ -195,10 +195,12 @@ def test_links_share_a_signature():
             y.discard(t)
         y |= set(universe[n : n + rng.randint(0, n // 5)])
         if 4 * len(x & y) >= 3 * len(x | y):
-            a, b = (
-                near.signatures(len(s), np.array(sorted(s), np.uint64), np.array([counts[t] for t in sorted(s)])) for s in (x, y)
-            )
-            assert set(a.tolist()) & set(b.tolist()), (len(x), len(y))
+            common = -(-3 * (len(x) + len(y)) // 7)
+            needed = []
+            for s in (x, y):
+                sigs, levels = near.signatures(len(s), np.array(sorted(s), np.uint64), np.array([counts[t] for t in sorted(s)]))
+                needed.append(set(sigs[levels <= len(s) - common + 1].tolist()))
+            assert needed[0] & needed[1], (len(x), len(y))
 
 
 def test_one_of_each_component_stays(spark):
