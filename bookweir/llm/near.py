@@ -18,8 +18,8 @@ what can matter for it:
    signatures. The number of token classes follows the size of the set, by bands; a document
    uses its own band and the next, which is all that a partner's size allows.
 4. In each group of equal signatures one class, the same in most groups, is compared with all
-   others, and what links is one component. After some such rounds only members of different
-   components of a group still have to be compared, and all of these are.
+   others and then leaves the group; what links is one component. After some such rounds only
+   members of different components that are left in a group have to be compared, and all are.
 """
 
 from __future__ import annotations
@@ -282,13 +282,13 @@ def _shared(packed: DataFrame) -> DataFrame:
     return settle(packed.groupBy("part").applyInArrow(_share, _PACKED))
 
 
-_SIGNED = "sig long, class long, n long, level long"
+_SIGNED = "sig long, class long, n long, alone long, level long"
 
 
 def _signatures(batches):
-    """Rows (sig, class, n, level) of each set."""
+    """Rows (sig, class, n, shingles that no one shares, level) of each set."""
     for batch in batches:
-        sigs, levels, owners, sizes = [], [], [], []
+        sigs, levels, owners, sizes, alone = [], [], [], [], []
         for ident, n, tokens, counts in zip(*(batch.column(k).to_pylist() for k in ("id", "n", "tokens", "counts"))):
             tokens, counts = np.frombuffer(tokens, np.uint64), np.frombuffer(counts, np.uint32)
             own, level = signatures(n, tokens, counts)
@@ -296,9 +296,11 @@ def _signatures(batches):
             levels.append(level)
             owners.append(np.full(len(own), ident))
             sizes.append(np.full(len(own), n))
+            alone.append(np.full(len(own), n - len(tokens)))
         if sigs:
-            columns = [np.concatenate(sigs).view(np.int64), *(np.concatenate(x) for x in (owners, sizes, levels))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "class", "n", "level"])
+            columns = [np.concatenate(sigs).view(np.int64), *(np.concatenate(x) for x in (owners, sizes, alone, levels))]
+            names = ["sig", "class", "n", "alone", "level"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def band(n: int) -> int:
@@ -403,14 +405,15 @@ def _may_link() -> Column:
 
 
 def _groups(sets: DataFrame) -> DataFrame:
-    """Rows (sig, class, n, level) of the groups of two or more; groups of the same members are one."""
+    """Rows (sig, class, n, alone, level) of the groups of two or more; groups of the same members are one."""
     rows = sets.mapInArrow(_signatures, _SIGNED)
     groups = rows.groupBy("sig").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y")
     )
     groups = groups.filter("size > 1").select("sig", F.xxhash64("size", "x", "y").alias("members"))
-    joined = rows.join(groups, "sig").groupBy("members", "class").agg(F.min("n").alias("n"), F.min("level").alias("level"))
-    return joined.withColumnRenamed("members", "sig")
+    joined = rows.join(groups, "sig").groupBy("members", "class")
+    merged = joined.agg(F.min("n").alias("n"), F.min("alone").alias("alone"), F.min("level").alias("level"))
+    return merged.withColumnRenamed("members", "sig")
 
 
 def linked_classes(sets: DataFrame) -> DataFrame:
@@ -418,23 +421,23 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     groups = settle(_groups(sets))
     found, links = groups.select(F.col("class").alias("id")).limit(0).withColumn("component", F.col("id")), None
 
-    def by_component() -> DataFrame:
-        """Groups that hold more than one component, with it."""
+    for turn in range(ROUNDS + 1):
+        # Only groups that hold more than one component go on.
         joined = groups.join(found.withColumnRenamed("id", "class"), "class", "left")
-        joined = joined.select("sig", "class", "n", "level", F.coalesce("component", "class").alias("component"))
+        joined = joined.withColumn("component", F.coalesce("component", "class"))
         several = joined.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        return settle(joined.join(several.select("sig"), "sig"))
-
-    for turn in range(ROUNDS + 1):
-        left = by_component()
+        left = settle(joined.join(several.select("sig"), "sig"))
         if left.isEmpty():
             break
         one = [F.col("class").alias("c"), F.col("n").alias("m"), F.col("level").alias("other"), F.col("component").alias("k")]
         if turn < ROUNDS:
-            # Every group compares the member of smallest hash, mostly the same for all groups of a cluster.
-            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), *one)).alias("x")
-            centres = left.groupBy("sig").agg(centre).select("sig", "x.c", "x.m", "x.other", "x.k")
+            # Every group compares the member that has least of its own, mostly the same for all groups of a
+            # cluster, with all others, and is done with it.
+            centre = F.min(F.struct("alone", F.xxhash64("class").alias("h"), *one)).alias("x")
+            centres = settle(left.groupBy("sig").agg(centre).select("sig", "x.c", "x.m", "x.other", "x.k"))
             pairs = left.join(centres, "sig").filter(F.col("component") != F.col("k"))
+            spent = centres.select("sig", F.col("c").alias("class"))
+            groups = left.drop("component").join(spent, ["sig", "class"], "left_anti")
         else:
             pairs = left.join(left.select("sig", *one), "sig").filter(F.col("component") < F.col("k"))
         pairs = pairs.filter(_may_link()).select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b"))
