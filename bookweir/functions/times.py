@@ -19,3 +19,13 @@ def epoch_millis(ts: Column) -> Column:
 
 def from_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.expr(_EPOCH))
+
+
+_UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000}
+_UNITS |= {"day": 86_400_000_000, "week": 604_800_000_000}
+
+
+def interval_micros(text: str) -> int:
+    """Microseconds of a length of time such as `5 minutes` or `1 hour 30 minutes`."""
+    words = text.split()
+    return sum(int(n) * _UNITS[unit.lower().removesuffix("s")] for n, unit in zip(words[::2], words[1::2], strict=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,17 +26,23 @@ class AdaptiveConfig:
     keep: float = 0.7
 
 
-# Weights below 0.7 ** 256 (2e-40) vanish next to any factor, so a full step of
-# 256 rows forgets what came before it.
-_STEP = 256
 BLOCK_ROWS = 65_536
-CONTEXT_ROWS = 2 * _STEP
 
 
-def _blocks(rows: DataFrame, key: str, ts: str, tie: str, chunks: int | None, block_rows: int) -> DataFrame:
+def _step(config: AdaptiveConfig) -> int:
+    """Rows after which a weight has fallen below 1e-30: a full step forgets what came before it."""
+    if not 0 <= config.keep < 1:
+        raise ValueError("keep must be at least 0 and less than 1")
+    return max(1, math.ceil(30 / -math.log10(config.keep))) if config.keep else 1
+
+
+def _blocks(
+    rows: DataFrame, key: str, ts: str, tie: str, chunks: int | None, block_rows: int, context: int
+) -> DataFrame:
+    """Blocks with `context` earlier rows; they grow where the context asks for it."""
     timed = rows.withColumn("_us", epoch_micros(F.col(ts)))
     chunked = ordered_chunks(timed, key, ["_us", tie], chunks)
-    return with_context_blocks(with_dense_position(chunked), block_rows, CONTEXT_ROWS)
+    return with_context_blocks(with_dense_position(chunked), max(block_rows, 2 * context), context)
 
 
 def _with_rolling(blocks: DataFrame, key: str, seconds: Column, success: Column, config: AdaptiveConfig) -> DataFrame:
@@ -61,8 +68,9 @@ def rolling_response(
     chunks: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Mean response time and error rate over the key's last 100 responses."""
-    blocks = _with_rolling(_blocks(rows, key, ts, tie, chunks, block_rows), key, seconds, success, config)
+    """Mean response time and error rate over the key's last responses, as many as the history has."""
+    blocks = _blocks(rows, key, ts, tie, chunks, block_rows, config.history)
+    blocks = _with_rolling(blocks, key, seconds, success, config)
     return blocks.filter(~F.col("_context")).select(*rows.columns, "avg_response_time", "avg_error_rate")
 
 
@@ -80,21 +88,23 @@ def adaptive_rate(
     """Add the adaptation factor and current rate after every response.
 
     The smoothed factor is a weighted sum, so running sums give it without a
-    loop: weights restart every 256 positions, and the sum at the end of one
-    such step is all the next one needs. Context rows carry both the rolling
-    figures and that sum over a block's edge, so a hot key is spread over as
-    many blocks as it has rows for.
+    loop: weights restart after a step of rows, as long as `keep` asks for, and
+    the sum at the end of one step is all the next one needs. Context rows carry
+    both the rolling figures and that sum over a block's edge, so a hot key is
+    spread over as many blocks as it has rows for.
     """
-    blocks = _with_rolling(_blocks(rows, key, ts, tie, chunks, block_rows), key, seconds, success, config)
+    step = _step(config)
+    blocks = _blocks(rows, key, ts, tie, chunks, block_rows, 2 * step + config.history)
+    blocks = _with_rolling(blocks, key, seconds, success, config)
     speed = F.least(
         F.lit(1.0),
         config.max_response_time / F.greatest(F.col("avg_response_time"), F.lit(config.min_response_time)),
     )
     new_factor = (speed + 1.0 - F.col("avg_error_rate") / config.max_error_rate) / 2
-    place = F.col("_pos") % _STEP
+    place = F.col("_pos") % step
     stepped = blocks.withColumns(
         {
-            "_step": F.floor(F.col("_pos") / _STEP),
+            "_step": F.floor(F.col("_pos") / step),
             "_factor": F.when(F.col("_seen") >= config.warm_up, new_factor),
             "_weight": F.pow(F.lit(config.keep), place),
         }
@@ -108,7 +118,7 @@ def adaptive_rate(
         }
     )
     earlier = Window.partitionBy("_block", key).orderBy("_step", "_pos").rowsBetween(Window.unboundedPreceding, -1)
-    at_step_end = F.when(place == _STEP - 1, F.col("_own") + F.col("_fade"))
+    at_step_end = F.when(place == step - 1, F.col("_own") + F.col("_fade"))
     started = summed.withColumn("_start", F.coalesce(F.last(at_step_end, ignorenulls=True).over(earlier), F.lit(1.0)))
     factor = F.coalesce(F.col("_own") + F.col("_fade") * F.col("_start"), F.lit(1.0))
     base = F.lit(config.requests_per_second)

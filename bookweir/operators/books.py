@@ -265,9 +265,24 @@ def completeness(metadata: str = "metadata") -> Column:
 
 
 def book_key(metadata: str = "metadata") -> Column:
-    """What identifies a book across sources."""
-    texts = [F.nullif(F.col(f"{metadata}.{name}"), F.lit("")) for name in ("isbn13", "isbn10", "isbn")]
-    return F.coalesce(*texts, F.col(f"{metadata}.source_url"), F.col("page_id").cast("string"))
+    """What identifies a book across sources: the kind of key and its value.
+
+    ISBNs are compared without hyphens and spaces, those of ten digits as the ISBN-13 they
+    stand for; the kind keeps a page id from ever meeting an ISBN of the same digits.
+    """
+    texts = [F.upper(F.regexp_replace(F.col(f"{metadata}.{name}"), r"[-\s]", "")) for name in ("isbn13", "isbn10", "isbn")]
+    isbn = _isbn13(F.coalesce(*[F.nullif(text, F.lit("")) for text in texts]))
+    url = F.col(f"{metadata}.source_url")
+    kind = F.when(isbn.isNotNull(), "isbn").when(url.isNotNull(), "url").otherwise("page")
+    return F.struct(kind.alias("kind"), F.coalesce(isbn, url, F.col("page_id").cast("string")).alias("value"))
+
+
+def _isbn13(isbn: Column) -> Column:
+    """An ISBN-10 as ISBN-13; anything else as it is."""
+    body = F.concat(F.lit("978"), F.left(isbn, F.lit(9)))
+    weighted = [F.substring(body, k + 1, 1).try_cast("int") * (1 if k % 2 == 0 else 3) for k in range(12)]
+    check = (10 - sum(weighted[1:], weighted[0]) % 10) % 10
+    return F.when(isbn.rlike("^[0-9]{9}[0-9X]$"), F.concat(body, check.cast("string"))).otherwise(isbn)
 
 
 def consolidate(found: DataFrame) -> DataFrame:
@@ -294,7 +309,7 @@ def consolidate(found: DataFrame) -> DataFrame:
     )
     names = [field.name for field in METADATA.fields]
     return merged.select(
-        "book_key", "primary_source", "sources", "copies", "created_at", "updated_at", F.struct(*names).alias("metadata")
+        F.col("book_key.value").alias("book_key"), F.col("book_key.kind").alias("key_kind"), "primary_source", "sources", "copies", "created_at", "updated_at", F.struct(*names).alias("metadata")
     )
 
 

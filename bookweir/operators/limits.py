@@ -153,9 +153,10 @@ class Passage:
 
 
 _SUMMARY = (
-    "_chunk int, first_key string, first_us bigint, last_key string, last_us bigint,"
+    "_chunk int, first_key string, first_us bigint, first_limit string, last_key string, last_us bigint, last_limit string,"
     " requests_per_second double, burst_size int, ranges array<struct<low:string,high:string,level:string,moving:boolean>>"
 )
+_TWO_LIMITS = "key {!r} has more than one limit; audit each limit's time span on its own"
 _COLUMNS = ["_chunk", "_key", "_us", "requests_per_second", "burst_size", "_saved"]
 
 
@@ -164,12 +165,16 @@ def _chunk_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     Only these two reach over the edges of a chunk. A key that starts inside
     the chunk starts with its saved level or a full bucket, so a single level is
-    followed for it.
+    followed for it. Requests without a time pass by.
     """
     first = last = passage = None
     for batch in batches:
         for row in zip(*(batch.column(name).to_pylist() for name in _COLUMNS)):
             chunk, key, micros, rate, burst, saved = row
+            if micros is None:
+                continue
+            if last and key == last[1] and last[5] is None and (rate, burst) != last[3:5]:
+                raise ValueError(_TWO_LIMITS.format(key))
             if saved is not None:
                 bucket = Bucket(rate, burst)
                 passage = Passage(bucket, bucket.level(saved))
@@ -181,15 +186,16 @@ def _chunk_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 passage = Passage(bucket, bucket.taken(bucket.full))
             else:
                 passage.step(micros - last[2])
-            first, last = first or (key, micros), row
+            first, last = first or (key, micros, None if saved is not None else f"{rate} {burst}"), row
     if first is None:
         return
     ranges = [
         {"low": str(low), "high": str(high), "level": str(level), "moving": moving}
         for low, high, level, moving in passage.ranges
     ]
-    chunk, key, micros, rate, burst, _ = last
-    summary = {"_chunk": chunk, "first_key": first[0], "first_us": first[1], "last_key": key, "last_us": micros}
+    chunk, key, micros, rate, burst, saved = last
+    summary = {"_chunk": chunk, "first_key": first[0], "first_us": first[1], "first_limit": first[2]}
+    summary |= {"last_key": key, "last_us": micros, "last_limit": None if saved is not None else f"{rate} {burst}"}
     summary |= {"requests_per_second": rate, "burst_size": burst, "ranges": ranges}
     yield pa.RecordBatch.from_pylist([summary], schema=_SUMMARY_ARROW)
 
@@ -199,8 +205,10 @@ _SUMMARY_ARROW = pa.schema(
         ("_chunk", pa.int32()),
         ("first_key", pa.string()),
         ("first_us", pa.int64()),
+        ("first_limit", pa.string()),
         ("last_key", pa.string()),
         ("last_us", pa.int64()),
+        ("last_limit", pa.string()),
         ("requests_per_second", pa.float64()),
         ("burst_size", pa.int32()),
         (
@@ -217,9 +225,11 @@ _SUMMARY_ARROW = pa.schema(
 
 def _chunk_starts(summaries: pd.DataFrame) -> pd.DataFrame:
     """Bucket level before the first request of every chunk that goes on with the key before it."""
-    starts, key, level, seen = [], None, 0, 0
+    starts, key, level, seen, limit = [], None, 0, 0, None
     for row in summaries.sort_values("_chunk").itertuples(index=False):
-        chunk, first_key, first_us, last_key, last_us, rate, burst, ranges = row
+        chunk, first_key, first_us, first_limit, last_key, last_us, last_limit, rate, burst, ranges = row
+        if first_key == key and limit and first_limit and limit != first_limit:
+            raise ValueError(_TWO_LIMITS.format(key))
         bucket = Bucket(rate, burst)
         start = bucket.full
         if first_key == key:
@@ -228,7 +238,7 @@ def _chunk_starts(summaries: pd.DataFrame) -> pd.DataFrame:
                 start = bucket.refilled(level, first_us - seen)
         passage = Passage(bucket)
         passage.ranges = [[int(r["low"]), int(r["high"]), int(r["level"]), r["moving"]] for r in ranges]
-        key, level, seen = last_key, passage.end_level(start), last_us
+        key, level, seen, limit = last_key, passage.end_level(start), last_us, last_limit
     return pd.DataFrame(starts, columns=["_chunk", "_level", "_seen"])
 
 
@@ -245,6 +255,10 @@ def _replay(names: list[str], keep_level: bool):
                     raise ValueError("chunk is out of order")
                 position = pos
                 asked.append(saved is None)
+                if micros is None:
+                    for result in (admitted, delays, tokens, levels):
+                        result.append(None)
+                    continue
                 if bucket is None or row_key != key:
                     goes_on = bucket is None and start is not None
                     bucket, key = Bucket(rate, burst), row_key
@@ -273,6 +287,14 @@ def _bucket_key(keys: str | list[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(name).cast("string"), F.lit("default")) for name in names])
 
 
+def _not_before(rows: DataFrame, key: str, us: str, saved: DataFrame) -> DataFrame:
+    """Times no older than what an earlier run has seen of the key."""
+    floors = saved.select(F.col("bucket_key").alias("_floor_key"), F.col("seen_us").alias("_floor"))
+    joined = rows.join(floors, F.col(key) == F.col("_floor_key"), "left")
+    later = F.when(F.col(us).isNotNull(), F.greatest(us, "_floor"))
+    return joined.withColumn(us, later).drop("_floor", "_floor_key")
+
+
 def token_bucket(
     rows: DataFrame,
     key: str | list[str],
@@ -288,7 +310,9 @@ def token_bucket(
     Each key has a bucket that starts full, or at its `saved` level from an
     earlier run (`bucket_levels`); a blocked request takes no token. The limit
     comes from `limit` or from the columns `requests_per_second` and
-    `burst_size` (`limit_lookup`). Requests run in (ts, tie) order.
+    `burst_size` (`limit_lookup`); two limits for one key are an error. Requests
+    run in (ts, tie) order. One older than what an earlier run has seen counts
+    as of that time; one without a time gets null results and takes no token.
 
     Three steps over even chunks: what each chunk does to the bucket of its last
     key, the level every chunk starts with (one row per chunk), and the replay.
@@ -318,7 +342,7 @@ def token_bucket(
             (F.lit(now.burst_size) if limit else F.col("burst_size")).cast("int").alias("burst_size"),
             F.lit(0).alias("_turn"),
         )
-        timed = timed.unionByName(levels, allowMissingColumns=True)
+        timed = _not_before(timed, "_key", "_us", saved).unionByName(levels, allowMissingColumns=True)
     chunked = ordered_chunks(timed, "_key", ["_turn", "_us", tie], chunks)
     summaries = chunked.select(*_COLUMNS).mapInArrow(_chunk_summary, _SUMMARY)
     starts = (
@@ -353,8 +377,12 @@ def bucket_levels(
         epoch_micros(F.col(ts)).alias("seen_us"),
         rate.alias("requests_per_second"),
         burst.cast("int").alias("burst_size"),
-        F.struct(F.lit(1).alias("run"), epoch_micros(F.col(ts)).alias("us"), F.col(tie).alias("tie")).alias("at"),
-    )
+        F.col(tie).alias("tie"),
+    ).filter("level IS NOT NULL")
+    if saved is not None:
+        rows = _not_before(rows, "bucket_key", "seen_us", saved)
+    turn = F.struct(F.lit(1).alias("run"), F.col("seen_us").alias("us"), "tie").alias("at")
+    rows = rows.select("*", turn).drop("tie")
     if saved is not None:
         no_tie = F.lit(None).cast(audited.schema[tie].dataType)
         earlier = F.struct(F.lit(0).alias("run"), F.col("seen_us").alias("us"), no_tie.alias("tie"))

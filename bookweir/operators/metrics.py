@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookweir.functions.times import epoch_micros, from_micros
+from bookweir.functions.times import epoch_micros, from_micros, interval_micros
 
 # Histogram bounds.
 SECONDS_BOUNDS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0]
@@ -127,10 +129,11 @@ def active_peak(results: DataFrame) -> DataFrame:
 def request_rate(results: DataFrame, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """Requests per second by (source, status) over sliding windows.
 
-    Rows are counted per slide first; each count, not each row, then goes to the
-    windows it lies in. `length` must be a multiple of `slide`.
+    Rows are counted per step first, the longest time that both lengths are
+    multiples of; each count, not each row, then goes to the windows it lies in.
     """
-    steps = results.groupBy(F.window("ts", slide).alias("step"), "source", "status").agg(F.count("*").alias("n"))
+    step = f"{math.gcd(interval_micros(length), interval_micros(slide))} microseconds"
+    steps = results.groupBy(F.window("ts", step).alias("step"), "source", "status").agg(F.count("*").alias("n"))
     windows = steps.groupBy(F.window("step.start", length, slide).alias("w"), "source", "status").agg(
         F.sum("n").alias("requests")
     )

@@ -9,26 +9,14 @@ from bookweir.functions.times import epoch_micros
 from bookweir.operators.ordered import ordered_chunks, with_dense_position
 
 
-# Above this many tasks the head is no longer gathered in one place.
-TAKE_IN_ONE_TASK = 100_000
+def take(tasks: DataFrame, k: int, arrival: str = "arrival_seq") -> tuple[DataFrame, DataFrame]:
+    """The first k tasks by priority, then arrival, and all others.
 
-
-def take(
-    tasks: DataFrame, k: int, arrival: str = "arrival_seq", in_one_task: int = TAKE_IN_ONE_TASK
-) -> tuple[DataFrame, DataFrame]:
-    """The first k tasks by priority, then arrival, and the ones that stay.
-
-    A small head is a plain top-k, and the rest is everything behind its last
-    task - one comparison per row instead of a join. A large head is cut by the
-    position in the distributed order.
+    The distributed order is cut at one position, so tasks of equal rank fall on
+    one side or the other, and each on exactly one.
     """
-    if k > in_one_task:
-        placed = with_dense_position(ordered_chunks(tasks, "priority", [arrival]))
-        return placed.filter(F.col("_pos") < k).drop("_pos"), placed.filter(F.col("_pos") >= k).drop("_pos")
-    rank = F.struct("priority", arrival)
-    head = tasks.orderBy("priority", arrival).limit(k)
-    last = head.select(F.max(rank)).scalar()
-    return head, tasks.filter(F.coalesce(rank > last, F.lit(True)))
+    placed = with_dense_position(ordered_chunks(tasks, "priority", [arrival]))
+    return placed.filter(F.col("_pos") < k).select(*tasks.columns), placed.filter(F.col("_pos") >= k).select(*tasks.columns)
 
 
 def task_state(log: DataFrame, now: Column) -> DataFrame:

@@ -33,12 +33,22 @@ def stream_table(
     )
 
 
-def on_results(results: DataFrame, callback: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """Call back with every new batch of results; an error in it is logged and the stream goes on."""
+def on_results(
+    results: DataFrame, folder: str, callback: Callable[[DataFrame, int], None] | None = None
+) -> DataStreamWriter:
+    """Write every new batch of results below `folder`, then call back with what was written.
+
+    A failed write fails the batch, which is run again; an error in the callback is
+    logged and the stream goes on. A repeated batch replaces itself.
+    """
 
     def call(batch: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        if callback is None:
+            return
         try:
-            callback(batch, batch_id)
+            callback(batch.sparkSession.read.schema(batch.schema).parquet(path), batch_id)
         except Exception:
             _log.exception("callback failed for batch %s", batch_id)
 

@@ -40,15 +40,21 @@ class _TokenBucket(StatefulProcessor):
         bucket = Bucket(self._limit.requests_per_second, self._limit.burst_size)
         stored = self._state.get()
         batch = _in_order(rows)
-        level, seen = (int(stored[0]), stored[1]) if stored else (bucket.full, int(batch["us"].iloc[0]))
+        level, seen = (int(stored[0]), stored[1]) if stored else (bucket.full, None)
         admitted, delays, tokens = [], [], []
         for micros in batch["us"].tolist():
-            level, seen = bucket.refilled(level, micros - seen), micros
+            if pd.isna(micros):  # without a time: null results, no token
+                for result in (admitted, delays, tokens):
+                    result.append(None)
+                continue
+            before, seen = seen, int(micros) if seen is None else max(seen, int(micros))
+            level = bucket.refilled(level, seen - (seen if before is None else before))
             admitted.append(level >= bucket.one)
             delays.append(bucket.delay(level))
             level = bucket.taken(level)
             tokens.append(level / bucket.one)
-        self._state.update((str(level), seen))
+        if seen is not None:
+            self._state.update((str(level), seen))
         yield pd.DataFrame(
             {
                 "key": key[0],

@@ -68,19 +68,27 @@ def test_views_and_their_original_form(spark):
 def test_take_is_stable_and_splits_everything(spark):
     rows = [(i, p) for i, p in enumerate((5, 1, 5, 3))]
     tasks = spark.createDataFrame(rows, "arrival_seq int, priority int")
-    for one_task in (queue.TAKE_IN_ONE_TASK, 0):
-        head, rest = queue.take(tasks, 2, in_one_task=one_task)
-        assert sorted((r.priority, r.arrival_seq) for r in head.collect()) == [(1, 1), (3, 3)]
-        assert sorted((r.priority, r.arrival_seq) for r in rest.collect()) == [(5, 0), (5, 2)]
+    head, rest = queue.take(tasks, 2)
+    assert sorted((r.priority, r.arrival_seq) for r in head.collect()) == [(1, 1), (3, 3)]
+    assert sorted((r.priority, r.arrival_seq) for r in rest.collect()) == [(5, 0), (5, 2)]
     head, rest = queue.take(tasks, 0)
     assert head.count() == 0 and rest.count() == 4
 
 
-def test_large_and_small_take_agree(spark):
-    tasks = spark.range(5000).select(F.col("id").alias("arrival_seq"), (F.col("id") * 7919 % 3).alias("priority"))
-    small, large = (queue.take(tasks, 1700, in_one_task=n) for n in (10_000, 10))
-    for a, b in zip(small, large):
-        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+def test_equal_ranks_are_on_one_side_each(spark):
+    tasks = spark.range(500).select("id", F.lit(1).alias("arrival_seq"), (F.col("id") % 2).alias("priority"))
+    head, rest = queue.take(tasks, 333)
+    one, two = ({r.id for r in part.collect()} for part in (head, rest))
+    assert len(one) == 333 and len(two) == 167 and not one & two
+
+
+def test_rates_of_windows_that_slide_by_any_step(spark):
+    rows = [(T0 + dt.timedelta(seconds=k), "s", "success") for k in range(1800)]
+    results = spark.createDataFrame(rows, "ts timestamp_ntz, source string, status string")
+    rates = metrics.request_rate(results, "5 minutes", "2 minutes").collect()
+    full = [r for r in rates if T0 <= r.window_start and r.window_end <= T0 + dt.timedelta(minutes=30)]
+    assert full and {r.requests for r in full} == {300}
+    assert sum(r.requests for r in rates) == 1800 * 2.5
 
 
 def test_job_lifecycle(spark):

@@ -208,5 +208,49 @@ def test_a_failing_callback_does_not_stop_the_stream(spark, folder, tmp_path):
         if len(seen) == 2:
             raise RuntimeError("no")
 
-    jobs.drain(jobs.on_results(stream, callback), str(tmp_path / "state"))
+    jobs.drain(jobs.on_results(stream, str(tmp_path / "rows"), callback), str(tmp_path / "state"))
     assert seen == [250, 250, 250, 250]
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 1000
+
+
+@pytest.mark.parametrize("keep, history, block_rows", [(0.99, 100, 1024), (0.999, 100, 512), (0.7, 1000, 1024), (0, 5, 64)])
+def test_adaptive_rate_off_the_defaults(spark, keep, history, block_rows):
+    rng = random.Random(4)
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), rng.choice([0.2, 4.0, 9.0]) * 1000, rng.choice([200, 200, 503])) for k in range(3000)]
+    log = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, response_time_ms double, http_status int").withColumn("k", F.lit("x"))
+    config = adaptive.AdaptiveConfig(keep=keep, history=history)
+    got = adaptive.adaptive_rate(log, "k", F.col("response_time_ms") / 1000, F.col("http_status") == 200, config=config, chunks=3, block_rows=block_rows)
+    seconds, errors, factor = [], [], 1.0
+    for r in got.orderBy("log_id").collect():
+        seconds, errors = [*seconds, r.response_time_ms / 1000][-history:], [*errors, float(r.http_status != 200)][-history:]
+        mean, error = sum(seconds) / len(seconds), sum(errors) / len(errors)
+        if len(seconds) >= config.warm_up:
+            speed = min(1.0, config.max_response_time / max(mean, config.min_response_time))
+            factor = keep * factor + (1 - keep) * (speed + 1.0 - error / config.max_error_rate) / 2
+        assert abs(r.avg_response_time - mean) < 1e-9 and abs(r.adaptation_factor - factor) < 1e-9
+
+
+def test_requests_without_a_time_take_no_token(spark):
+    rows = [(k, dt.datetime(2024, 1, 1) if k % 2 else None, "k") for k in range(8)]
+    log = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, domain string")
+    for chunks in (1, 3):
+        got = {r.log_id: r.admitted for r in limits.token_bucket(log, "domain", limit=Limit(1, 2), chunks=chunks).collect()}
+        assert [got[k] for k in range(8)] == [None, True, None, True, None, False, None, False]
+
+
+def test_late_rows_refill_nothing(spark):
+    limit = Limit(0.01, 2)
+    first = limits.token_bucket(_times(spark, [100, 100, 100]), "domain", limit=limit, keep_level=True)
+    levels = limits.bucket_levels(first, "domain", limit=limit)
+    late = limits.token_bucket(_times(spark, [0, 100]), "domain", limit=limit, saved=levels, keep_level=True)
+    assert [r.admitted for r in late.collect()] == [False, False]
+    assert limits.bucket_levels(late, "domain", limit=limit, saved=levels).collect()[0].seen_us == levels.collect()[0].seen_us
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 4, 7])
+def test_two_limits_for_one_key_are_refused(spark, chunks):
+    log = _times(spark, list(range(400))).withColumns(
+        {"requests_per_second": F.when(F.col("log_id") < 200, 1.0).otherwise(0.05), "burst_size": F.lit(2)}
+    )
+    with pytest.raises(Exception, match="more than one limit"):
+        limits.token_bucket(log, "domain", chunks=chunks).collect()
