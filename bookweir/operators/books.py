@@ -10,7 +10,7 @@ from bookweir.functions.arrays import attribute, hold, let, struct
 from bookweir.functions.urls import http_url, resolved
 from bookweir.operators.dom import shred
 from bookweir.operators.html import METADATA_KEEP, STRUCTURED_KEEP, with_metadata, with_structured_items
-from bookweir.schemas import METADATA
+from bookweir.schemas import BOOK, METADATA, SOURCES
 
 # The selector rules and limits for pages without structured data.
 AUTHOR_CSS = '[class*="author"], [class*="Author"], .author, .Author'
@@ -229,18 +229,27 @@ def books(pages: DataFrame, strict_urls: bool = True, extended_types: bool = Fal
 
 
 def with_defaults(found: DataFrame, run_time: Column | None = None) -> DataFrame:
-    """Complete book rows: source list, scores and one time stamp for the whole run."""
+    """Complete book rows: every column of the record that extraction doesn't fill, with its default.
+
+    One time stamp serves the whole run; the id is the page's.
+    """
     now = run_time if run_time is not None else F.current_timestamp()
-    return found.select(
-        *[name for name in found.columns if name != "source"],
-        F.col("source").alias("primary_source"),
-        F.array("source").alias("sources"),
-        F.lit(False).alias("is_owned"),
-        F.lit(1.0).alias("confidence_score"),
-        F.lit(0.0).alias("data_completeness"),
-        now.alias("created_at"),
-        now.alias("updated_at"),
-    )
+    made = {
+        "id": F.col("page_id").cast("string"),
+        "primary_source": F.col("source"),
+        "sources": F.array("source"),
+        "is_owned": F.lit(False),
+        "created_at": now,
+        "updated_at": now,
+        "last_scraped_at": now,
+        "confidence_score": F.lit(1.0),
+        "data_completeness": F.lit(0.0),
+        "custom_fields": F.parse_json(F.lit("{}")),
+    }
+    empty = {name: F.array().cast(BOOK[name].dataType) for name in ("collections", "tags")}
+    unset = {f.name: F.lit(None).cast(f.dataType) for f in BOOK if f.name not in {*made, *empty, "metadata"}}
+    others = [name for name in found.columns if name != "source"]
+    return found.select(*others, *[c.alias(name) for name, c in (made | empty | unset).items()])
 
 
 def _is_filled(value: Column, type_name: str) -> Column:
@@ -301,7 +310,8 @@ def consolidate(found: DataFrame) -> DataFrame:
         firsts.append((F.coalesce(first, F.array()) if kind == "array" else first).alias(field.name))
     merged = found.groupBy(book_key().alias("book_key")).agg(
         F.min_by("primary_source", order).alias("primary_source"),
-        F.sort_array(F.collect_set("primary_source")).alias("sources"),
+        # The names of the sources are known, so one flag each is enough.
+        F.array_compact(F.array(*[F.max(F.when(F.col("primary_source") == name, name)) for name in sorted(SOURCES)])).alias("sources"),
         F.count("*").alias("copies"),
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),

@@ -417,10 +417,19 @@ def nested_token_bucket(
     return blocked.unionByName(second)
 
 
-def limiter_stats(audited: DataFrame, key: str = "domain") -> DataFrame:
-    """Admitted and blocked requests and the share admitted, per key."""
+def limiter_stats(audited: DataFrame, key: str = "domain", ts: str = "ts", tie: str = "log_id", limit: Limit | None = None) -> DataFrame:
+    """Per key: admitted and blocked requests, the share admitted, tokens left after the last one, and the limit.
+
+    The limit is the audit's `limit` or the last value of the columns of `limit_lookup`.
+    """
+    rate = F.lit(float(limit.requests_per_second)) if limit else F.col("requests_per_second")
+    burst = F.lit(limit.burst_size) if limit else F.col("burst_size")
+    last = F.struct(F.col("tokens_after").alias("tokens_available"), rate.alias("requests_per_second"), burst.alias("burst_size"))
     counted = audited.groupBy(key).agg(
-        F.count_if("admitted").alias("total_requests"), F.count_if(~F.col("admitted")).alias("blocked_requests")
+        F.count_if("admitted").alias("total_requests"),
+        F.count_if(~F.col("admitted")).alias("blocked_requests"),
+        F.max_by(last, F.when(F.col("admitted").isNotNull(), F.struct(ts, tie))).alias("last"),
     )
     asked = F.col("total_requests") + F.col("blocked_requests")
-    return counted.withColumn("success_rate", F.col("total_requests") / F.greatest(F.lit(1), asked))
+    share = F.col("total_requests") / F.greatest(F.lit(1), asked)
+    return counted.select(key, "total_requests", "blocked_requests", share.alias("success_rate"), "last.*")

@@ -266,6 +266,16 @@ _ORACLES: dict[str, str] = {
     "outcomes_union": f"WITH {RESULTS} SELECT status, count(*) AS total_tasks FROM results GROUP BY status",
     "queue_take": f"WITH {LOG} SELECT log_id, priority FROM log ORDER BY priority, log_id LIMIT 1234",
     "queue_rest": f"WITH {LOG} SELECT log_id, priority FROM log ORDER BY priority, log_id OFFSET 1234",
+    "queue_rest_ties": f"""WITH {LOG}, ranked AS (SELECT priority, row_number() OVER (ORDER BY priority) AS rn FROM log)
+  SELECT priority, count(*) AS tasks FROM ranked WHERE rn > 321 GROUP BY priority""",
+    "job_validate": f"""WITH {LOG} SELECT log_id, concat_ws('|', CASE WHEN log_id % 11 = 0 THEN 'urls missing' END,
+  CASE WHEN log_id % 5 = 4 THEN 'unknown job_type' END, CASE WHEN log_id % 7 = 0 THEN 'unknown source' END,
+  CASE WHEN log_id % 13 NOT BETWEEN 1 AND 10 THEN 'priority out of range' END,
+  CASE WHEN log_id % 12 > 10 THEN 'max_retries out of range' END,
+  CASE WHEN log_id % 400 NOT BETWEEN 5 AND 300 THEN 'timeout_seconds out of range' END) AS reasons FROM log""",
+    "result_validate": f"""WITH {LOG} SELECT log_id, concat_ws('|', CASE WHEN log_id % 9 = 0 THEN 'job_id missing' END,
+  CASE WHEN log_id % 10 = 0 THEN 'source missing' END, CASE WHEN log_id % 8 = 0 THEN 'unknown status' END,
+  CASE WHEN log_id % 5 > 3 THEN 'confidence_score out of range' END) AS reasons FROM log""",
     "queue_depth": f"""WITH {RESULTS}, state AS (SELECT CASE WHEN us > epoch_us({SNAPSHOT}) THEN 'pending'
   WHEN us + took_us > epoch_us({SNAPSHOT}) THEN 'running' WHEN status = 'success' THEN 'completed' ELSE 'failed' END AS s
   FROM results) SELECT count(*) FILTER (WHERE s = 'pending') AS pending_tasks,
@@ -358,7 +368,9 @@ _ORACLES: dict[str, str] = {
     "books_structured": f"WITH {BOOKS} SELECT {_BOOK_COLUMNS} FROM structured",
     "books_html": f"WITH {BOOKS} SELECT {_BOOK_COLUMNS} FROM by_selectors",
     "books": f"WITH {BOOKS} SELECT {_BOOK_COLUMNS} FROM books",
-    "book_defaults": f"""WITH {BOOKS} SELECT page_id, source AS primary_source, source AS sources, false AS is_owned,
+    "book_defaults": f"""WITH {BOOKS} SELECT page_id, CAST(page_id AS VARCHAR) AS id, NULL::VARCHAR AS reading_status,
+  NULL::DOUBLE AS reading_progress, NULL::BIGINT AS current_page, '' AS collections, '' AS tags, NULL::VARCHAR AS notes,
+  '{{}}' AS custom_fields, epoch_us({SNAPSHOT}) AS last_scraped_us, source AS primary_source, source AS sources, false AS is_owned,
   1.0::DOUBLE AS confidence_score, 0.0::DOUBLE AS data_completeness, epoch_us({SNAPSHOT}) AS created_us,
   epoch_us({SNAPSHOT}) AS updated_us FROM books""",
     "book_validate": f"WITH {BOOKS} SELECT page_id, {_OUT_OF_RANGE} AS reasons FROM books",
@@ -385,7 +397,9 @@ _ORACLES: dict[str, str] = {
   SELECT log_id, admitted, round(delay_seconds, 3), CASE WHEN NOT admitted THEN 'outer' END FROM outer_audit""",
     "limiter_stats": f"""{AUDIT} SELECT bucket_key AS domain, count(*) FILTER (WHERE admitted) AS total_requests,
   count(*) FILTER (WHERE NOT admitted) AS blocked_requests,
-  round(count(*) FILTER (WHERE admitted) / count(*)::DOUBLE, 6) AS success_rate FROM audit GROUP BY bucket_key""",
+  round(count(*) FILTER (WHERE admitted) / count(*)::DOUBLE, 6) AS success_rate,
+  round(arg_max(tokens_after, (ts, log_id)), 6) AS tokens_available,
+  round(0.125 / 3600, 6) AS requests_per_second, 2 AS burst_size FROM audit JOIN log USING (log_id) GROUP BY bucket_key""",
     "delay_histogram": _histogram(
         f"{AUDIT}, held AS (SELECT bucket_key AS domain, delay_seconds FROM audit WHERE delay_seconds > 0)",
         "held", "delay_seconds", "domain", SECONDS_BOUNDS,

@@ -11,6 +11,7 @@ from bookweir.functions.text import clean_text
 from bookweir.functions.times import epoch_micros
 from bookweir.functions.urls import domain_key, resolve_url
 from bookweir.operators import adaptive, books, dom, html, limits, metrics, outcomes, queue, stats, validate
+from bookweir.plans.crawl import scrape_results
 from bookweir.session import prepare
 from bookweir.sources import requests as rq
 from bookweir.sources.pages import load_pages, stream_pages
@@ -191,10 +192,15 @@ def _page_results(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("final_status")
 def _final_status(spark, folder):
-    results = _page_results(spark, folder)
-    found = books.books(results.filter("status = 'success' AND data_size_bytes > 0").select("page_id", "url", "source", "html"))
-    final = outcomes.finalize_status(results.drop("html"), found.select("page_id", "metadata"))
-    return final.select("page_id", "status", F.col("book.metadata.title").alias("title"))
+    """Status after extraction, in the row that the page is read in."""
+    results = _page_results(spark, folder).withColumns(
+        {
+            "http_status": F.when(F.col("status") == "failed", 503).otherwise(200),
+            "exception_class": F.lit(None).cast("string"),
+        }
+    )
+    final = scrape_results(results.drop("status", "data_size_bytes"))
+    return final.select("page_id", "status", F.col("metadata.title").alias("title"))
 
 
 @_query("attach_context")
@@ -294,6 +300,48 @@ def _queue_rest(spark, folder):
     return rest.select("log_id", "priority")
 
 
+@_query("queue_rest_ties")
+def _queue_rest_ties(spark, folder):
+    """What stays of a queue in which many tasks have the same rank."""
+    _, rest = queue.take(_tasks(spark, folder).withColumn("arrival_seq", F.lit(0)), 321)
+    return rest.groupBy("priority").agg(F.count("*").alias("tasks"))
+
+
+@_query("job_validate")
+def _job_validate(spark, folder):
+    """Jobs described by the log, some of an unknown type or out of range."""
+    k = F.col("log_id")
+    jobs_ = _log(spark, folder).select(
+        "log_id",
+        F.element_at(F.array(*map(F.lit, ["single", "batch", "scheduled", "recurring", "odd"])), (k % 5 + 1).cast("int")).alias("job_type"),
+        F.when(k % 7 == 0, "elsewhere").otherwise(F.col("source")).alias("source"),
+        F.lit("pending").alias("status"),
+        (k % 13).alias("priority"),
+        (k % 12).alias("max_retries"),
+        (k % 400).alias("timeout_seconds"),
+        F.when(k % 11 != 0, F.array("url")).alias("urls"),
+    )
+    good, bad = validate.validate_jobs(jobs_)
+    both = good.withColumn("reasons", F.array().cast("array<string>")).unionByName(bad)
+    return both.select("log_id", _joined("reasons").alias("reasons"))
+
+
+@_query("result_validate")
+def _result_validate(spark, folder):
+    """Results of the log, some without a job or source, with an unknown status or a score out of range."""
+    k = F.col("log_id")
+    results = _results(spark, folder).select(
+        "log_id",
+        F.when(k % 9 != 0, F.col("job_id")).alias("job_id"),
+        F.when(k % 10 != 0, F.col("source")).alias("source"),
+        F.when(k % 8 == 0, "done").otherwise(F.col("status")).alias("status"),
+        (k % 5 / 3).alias("confidence_score"),
+    )
+    good, bad = validate.validate_results(results)
+    both = good.withColumn("reasons", F.array().cast("array<string>")).unionByName(bad)
+    return both.select("log_id", _joined("reasons").alias("reasons"))
+
+
 @_query("queue_depth")
 def _queue_depth(spark, folder):
     return queue.queue_depth(queue.task_state(_log(spark, folder), _snapshot()))
@@ -586,6 +634,15 @@ def _book_defaults(spark, folder):
     rows = books.with_defaults(books.books(book_pages(spark, folder)), run_time)
     return rows.select(
         "page_id",
+        "id",
+        "reading_status",
+        "reading_progress",
+        "current_page",
+        _joined("collections").alias("collections"),
+        _joined("tags").alias("tags"),
+        "notes",
+        F.to_json("custom_fields").alias("custom_fields"),
+        epoch_micros(F.col("last_scraped_at")).alias("last_scraped_us"),
         "primary_source",
         _joined("sources").alias("sources"),
         "is_owned",
@@ -702,7 +759,8 @@ def _nested_limits(spark, folder):
 
 @_query("limiter_stats")
 def _limiter_stats(spark, folder):
-    return limits.limiter_stats(_audited(spark, folder)).withColumn("success_rate", _r("success_rate"))
+    found = limits.limiter_stats(_audited(spark, folder), limit=AUDIT_LIMIT)
+    return found.withColumns({name: _r(name) for name in ("success_rate", "tokens_available", "requests_per_second")})
 
 
 @_query("delay_histogram")
