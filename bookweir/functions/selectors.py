@@ -1,4 +1,4 @@
-"""The CSS subset in use: tag, .class, [a], [a="v"], [a*="v"], descendant, comma.
+"""The CSS subset in use: tag, .class, #id, [a], [a="v"] and its forms *=, ^=, $=, ~=, descendant, comma.
 
 A selector becomes plain data, which serves twice: as a native predicate over
 elements and as the `keep` list that tells the page reader which elements
@@ -10,19 +10,23 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from bookweir.functions.arrays import quote
+from bookweir.functions.arrays import let, quote
 
 _SIMPLE = re.compile(
     r"""(?P<tag>^[A-Za-z][\w-]*|^\*)
       | \.(?P<cls>[\w-]+)
-      | \[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>\*?=)\s*["']?(?P<value>[^"'\]]*)["']?\s*)?\]""",
+      | \#(?P<id>[\w-]+)
+      | \[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?:"(?P<double>[^"]*)"|'(?P<single>[^']*)'|(?P<bare>[^"'\]\s]*))\s*)?\]""",
     re.VERBOSE,
 )
+_OPS = {None: "has", "=": "eq", "*=": "contains", "^=": "starts", "$=": "ends", "~=": "token"}
+# A word or a comma; brackets and quotes hold their white space and commas together.
+_PARTS = re.compile(r"""(?:\[(?:"[^"]*"|'[^']*'|[^\]"'])*\]|[^\s,\[])+|,""")
 
 
 class AttrTest(NamedTuple):
     attr: str
-    op: str  # has, eq, contains, token
+    op: str  # has, eq, contains, starts, ends, token
     value: str = ""
 
 
@@ -35,7 +39,19 @@ class Simple(NamedTuple):
 
 def parse(css: str) -> list[list[Simple]]:
     """Alternatives, each a chain of element tests from the outermost inwards."""
-    return [[_simple(word) for word in part.split() or [""]] for part in css.split(",")]
+    chains: list[list[str]] = [[]]
+    end = 0
+    for part in _PARTS.finditer(css):
+        if css[end : part.start()].strip():
+            break
+        end = part.end()
+        if part[0] == ",":
+            chains.append([])
+        else:
+            chains[-1].append(part[0])
+    if css[end:].strip() or not all(chains):
+        raise ValueError(f"unsupported selector: {css!r}")
+    return [[_simple(word) for word in chain] for chain in chains]
 
 
 def _simple(word: str) -> Simple:
@@ -48,10 +64,11 @@ def _simple(word: str) -> Simple:
             tag = None if m["tag"] == "*" else m["tag"].lower()
         elif m["cls"]:
             tests.append(AttrTest("class", "token", m["cls"]))
+        elif m["id"]:
+            tests.append(AttrTest("id", "eq", m["id"]))
         else:
-            op = {None: "has", "=": "eq", "*=": "contains"}[m["op"]]
-            tests.append(AttrTest(m["attr"].lower(), op, m["value"] or ""))
-    if end != len(word) or not word:
+            tests.append(AttrTest(m["attr"].lower(), _OPS[m["op"]], m["double"] or m["single"] or m["bare"] or ""))
+    if end != len(word):
         raise ValueError(f"unsupported selector: {word!r}")
     return Simple(tag, tuple(tests))
 
@@ -76,10 +93,34 @@ def _all_of(simple: Simple, prefix: str) -> str:
         elif test.op == "token":
             checks.append(rf"coalesce(array_contains(split({found}, r'[ \t\n\f\r]+'), {value}), false)")
         else:
-            checks.append(f"coalesce(contains({found}, {value}), false)" if test.value else "false")
+            function = {"contains": "contains", "starts": "startswith", "ends": "endswith"}[test.op]
+            checks.append(f"coalesce({function}({found}, {value}), false)" if test.value else "false")
     return "(" + " AND ".join(checks or ["true"]) + ")"
 
 
+def matching(css: str, nodes: str = "nodes") -> str:
+    """SQL text: the elements of an array that match, in document order.
+
+    An element lies inside an outer match if that one's number is among those of its
+    enclosing elements. The outer matches are found once per page.
+    """
+    chains = []
+    for chain in parse(css):
+        test = predicate([chain[0]], "n")
+        for simple in chain[1:]:
+            outer = f"transform(filter({nodes}, n -> {test}), m -> m.pre)"
+            inside = f"{predicate([simple], 'n')} AND arrays_overlap(n.up, outer)"
+            found = let("outer", outer, f"transform(filter({nodes}, n -> {inside}), m -> m.pre)")
+            test = f"array_contains({found}, n.pre)"
+        if len(chain) > 1:
+            chains.append(found)
+        else:
+            chains.append(f"transform(filter({nodes}, n -> {test}), m -> m.pre)")
+    if len(chains) == 1 and len(parse(css)[0]) == 1:
+        return f"filter({nodes}, n -> {predicate(parse(css)[0], 'n')})"
+    return let("found", f"array_distinct(flatten(array({', '.join(chains)})))", f"filter({nodes}, n -> array_contains(found, n.pre))")
+
+
 def element_tests(*css: str) -> list[Simple]:
     """Every element test that occurs in the selectors: the `keep` list for them."""
     return sorted({simple for text in css for chain in parse(text) for simple in chain}, key=repr)

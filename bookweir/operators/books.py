@@ -279,7 +279,7 @@ def book_key(metadata: str = "metadata") -> Column:
     ISBNs are compared without hyphens and spaces, those of ten digits as the ISBN-13 they
     stand for; the kind keeps a page id from ever meeting an ISBN of the same digits.
     """
-    texts = [F.upper(F.regexp_replace(F.col(f"{metadata}.{name}"), r"[-\s]", "")) for name in ("isbn13", "isbn10", "isbn")]
+    texts = [F.regexp_replace(F.col(f"{metadata}.{name}"), r"[-\s]", "") for name in ("isbn13", "isbn10", "isbn")]
     isbn = _isbn13(F.coalesce(*[F.nullif(text, F.lit("")) for text in texts]))
     url = F.col(f"{metadata}.source_url")
     kind = F.when(isbn.isNotNull(), "isbn").when(url.isNotNull(), "url").otherwise("page")
@@ -291,7 +291,7 @@ def _isbn13(isbn: Column) -> Column:
     body = F.concat(F.lit("978"), F.left(isbn, F.lit(9)))
     weighted = [F.substring(body, k + 1, 1).try_cast("int") * (1 if k % 2 == 0 else 3) for k in range(12)]
     check = (10 - sum(weighted[1:], weighted[0]) % 10) % 10
-    return F.when(isbn.rlike("^[0-9]{9}[0-9X]$"), F.concat(body, check.cast("string"))).otherwise(isbn)
+    return F.when(isbn.rlike("^[0-9]{9}[0-9Xx]$"), F.concat(body, check.cast("string"))).otherwise(isbn)
 
 
 def consolidate(found: DataFrame) -> DataFrame:

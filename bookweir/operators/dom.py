@@ -146,6 +146,8 @@ def _holds(test: AttrTest, attrs: dict) -> bool:
         return value == test.value
     if test.op == "token":
         return test.value in value.split()
+    if test.op in ("starts", "ends"):
+        return test.value != "" and (value.startswith if test.op == "starts" else value.endswith)(test.value)
     return test.op == "has" or (test.value != "" and test.value in value)
 
 

@@ -82,16 +82,35 @@ def first_match(nodes: DataFrame, tag: str, attrs: dict[str, str] | None = None)
     return first.select("page_id", *[F.col(f"first.{name}").alias(name) for name in rest])
 
 
-def _elements(pages: DataFrame, keep: list[Simple], tag: str, needed: str) -> DataFrame:
-    """Page rows exploded to their `tag` elements with a filled `needed` attribute."""
+_NODE = ["pre", "post", "tag", "attrs", "text"]
+
+
+def select_pages(pages: DataFrame, css: str) -> DataFrame:
+    """All elements of each page that match, each once, found in the page's own row."""
+    doms = shred(pages.select("page_id", "html"), selectors.element_tests(css))
+    return doms.select("page_id", F.explode(F.expr(selectors.matching(css))).alias("n")).select(
+        "page_id", *[F.col(f"n.{name}").alias(name) for name in _NODE]
+    )
+
+
+def first_of_pages(pages: DataFrame, css: str) -> DataFrame:
+    """First element of each page that matches, in the page's own row; pages without one are left out."""
+    doms = shred(pages.select("page_id", "html"), selectors.element_tests(css))
+    first = doms.select("page_id", F.expr(f"get({selectors.matching(css)}, 0)").alias("n")).filter("n IS NOT NULL")
+    return first.select("page_id", *[F.col(f"n.{name}").alias(name) for name in _NODE])
+
+
+def _elements(pages: DataFrame, keep: list[Simple], css: str, needed: str) -> DataFrame:
+    """Page rows exploded to the elements that match and have a filled `needed` attribute."""
     doms = shred(pages.select("page_id", "url", "html"), keep)
-    found = F.expr(f"filter(nodes, n -> n.tag = '{tag}' AND {_filled(attribute('n', needed))})")
+    found = F.expr(f"filter({selectors.matching(css)}, n -> {_filled(attribute('n', needed))})")
     return doms.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "n"))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """One row per non-empty `a[href]`: absolute url, text, title."""
-    return _elements(pages, LINK_KEEP, "a", "href").select(
+def links(pages: DataFrame, css: str = "a") -> DataFrame:
+    """One row per selected element with a non-empty `href`: absolute url, text, title."""
+    keep = LINK_KEEP if css == "a" else selectors.element_tests(css)
+    return _elements(pages, keep, css, "href").select(
         "page_id",
         "page_url",
         "pos",
@@ -101,9 +120,10 @@ def links(pages: DataFrame) -> DataFrame:
     )
 
 
-def images(pages: DataFrame) -> DataFrame:
-    """One row per non-empty `img[src]`: absolute url, alt, title."""
-    return _elements(pages, IMAGE_KEEP, "img", "src").select(
+def images(pages: DataFrame, css: str = "img") -> DataFrame:
+    """One row per selected element with a non-empty `src`: absolute url, alt, title."""
+    keep = IMAGE_KEEP if css == "img" else selectors.element_tests(css)
+    return _elements(pages, keep, css, "src").select(
         "page_id",
         "page_url",
         "pos",

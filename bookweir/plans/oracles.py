@@ -334,6 +334,7 @@ _ORACLES: dict[str, str] = {
   SELECT 'reference', log_id, {_REFERENCE} FROM log""",
     "extract_links": f"WITH {LINKS} SELECT page_id, pos, url, text, '' AS title FROM links",
     "stream_links": f"WITH {LINKS} SELECT page_id, pos, url, text, '' AS title FROM links",
+    "extract_links_in_nav": f"WITH {LINKS} SELECT page_id, url, text FROM links WHERE href LIKE '/%'",
     "extract_images": f"""WITH {BOOK_PAGES} SELECT page_id, CASE kind WHEN 3 THEN 'https://books.example.com/img/cover' || k || '.png'
   ELSE 'https://books.example.com/b/a.png' END AS url, CASE kind WHEN 3 THEN 'x' ELSE 'none' END AS alt, '' AS title
   FROM bp WHERE kind IN (3, 4)""",

@@ -262,15 +262,13 @@ def _results_with_books(spark, folder):
 
 @_query("descendant_select")
 def _descendant_select(spark, folder):
-    nodes = dom.dom_nodes(dom.shred(_pages(spark, folder), html.selectors.element_tests("nav a")))
-    found = html.descendants(nodes, "nav", "a")
+    found = html.select_pages(_pages(spark, folder), "nav a")
     return found.select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"), "text")
 
 
 @_query("descendant_cover")
 def _descendant_cover(spark, folder):
-    nodes = dom.dom_nodes(dom.shred(book_pages(spark, folder), html.selectors.element_tests(".cover img")))
-    found = html.descendants(nodes, ".cover", "img")
+    found = html.select_pages(book_pages(spark, folder), ".cover img")
     return found.select("page_id", F.try_element_at("attrs", F.lit("src")).alias("src"))
 
 
@@ -487,14 +485,12 @@ CSS = 'div.ad, article h1, nav a[href*="th"]'
 
 @_query("css_select")
 def _css_select(spark, folder):
-    nodes = dom.dom_nodes(dom.shred(_pages(spark, folder), html.selectors.element_tests(CSS)))
-    return html.select(nodes, CSS).select("page_id", "tag", "text")
+    return html.select_pages(_pages(spark, folder), CSS).select("page_id", "tag", "text")
 
 
 @_query("first_per_page")
 def _first_per_page(spark, folder):
-    nodes = dom.dom_nodes(dom.shred(_pages(spark, folder), html.LINK_KEEP))
-    first = html.first_match(nodes, "a")
+    first = html.first_of_pages(_pages(spark, folder), "a[href]")
     return first.select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"), "text")
 
 
@@ -526,6 +522,12 @@ def _extract_links(spark, folder):
     return html.links(_pages(spark, folder)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "url", "text", "title")
 
 
+@_query("extract_links_in_nav")
+def _extract_links_in_nav(spark, folder):
+    """Links by another base selector: those of menus, by a part of their address."""
+    return html.links(_pages(spark, folder), "nav a[href^='/']").select("page_id", "url", "text")
+
+
 @_query("extract_images")
 def _extract_images(spark, folder):
     return html.images(book_pages(spark, folder)).select("page_id", "url", "alt", "title")

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from bookweir.operators import books, dom, html
 from bookweir.operators.validate import validate_books
 from bookweir.plans.crawl import scrape_batch
+from bookweir.schemas import METADATA
 from bookweir.sources.pages import load_pages, stream_pages
 from bookweir.sources.tables import book_pages
 from bookweir.streaming import jobs
@@ -260,3 +262,45 @@ def test_new_pages_equal_one_run(spark, folder, tmp_path):
     expected = books.extract_books(pages).select("page_id", title)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     assert jobs.drained_table(html.links(stream), "links").count() == html.links(pages).count()
+
+
+def test_selectors_in_the_row_agree_with_those_over_elements(spark):
+    page = """<div id="top"><nav class="a b"><a href="/x y" title="p, q">one</a><div><a href="/z">two</a></div></nav>
+    <p><a href="http://h/z" data-k="v">three</a></p></div><a>four</a>"""
+    pages = spark.createDataFrame([(1, "http://h/", page), (2, "http://h/", None)], "page_id int, url string, html string")
+    texts = {
+        "a": ["one", "two", "three", "four"],
+        "nav a": ["one", "two"],
+        "#top a[href]": ["one", "two", "three"],
+        "div.none a, p a": ["three"],
+        "nav div a": ["two"],
+        "a[title='p, q']": ["one"],
+        'a[href="/x y"], a[data-k="v"]': ["one", "three"],
+        "a[href^='/']": ["one", "two"],
+        "a[href$=z]": ["two", "three"],
+        "nav[class~=b] a": ["one", "two"],
+    }
+    for css, wanted in texts.items():
+        assert [r.text for r in html.select_pages(pages, css).orderBy("pre").collect()] == wanted, css
+        nodes = dom.dom_nodes(dom.shred(pages, html.selectors.element_tests(css)))
+        assert [r.text for r in html.select(nodes, css).orderBy("pre").collect()] == wanted, css
+        assert [r.text for r in html.first_of_pages(pages, css).collect()] == wanted[:1]
+    assert [r.url for r in html.links(pages, "nav div a").collect()] == ["http://h/z"]
+
+
+def test_selectors_outside_the_subset_are_refused():
+    for css in ("ul > li", "", "a,", "a[", "a:hover"):
+        with pytest.raises(ValueError):
+            html.selectors.parse(css)
+
+
+def test_books_of_one_isbn_meet_and_others_do_not(spark):
+    rows = [(1, "A", "0-306-40615-2", None), (2, "B", None, "9780306406157"), (9780306406157, "C", None, None), (4, "D", "080442957X", None)]
+    frame = spark.createDataFrame(rows, "page_id long, title string, isbn10 string, isbn13 string")
+    unset = [F.lit(None).cast(f.dataType).alias(f.name) for f in METADATA if f.name not in frame.columns]
+    found = frame.select("page_id", F.lit("amazon").alias("source"), F.struct("title", "isbn10", "isbn13", *unset).alias("m"))
+    ordered = F.struct(*[F.col("m")[f.name].alias(f.name) for f in METADATA])
+    merged = books.consolidate(books.with_defaults(found.select("page_id", "source", ordered.alias("metadata")))).collect()
+    assert {(r.key_kind, r.book_key): r.copies for r in merged} == {
+        ("isbn", "9780306406157"): 2, ("page", "9780306406157"): 1, ("isbn", "9780804429573"): 1,
+    }

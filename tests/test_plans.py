@@ -29,6 +29,13 @@ def test_links_need_no_shuffle(pages):
     assert "Exchange" not in _plan(html.links(pages))
 
 
+@pytest.mark.parametrize("css", ["nav a", "a, h1, .ad", "article p b"])
+def test_selection_needs_no_shuffle(pages, css):
+    for found in (html.select_pages(pages, css), html.first_of_pages(pages, css), html.links(pages, css)):
+        plan = _plan(found)
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
 def test_descendants_are_one_shuffle_and_no_join(pages):
     plan = _plan(html.descendants(dom.dom_nodes(dom.shred(pages)), "nav", "a"))
     assert plan.count("Exchange") == 1 and "Join" not in plan
