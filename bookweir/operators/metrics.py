@@ -126,14 +126,18 @@ def active_peak(results: DataFrame) -> DataFrame:
     )
 
 
-def request_rate(results: DataFrame, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Requests per second by (source, status) over sliding windows.
+def rate_step(length: str, slide: str) -> str:
+    """The longest time that both lengths are multiples of."""
+    return f"{math.gcd(interval_micros(length), interval_micros(slide))} microseconds"
 
-    Rows are counted per step first, the longest time that both lengths are
-    multiples of; each count, not each row, then goes to the windows it lies in.
-    """
-    step = f"{math.gcd(interval_micros(length), interval_micros(slide))} microseconds"
-    steps = results.groupBy(F.window("ts", step).alias("step"), "source", "status").agg(F.count("*").alias("n"))
+
+def step_counts(results: DataFrame, step: str) -> DataFrame:
+    """Results by (step, source, status); batch or stream."""
+    return results.groupBy(F.window("ts", step).alias("step"), "source", "status").agg(F.count("*").alias("n"))
+
+
+def rates_of_steps(steps: DataFrame, length: str, slide: str) -> DataFrame:
+    """Sliding windows from counts by step: each count goes to the windows that it lies in."""
     windows = steps.groupBy(F.window("step.start", length, slide).alias("w"), "source", "status").agg(
         F.sum("n").alias("requests")
     )
@@ -146,3 +150,11 @@ def request_rate(results: DataFrame, length: str = "5 minutes", slide: str = "1
         "requests",
         (F.col("requests") / seconds).alias("rate"),
     )
+
+
+def request_rate(results: DataFrame, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Requests per second by (source, status) over sliding windows.
+
+    Rows are counted per step first; counts, not rows, then go to the windows.
+    """
+    return rates_of_steps(step_counts(results, rate_step(length, slide)), length, slide)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from bookweir.session import use_checkpoint_dir
 
+# Size of a chunk, as the optimizer estimates it.
+CHUNK_BYTES = 128 << 20
+
 
 def ordered_chunks(rows: DataFrame, key: str, order: list[str], chunks: int | None = None) -> DataFrame:
     """Rows sorted by (key, order) within even chunks; adds `_chunk` and `_pos`.
@@ -19,18 +22,26 @@ def ordered_chunks(rows: DataFrame, key: str, order: list[str], chunks: int | No
     `_pos` grows with (key, order) but leaves gaps between chunks. The result is
     checkpointed: chunk numbers are read by more than one pass and must be the
     same in each, also after an executor is lost. (key, order) must be unique.
-    There are as many chunks as shuffle partitions, at least one per core.
+    There are as many chunks as the size of the rows asks for, at least as many
+    as shuffle partitions and cores.
     """
     spark = rows.sparkSession
     use_checkpoint_dir(spark)
     columns = [key, *order]
-    chunks = chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    chunks = chunks or max(least, _chunks_by_size(rows))
     numbered = rows.repartitionByRange(chunks, *columns).sortWithinPartitions(*columns).select(
         "*", F.spark_partition_id().alias("_chunk"), F.monotonically_increasing_id().alias("_pos")
     )
     return numbered.checkpoint()
 
 
+def _chunks_by_size(rows: DataFrame) -> int:
+    """Chunks of CHUNK_BYTES by the optimizer's estimate; 1 where it has none."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // CHUNK_BYTES) if size < 1 << 58 else 1
+
+
 def with_dense_position(chunked: DataFrame) -> DataFrame:
     """Turn `_pos` into 0, 1, 2, ... over the whole order.
 

@@ -132,14 +132,13 @@ def _histogram(with_clause: str, rows: str, value: str, labels: str, bounds: lis
   FROM v, edges WHERE v IS NOT NULL GROUP BY ALL"""
 
 
-def _windows(with_clause: str, slide_seconds: int, closed_only: bool) -> str:
-    closed = "WHERE end_us <= (SELECT max(us) FROM results) - 600000000" if closed_only else ""
+def _windows(with_clause: str, slide_seconds: int) -> str:
     step = slide_seconds * 1_000_000
     return f"""{with_clause}, placed AS (SELECT source, status,
     (us // {step} - unnest(range({300 // slide_seconds}))) * {step} AS start_us FROM results),
   counted AS (SELECT start_us, start_us + 300000000 AS end_us, source, status, count(*) AS requests
     FROM placed GROUP BY ALL)
-  SELECT start_us, end_us, source, status, requests, round(requests / 300.0::DOUBLE, 9) AS rate FROM counted {closed}"""
+  SELECT start_us, end_us, source, status, requests, round(requests / 300.0::DOUBLE, 9) AS rate FROM counted"""
 
 
 def _metric(name: str, labels: list[str], value: str, rows: str) -> str:
@@ -318,7 +317,7 @@ _ORACLES: dict[str, str] = {
   SELECT 'uptime_seconds' AS metric, round(up, 9) AS value FROM run UNION ALL
   SELECT 'requests_per_second', round(n / greatest(1.0::DOUBLE, up), 9) FROM run UNION ALL
   SELECT 'success_rate', round(good / greatest(1.0::DOUBLE, n), 9) FROM run""",
-    "request_rate_5m": _windows(f"WITH {RESULTS}", 60, False),
+    "request_rate_5m": _windows(f"WITH {RESULTS}", 60),
     "dom_nodes": f"WITH {PAGES} SELECT * FROM ({_TAG_COUNTS}) WHERE n > 0",
     "css_select": f"""WITH {LINKS} SELECT page_id, 'a' AS tag, text FROM links WHERE href LIKE '%th%' UNION ALL
   SELECT page_id, 'div', {_element_text('t')} FROM (SELECT page_id,
@@ -413,7 +412,7 @@ _ORACLES: dict[str, str] = {
     "adaptive_stats": f"""{ADAPTIVE}, last AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY rn DESC) AS back FROM adapted)
   SELECT domain, round(factor, 6) AS adaptation_factor, round(CAST(rate AS DOUBLE), 6) AS current_rate, {_AVERAGES}
   FROM last WHERE back = 1""",
-    "stream_request_rate": _windows(f"WITH {RESULTS}", 10, True),
+    "stream_request_rate": _windows(f"WITH {RESULTS}", 10),
     "stream_counters": f"""WITH {RESULTS}, typed AS (SELECT *, error_code AS error_type,
     status = 'success' AND log_id % 6 <> 5 AS has_book FROM results)
   SELECT metric, source, status, error_type, le, round(value, 3) AS value FROM ({_COUNTERS})""",

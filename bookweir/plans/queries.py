@@ -806,7 +806,8 @@ def _adaptive_stats(spark, folder):
 @_query("stream_request_rate")
 def _stream_request_rate(spark, folder):
     results = outcomes.classify_fetch(crawl_log(_stream_log(spark, folder)))
-    return _rate_rows(jobs.drained_table(counters.stream_request_rate(results), "rate"))
+    counts = jobs.drained_updates(counters.stream_step_counts(results), "rate", ["start", "source", "status"])
+    return _rate_rows(counters.stream_request_rate(counts))
 
 
 @_query("stream_counters")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookweir.functions.times import epoch_micros
-from bookweir.operators.metrics import BYTES_BOUNDS, SECONDS_BOUNDS
+from bookweir.operators.metrics import BYTES_BOUNDS, SECONDS_BOUNDS, rate_step, rates_of_steps, step_counts
 
 WATERMARK = "10 minutes"
 
@@ -15,25 +14,25 @@ def _cell(prefix: str, bound: float) -> str:
     return f"{prefix}_{bound}".replace(".", "_")
 
 
-def stream_request_rate(
+def stream_step_counts(
     results: DataFrame, length: str = "5 minutes", slide: str = "10 seconds", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Sliding request rate by (source, status); rows later than the watermark are dropped."""
+    """Results by (step, source, status) on a stream; rows later than the watermark are dropped.
+
+    One count per step, from which `rates_of_steps` makes the sliding windows, open ones
+    too, wherever they are read. Run it in update mode.
+    """
     timed = results.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    counted = timed.groupBy(F.window("ts", length, slide).alias("w"), "source", "status").agg(
-        F.count("*").alias("requests")
-    )
-    seconds = (epoch_micros(F.col("w.end")) - epoch_micros(F.col("w.start"))) / 1e6
-    return counted.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-        "source",
-        "status",
-        "requests",
-        (F.col("requests") / seconds).alias("rate"),
+    return step_counts(timed, rate_step(length, slide)).select(
+        F.col("step.start").cast("timestamp_ntz").alias("start"), "source", "status", "n"
     )
 
 
+def stream_request_rate(counts: DataFrame, length: str = "5 minutes", slide: str = "10 seconds") -> DataFrame:
+    """Sliding request rate by (source, status) from the latest counts by step."""
+    return rates_of_steps(counts.withColumn("step", F.struct("start")), length, slide)
+
+
 def stream_counters(results: DataFrame) -> DataFrame:
     """One running row per (source, status, error type) holding every counter and bucket.
 

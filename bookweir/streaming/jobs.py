@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -77,6 +78,21 @@ def drained_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def drained_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Last row per key of a stream in update mode, after everything that has landed."""
+    spark = stream.sparkSession
+    folder = work_folder(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    drain(stream.writeStream.outputMode("update").foreachBatch(write), f"{folder}/state")
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def drained_snapshot(stream: DataFrame, name: str) -> DataFrame:
     """Last state of a running aggregate after everything that has landed."""
     spark = stream.sparkSession
