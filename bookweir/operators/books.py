@@ -215,12 +215,18 @@ def books_html(pages: DataFrame) -> DataFrame:
     return _book_rows(with_html_book(shred(pages, HTML_BOOK_KEEP)), "from_html")
 
 
-def extract_books(pages: DataFrame, strict_urls: bool = True, extended_types: bool = False) -> DataFrame:
-    """Every page with `metadata` of its book (null: none) - one read, no shuffle."""
+def extract_books(
+    pages: DataFrame, strict_urls: bool = True, extended_types: bool = False, unreadable: str | None = None
+) -> DataFrame:
+    """Every page with `metadata` of its book (null: none) - one read, no shuffle.
+
+    `unreadable` names a column that tells which pages couldn't be read.
+    """
     doms = with_structured_book(shred(pages, BOOK_KEEP), strict_urls, extended_types)
     doms = with_html_book(doms, unless="structured IS NOT NULL")
     others = [name for name in pages.columns if name != "html"]
-    return doms.select(*others, F.coalesce("structured", "from_html").alias("metadata"))
+    flag = [F.col("nodes").isNull().alias(unreadable)] if unreadable else []
+    return doms.select(*others, *flag, F.coalesce("structured", "from_html").alias("metadata"))
 
 
 def books(pages: DataFrame, strict_urls: bool = True, extended_types: bool = False) -> DataFrame:

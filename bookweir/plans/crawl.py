@@ -9,6 +9,9 @@ from bookweir.operators import outcomes
 from bookweir.operators.books import completeness, extract_books
 from bookweir.sources.requests import expand_requests, validate_requests
 
+# Fixed value: how the message of a result without a readable page begins.
+EXTRACTION_FAILED = "Book data extraction failed: the page can't be read"
+
 
 def scrape_results(fetches: DataFrame) -> DataFrame:
     """One result per fetch: status, error fields, size and book.
@@ -20,8 +23,10 @@ def scrape_results(fetches: DataFrame) -> DataFrame:
     judged = outcomes.error_fields(outcomes.classify_fetch(fetches.withColumn("body", F.col("html")))).drop("body")
     sized = judged.withColumn("data_size_bytes", F.octet_length("html").cast("bigint"))
     readable = (F.col("status") == "success") & (F.col("data_size_bytes") > 0)
-    found = extract_books(sized.withColumn("html", F.when(readable, F.col("html"))))
+    found = extract_books(sized.withColumn("html", F.when(readable, F.col("html"))), unreadable="_unreadable")
     lacking = (F.col("status") == "success") & (F.col("data_size_bytes") > 0) & F.col("metadata").isNull()
+    reason = F.when(lacking & F.col("_unreadable"), F.lit(EXTRACTION_FAILED)).otherwise(F.col("error_message"))
+    found = found.withColumn("error_message", reason).drop("_unreadable")
     return found.withColumn("status", F.when(lacking, "partial").otherwise(F.col("status"))).withColumn(
         "data_completeness", F.when(F.col("metadata").isNotNull(), completeness()).otherwise(F.lit(0.0))
     )

@@ -94,56 +94,6 @@ BOOK = T.StructType(
     ]
 )
 
-RESULT = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("job_id", T.StringType(), False),
-        T.StructField("source", T.StringType(), False),
-        T.StructField("status", T.StringType(), False),
-        T.StructField("book", BOOK),
-        T.StructField("response_time_ms", T.DoubleType()),
-        T.StructField("data_size_bytes", T.LongType()),
-        T.StructField("error_message", T.StringType()),
-        T.StructField("error_code", T.StringType()),
-        T.StructField("url_scraped", T.StringType()),
-        T.StructField("user_agent", T.StringType()),
-        T.StructField("ip_address", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("processed_at", T.TimestampType()),
-        T.StructField("confidence_score", T.DoubleType()),
-        T.StructField("data_completeness", T.DoubleType()),
-        T.StructField("raw_html", T.StringType()),
-        T.StructField("extracted_data", T.VariantType()),
-    ]
-)
-
-JOB = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("job_type", T.StringType(), False),
-        T.StructField("source", T.StringType(), False),
-        T.StructField("urls", STRINGS, False),
-        T.StructField("priority", T.IntegerType()),
-        T.StructField("max_retries", T.IntegerType()),
-        T.StructField("timeout_seconds", T.IntegerType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("progress", T.DoubleType()),
-        T.StructField("completed_count", T.LongType()),
-        T.StructField("failed_count", T.LongType()),
-        T.StructField("total_count", T.LongType()),
-        T.StructField("metadata", T.VariantType()),
-        T.StructField("tags", STRINGS),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("started_at", T.TimestampType()),
-        T.StructField("completed_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
-        T.StructField("last_error", T.StringType()),
-        T.StructField("error_count", T.LongType()),
-        T.StructField("total_duration_seconds", T.DoubleType()),
-        T.StructField("average_response_time_ms", T.DoubleType()),
-    ]
-)
-
 # One element of a page. `up` holds the `pre` numbers of the enclosing elements
 # that were kept as well, outermost first.
 NODE = T.StructType(

@@ -124,7 +124,7 @@ def audit_in_runs(
     Every trigger is one run of the batch audit, which spreads a hot key over
     many chunks and starts from the levels the run before left. A run writes
     `rows/run=<n>` and `levels/run=<n>` below `folder`; a repeated run replaces
-    itself.
+    itself, and levels go once the next run but one has been written.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -135,6 +135,8 @@ def audit_in_runs(
         written = spark.read.parquet(f"{folder}/rows/run={batch_id}")
         levels = bucket_levels(written, key, ts, tie, limit, saved)
         levels.write.mode("overwrite").parquet(f"{folder}/levels/run={batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/levels/run={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return rows.writeStream.foreachBatch(run)
 
