@@ -46,8 +46,8 @@ TOKENS_PER_CLASS = 16
 #: Rounds of comparisons with one class per group, before the exact rest.
 ROUNDS = 3
 #: Shingles of a block (what a task packs at once) and, on average, of a hash part.
-BLOCK_TOKENS = 2 << 20
-PART_TOKENS = 3 << 20
+BLOCK_TOKENS = 1 << 20
+PART_TOKENS = 3 << 19
 # Compressed bytes of input that one shingle takes, about; decides the number of parts only.
 BYTES_PER_TOKEN = 3
 _TOKEN = np.uint64((1 << 48) - 1)
