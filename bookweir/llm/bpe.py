@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookweir.llm import spans
-from bookweir.llm.work import map_texts, once, quoted
+from bookweir.llm.work import begin, map_texts, once, quoted
 
 # Symbols: letter, number, other, apostrophe of a contraction of two or three characters, white
 # space with more of it (or the end) to follow, last space, last other white space, end of text.
@@ -37,7 +37,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, MORE, SPACE, BLANK, END = range(9)
 NOTHING, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOINING, IN_BLANKS, ONE_MORE, TWO_MORE = range(8)
 _BLOCK = 256
 # Pre-tokens whose merges a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -262,7 +262,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
         ]
 
     result = "n_tokens long, ids array<int>, starts array<long>, decoded_sha256 string"
-    return map_texts(docs, text_col, result, work, keep, limit=1 << 20)
+    return map_texts(docs, text_col, result, work, keep, limit=1 << 20, kept="bpe")
 
 
 def decoded(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -271,6 +271,7 @@ def decoded(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     schema = docs.select(*[quoted(n) for n in others], F.lit(b"").alias("bytes")).schema
 
     def run(batches):
+        begin("bpe")
         merger = _merger(path)
         for batch in batches:
             texts = [None if ids is None else merger.decode(ids) for ids in batch.column(batch.num_columns - 1).to_pylist()]
@@ -302,7 +303,7 @@ def encoding_digests(docs: DataFrame, path: str, text_col: str = "text", keep: l
         return [pa.array(counts), pa.array(said_hash), pa.array(back_hash)]
 
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_texts(docs, text_col, result, work, keep, limit=2 << 20)
+    return map_texts(docs, text_col, result, work, keep, limit=1 << 20, kept="bpe")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bookweir.llm import bpe, dedup, langid, lm, main_text, mixing, near, pii, quality, token_counts
-from bookweir.session import prepare
+from bookweir.llm.work import ready
 from bookweir.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,7 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _query(run: Query) -> Query:
-    _QUERIES[run.__name__] = lambda spark, folder: run(prepare(spark), folder)
+    _QUERIES[run.__name__] = lambda spark, folder: run(ready(spark), folder)
     return run
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookweir.llm.work import parts_for, quoted, settle, utf8
+from bookweir.llm.work import begin, parts_for, quoted, settle, utf8
 
 # A range partition by this many compressed bytes of input.
 PART_BYTES = 16 << 20
@@ -54,6 +54,7 @@ def _runs(text_at: int, id_at: int):
         return pa.RecordBatch.from_arrays(arrays, names=["row", "sha", "size", "top", "final", "edge", "run"])
 
     def follow(batches):
+        begin()
         held, state = [], {"first": True, "run": 0}
         for batch in batches:
             rows = batch.column(0)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookweir.llm.work import bounds, map_texts, once, quoted
+from bookweir.llm.work import begin, bounds, map_texts, once, quoted
 
 #: Buckets of the hashed n-grams (so the model has languages x buckets numbers, whatever the corpus is).
 BUCKETS = 1 << 16
@@ -64,6 +64,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     inputs = inputs.filter("text IS NOT NULL AND lang IS NOT NULL")
 
     def count(batches):
+        begin("letters")
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0), batch.column(1).to_pylist()
@@ -121,7 +122,7 @@ def identify(
         said = [names[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist())]
         return [pa.array(said, pa.string()), pa.array(np.where(letters > 0, score, 0.0))]
 
-    return map_texts(docs, text_col, "lang_pred string, score double", work, keep, limit=1 << 20)
+    return map_texts(docs, text_col, "lang_pred string, score double", work, keep, limit=1 << 20, kept="letters")
 
 
 def is_held_out(id_col: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookweir.llm import ctw, spans
-from bookweir.llm.work import bounds, estimated_bytes, quoted, settle, utf8
+from bookweir.llm.work import begin, bounds, estimated_bytes, quoted, settle, utf8
 
 #: Distinct grams of a slice of the model: 12 bytes each are broadcast at once, no more.
 SLICE_GRAMS = 6 << 20
@@ -152,11 +152,12 @@ class _Task:
 
 def _gathered(depth: int, parts: int):
     def run(batches):
+        begin()
         task = _Task(depth, parts)
         for batch in batches:
             one, two, held_out = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             texts = pc.fill_null(batch.column(3), "")
-            for lo, hi in bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False), 2 << 20):
+            for lo, hi in bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
                 task.add(one[lo:hi], two[lo:hi], held_out[lo:hi], texts.slice(lo, hi - lo))
                 if task.entries >= BLOCK_ENTRIES:
                     yield from task.block()
@@ -262,7 +263,7 @@ def _scored(depth: int, sent):
         model, logs = sent.value
         for batch in batches:
             texts = pc.fill_null(batch.column(2), "")
-            for lo, hi in bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False), 2 << 20):
+            for lo, hi in bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
                 data, offsets = utf8(texts.slice(lo, hi - lo))
                 keys, of = ctw.grams(spans.lower(data), offsets, depth)
                 order = np.argsort(keys)

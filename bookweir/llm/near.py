@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookweir.llm import spans
-from bookweir.llm.work import bounds, estimated_bytes, quoted, settle, utf8
+from bookweir.llm.work import begin, bounds, estimated_bytes, quoted, settle, utf8
 
 #: Words of a shingle, and the threshold as a fraction: 100 * common >= 75 * all.
 SHINGLE = 5
@@ -173,13 +173,14 @@ class _Block:
 
 def _from_texts(parts: int, size: int):
     def run(batches):
+        begin()
         block = _Block(parts)
         for batch in batches:
             idents, texts = batch.column(0), pc.fill_null(batch.column(1), "")
             known = pc.is_valid(idents).to_numpy(zero_copy_only=False)
             ids = pc.fill_null(idents, 0).to_numpy(zero_copy_only=False)
             lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-            for first, last in bounds(lengths, 2 << 20):
+            for first, last in bounds(lengths, 1 << 20):
                 for lo in range(first, last, 65_536):
                     hi = min(last, lo + 65_536)
                     block.add(ids[lo:hi], known[lo:hi], *shingles(texts.slice(lo, hi - lo), size))
@@ -192,6 +193,7 @@ def _from_texts(parts: int, size: int):
 
 def _from_sets(parts: int):
     def run(batches):
+        begin()
         block = _Block(parts)
         for batch in batches:
             for ident, n, tokens in zip(*(batch.column(k).to_pylist() for k in range(3))):

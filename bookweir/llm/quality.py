@@ -183,7 +183,7 @@ def judged(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = N
         kept = cascade(texts, base, order)
         return [*[pa.array(v) for k, v in base.items() if k[0] != "_"], pa.array(kept)]
 
-    return map_texts(docs, text_col, f"{FIGURES}, kept boolean", work, keep, limit=2 << 20)
+    return map_texts(docs, text_col, f"{FIGURES}, kept boolean", work, keep, limit=1 << 20)
 
 
 def good(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from bookweir.llm.work import map_texts, once, utf8
 CHUNK = 1 << 16
 OVERLAP = 256
 # Words whose counts a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
 # Marks at the end of a word that begin a pre-token of their own after an ASCII letter or digit.
 _TAIL = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?#$%&*]+)", re.DOTALL)
 
@@ -156,7 +156,7 @@ def token_counts(
             n_tokens[k] = count_long(data[offsets[k] : offsets[k + 1]], counter, chunk, overlap)
         return [pa.array(n_bytes), pa.array(n_tokens)]
 
-    return map_texts(docs, text_col, "n_bytes long, n_tokens long", work, keep, limit=2 << 20)
+    return map_texts(docs, text_col, "n_bytes long, n_tokens long", work, keep, limit=1 << 20, kept="counter")
 
 
 def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import sys
 import uuid
@@ -10,16 +13,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookweir.session import use_checkpoint_dir
+from bookweir.session import prepare, use_checkpoint_dir
 
 # White space that ends a word: the space and U+0009 to U+000D, as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
 # Text handled at a time inside a task; a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+# Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def quoted(name: str) -> str:
@@ -34,6 +39,28 @@ def once(key: str, make: Callable):
     return kept[key]
 
 
+def begin(keys: str = "-") -> None:
+    """Start a task's work: let go of what other operators keep in this worker process, and of freed memory.
+
+    Only entries whose key starts with `keys` stay.
+    """
+    kept = vars(sys).setdefault("_bookweir_kept", {})
+    for key in [key for key in kept if not key.startswith(keys)]:
+        del kept[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Prepare a session; texts are long, so batches between Spark and Python hold fewer of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return prepare(spark)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back: later steps don't recompute what led here.
 
@@ -91,11 +118,13 @@ def map_texts(
     work: Callable[[pa.Array], list],
     keep: list[str] | None = None,
     limit: int = CHUNK_BYTES,
+    kept: str = "-",
 ) -> DataFrame:
     """Columns `row` (a struct of the kept columns, all by default) and `out` (what `work` makes of the texts).
 
     `work` gets a string array of bounded size and returns one array per field of
-    `result`. Names of input columns can't clash with those of the result.
+    `result`. Names of input columns can't clash with those of the result. `kept` is
+    how the keys begin under which the work keeps things (`once`).
     """
     keep = df.columns if keep is None else keep
     parsed = T._parse_datatype_string(result)
@@ -107,6 +136,7 @@ def map_texts(
     names, inside = [f.name for f in parsed], keep.index(text) if text in keep else None
 
     def run(batches):
+        begin(kept)
         for batch in batches:
             texts = batch.column(1) if inside is None else batch.column(0).field(inside)
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -12,34 +12,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bookweir.llm import bpe, dedup, mixing, near, quality
-from bookweir.llm.work import settle
-from bookweir.session import prepare
+from bookweir.llm.work import ready, settle
 from bookweir.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return quality.good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return dedup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return near.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return mixing.mixed(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each time a document is taken: doc_id, n_tokens, ids and the digest of what they decode to."""
-    prepare(spark)
+    ready(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encoded(docs, path, keep=["doc_id"]).select("row.doc_id", "out.n_tokens", "out.ids", "out.decoded_sha256")
 
@@ -58,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole documents table; each result is written before the next starts."""
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
