@@ -5,8 +5,8 @@ far as the corpus ties the two together: with counts over documents, the pointwi
 information log2(N n_te / (n_t n_e)) over the entity's own information log2(N / n_e) is 1 if
 the term occurs with the entity only, and falls as it occurs elsewhere. Terms over a first
 threshold are generalised, over a second one removed, in the documents that hold the entity.
-Copies of one passage are no evidence: a term counts if it stands beside the entity in several
-different surroundings.
+Equal texts are one piece of evidence, and a text is none about itself: what a term discloses in
+a text is counted over the other texts. No number of texts is asked for beyond that.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from bookweir.llm.work import quoted
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on either side of an entity that are looked at, different surroundings asked for,
-#: and the disclosure from which a term is generalised or removed.
+#: Words on either side of an entity that are looked at, and the disclosure from which a term is
+#: generalised or removed.
 NEAR = 5
-SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -132,7 +131,7 @@ def _name(kind: str, found: Column) -> Column:
 
 
 def _occurrences(entities: DataFrame) -> DataFrame:
-    """One row per entity found: key, entity, terms beside it and a hash of these surroundings."""
+    """One row per entity found: key, entity and terms beside it."""
 
     def named(kind: str):
         return lambda s: F.struct(_name(kind, s["found"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
@@ -149,37 +148,33 @@ def _occurrences(entities: DataFrame) -> DataFrame:
     return rows.select("key", "e.entity", beside.alias("beside")).select(
         "key",
         "entity",
-        F.xxhash64("beside").alias("around"),
         F.filter(F.array_distinct(F.regexp_extract_all("beside", F.lit(_TERMS), F.lit(0))), lambda t: F.length(t) > 2).alias("terms"),
     )
 
 
-def disclosing_terms(entities: DataFrame, occurrences: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosing_terms(entities: DataFrame, occurrences: DataFrame, least: float = GENERALISE) -> DataFrame:
     """Columns entity, term and disclosure, for the terms that disclose an entity.
 
-    Counts are of documents, over the whole corpus. Words of all documents are counted in
-    place and combined before the shuffle; only the counts of terms that stand beside an
-    entity often enough are kept.
+    Counts are of different texts, over the whole corpus, without the one that the term is to
+    be judged in; it holds both, so that is one less of each.
     """
-    n_all = entities.select(F.count("*")).scalar()
-    weight = entities.select(_key().alias("key")).groupBy("key").agg(F.count("*").alias("copies"))
-    found = occurrences.distinct().join(weight, "key")
-    n_e = found.select("key", "entity", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    beside = found.select("key", "entity", "around", "copies", F.explode("terms").alias("term"))
-    pairs = beside.groupBy("entity", "term").agg(F.count_distinct("around").alias("ways"))
-    pairs = pairs.filter(F.col("ways") >= support)
-    # In how many documents with the entity does the term stand beside it.
-    together = beside.select("entity", "term", "key", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_te"))
+    n_all = entities.select(_key().alias("key")).distinct().select(F.count("*")).scalar()
+    found = occurrences.distinct()
+    n_e = found.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    beside = found.select("key", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = beside.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter("n_te > 1")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERMS), F.lit(0)))
-    n_t = entities.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    joined = pairs.join(together, ["entity", "term"]).join(n_e, "entity").join(n_t, "term").withColumn("n_all", n_all)
+    texts = entities.select("text").distinct()
+    n_t = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    joined = pairs.join(n_e, "entity").join(n_t, "term").withColumn("n_all", n_all)
+    others = joined.select("entity", "term", *[(F.col(n) - 1).alias(n) for n in ("n_all", "n_e", "n_t", "n_te")])
     information = F.log2(F.col("n_all") / F.col("n_e"))
     shared = F.log2(F.col("n_all") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    scored = joined.filter("n_all > n_e").select("entity", "term", (shared / information).alias("disclosure"))
+    scored = others.filter("n_all > n_e").select("entity", "term", (shared / information).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= least)
 
 
-def find(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", least: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Every row with its personal data.
 
     Columns: row (struct of all columns), text (null as empty), spans arrays `email`, `ip`,
@@ -190,7 +185,7 @@ def find(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, least:
     """
     entities = with_entities(docs, text_col)
     occurrences = _occurrences(entities)
-    terms = disclosing_terms(entities, occurrences, support, least)
+    terms = disclosing_terms(entities, occurrences, least)
     held = occurrences.select("key", "entity").distinct().join(terms, "entity")
     by_text = held.groupBy("key").agg(
         F.sort_array(F.collect_set("term")).alias("terms"),

@@ -160,6 +160,22 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[0] == "filler0 a 0. Please ask  at <EMAIL> about0 ok" and clean[100] == plain[0][1]
 
 
+def _terms(spark, rows) -> dict[int, list[str]]:
+    texts, got = dict(rows), pii.span_digests(_frame(spark, rows)).collect()
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith("term:")] for r in got}
+    return {k: [texts[k][int(a) : int(b)] for _, a, b in found] for k, found in spans.items()}
+
+
+def test_terms_need_no_number_of_surroundings(spark):
+    signed = [(k, f"letter{k} number{k}\nOlbrin olb@corp.example.com") for k in range(9)]  # one line in different texts
+    twice = [(20 + k, f"first{k} Merrow mer@corp.example.com last{k}") for k in range(2)]
+    shared = [(30 + k, f"some{k} Dunstan dun@corp.example.com") for k in range(3)] + [(40 + k, f"Dunstan went{k}") for k in range(30)]
+    got = _terms(spark, signed + twice + shared + [(100 + k, f"plain text {k}") for k in range(60)])
+    assert all(("Olbrin" in got[k]) == (k < 9) for k in got)
+    assert [got[k] for k in (20, 21)] == [["Merrow"]] * 2
+    assert all("Dunstan" not in found for found in got.values())  # mostly elsewhere
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>"</script></head><body class="has-sidebar">
 <nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav><div class="cookie-notice">We use cookies on this site, as all others do, to know who you are.</div>
 <header class="site-header"><h1>The site</h1></header><div class="ad">Buy this now, it is cheap and good and yours for ever.</div>
