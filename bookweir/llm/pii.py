@@ -1,12 +1,13 @@
 """Personal data: pattern spans, and terms that give away what they stand beside. Native throughout.
 
-Four kinds of entities are found by pattern. A term (a word near an entity) discloses it as
-far as the corpus ties the two together: with counts over documents, the pointwise mutual
-information log2(N n_te / (n_t n_e)) over the entity's own information log2(N / n_e) is 1 if
-the term occurs with the entity only, and falls as it occurs elsewhere. Terms over a first
-threshold are generalised, over a second one removed, in the documents that hold the entity.
-Equal texts are one piece of evidence, and a text is none about itself: what a term discloses in
-a text is counted over the other texts. No number of texts is asked for beyond that.
+Four kinds of entities are found by pattern. A term (a word of a text that holds an entity,
+wherever it stands) discloses the entity as far as the corpus ties the two together: with counts
+over texts, the pointwise mutual information log2(N n_te / (n_t n_e)) over the entity's own
+information log2(N / n_e) is 1 if the term occurs with the entity only, and falls as it occurs
+elsewhere. Terms over a first threshold are generalised, over a second one removed, in the
+texts that hold the entity. Equal texts are one piece of evidence, and a text is none about
+itself: what a term discloses in a text is counted over the other texts. No number of texts is
+asked for beyond that.
 """
 
 from __future__ import annotations
@@ -14,13 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookweir.llm.work import quoted
+from bookweir.llm.work import quoted, settle
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on either side of an entity that are looked at, and the disclosure from which a term is
-#: generalised or removed.
-NEAR = 5
+#: The disclosure from which a term is generalised or removed.
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -33,6 +32,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _TERMS = r"[\p{L}\p{N}]+"
+#: Stands for every character of an entity where words are read; no pattern has it.
+_HIDE = "|"
 _CHUNK = 512
 _SPAN = "array<struct<start:int,end:int,found:string>>"
 
@@ -105,7 +106,7 @@ _CUES = {"email": "@", "ip": ".", "phone": "+"}
 
 
 def with_entities(docs: DataFrame, text_col: str) -> DataFrame:
-    """Columns row (struct of all columns), text (null as empty) and a span array per kind."""
+    """Columns row (struct of all columns), text (null as empty), a span array per kind, and bare: the text with entities blotted out."""
     out = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     for kind in KINDS:
@@ -117,7 +118,21 @@ def with_entities(docs: DataFrame, text_col: str) -> DataFrame:
         spans = _placed(F.split("text", F.lit(PATTERNS[kind]), F.lit(-1)), found)
         valid = F.filter(spans, _check(kind))
         out = out.withColumn(kind, F.when(F.size(found) > 0, valid).otherwise(F.array().cast(_SPAN)))
-    return out.select("row", "text", *KINDS)
+    out = out.withColumn("bare", F.col("text"))
+    for kind in KINDS:
+        out = out.withColumn("bare", F.when(F.size(kind) > 0, _blotted(kind, F.col("bare"))).otherwise(F.col("bare")))
+    return out.select("row", "text", *KINDS, "bare")
+
+
+def _blotted(kind: str, text: Column) -> Column:
+    """The text, as long as before, without the entities of a kind."""
+    pattern = F.lit(PATTERNS[kind])
+
+    def blot(found: Column) -> Column:
+        return F.when(_valid(kind, found), F.repeat(F.lit(_HIDE), F.length(found))).otherwise(found)
+
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), blot)
+    return F.array_join(F.zip_with(F.split(text, pattern, F.lit(-1)), F.array_append(found, F.lit("")), lambda gap, m: F.concat(gap, m)), "")
 
 
 def _key() -> Column:
@@ -130,77 +145,97 @@ def _name(kind: str, found: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(found) if kind in ("email", "ip") else _digits(found))
 
 
-def _occurrences(entities: DataFrame) -> DataFrame:
-    """One row per entity found: key, entity and terms beside it."""
-
-    def named(kind: str):
-        return lambda s: F.struct(_name(kind, s["found"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
-
-    every = F.concat(*[F.transform(kind, named(kind)) for kind in KINDS])
-    rows = entities.filter(F.size(every) > 0).select(_key().alias("key"), "text", F.explode(every).alias("e"))
-    reach = 24 * NEAR
-    before = F.substring("text", F.greatest(F.lit(1), F.col("e.start") + 1 - reach), F.least(F.lit(reach), F.col("e.start")))
-    after = F.substring("text", F.col("e.end") + 1, F.lit(reach))
-    # White space is the shape of a line; words beyond a line break aren't beside the entity.
-    left = F.regexp_extract(before, r"((?:(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++[\x20\x09]++){0,%d})$" % NEAR, 1)
-    right = F.regexp_extract(after, r"^((?:[\x20\x09]++[^\x20\x09-\x0D]++(?![^\x20\x09-\x0D])){0,%d})" % NEAR, 1)
-    beside = F.lower(F.concat_ws(" ", left, right))
-    return rows.select("key", "e.entity", beside.alias("beside")).select(
-        "key",
-        "entity",
-        F.filter(F.array_distinct(F.regexp_extract_all("beside", F.lit(_TERMS), F.lit(0))), lambda t: F.length(t) > 2).alias("terms"),
-    )
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERMS), F.lit(0)), lambda t: F.lower(t)))
 
 
-def disclosing_terms(entities: DataFrame, occurrences: DataFrame, least: float = GENERALISE) -> DataFrame:
+def _holders(entities: DataFrame) -> DataFrame:
+    """One row per text that holds an entity: key, bare text and the entities in it."""
+
+    def name(kind: str):
+        return lambda s: _name(kind, s["found"])
+
+    every = F.concat(*[F.transform(kind, name(kind)) for kind in KINDS])
+    return entities.filter(F.size(every) > 0).select(_key().alias("key"), "bare", F.array_distinct(every).alias("entities")).distinct()
+
+
+def _shared(holders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities of two texts or more with n_e, and key, bare and such entities of the texts that hold them.
+
+    Of an entity that one text holds, the others say nothing.
+    """
+    named = holders.select("key", F.explode("entities").alias("entity"))
+    n_e = named.groupBy("entity").agg(F.count("*").alias("n_e")).filter("n_e > 1")
+    some = named.join(n_e, "entity").groupBy("key").agg(F.collect_list("entity").alias("entities"))
+    return n_e, holders.select("key", "bare").join(some, "key")
+
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    """Key, entity and term, for the words of each text and its entities."""
+    return shared.select("key", "entities", F.explode(_words(F.col("bare"))).alias("term")).select("key", "term", F.explode("entities").alias("entity"))
+
+
+def disclosing_terms(entities: DataFrame, holders: DataFrame, least: float = GENERALISE) -> DataFrame:
     """Columns entity, term and disclosure, for the terms that disclose an entity.
 
     Counts are of different texts, over the whole corpus, without the one that the term is to
-    be judged in; it holds both, so that is one less of each.
+    be judged in; it holds both, so that is one less of each. Pairs and words are counted in
+    place and combined before the shuffle, so a common entity or word is one row a task.
     """
     n_all = entities.select(_key().alias("key")).distinct().select(F.count("*")).scalar()
-    found = occurrences.distinct()
-    n_e = found.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    beside = found.select("key", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = beside.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter("n_te > 1")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERMS), F.lit(0)))
-    texts = entities.select("text").distinct()
-    n_t = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_e, shared = _shared(holders)
+    pairs = _pairs(shared).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter("n_te > 1")
+    texts = entities.select(_key().alias("key"), "bare").distinct()
+    n_t = texts.select(F.explode(_words(F.col("bare"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(n_e, "entity").join(n_t, "term").withColumn("n_all", n_all)
     others = joined.select("entity", "term", *[(F.col(n) - 1).alias(n) for n in ("n_all", "n_e", "n_t", "n_te")])
     information = F.log2(F.col("n_all") / F.col("n_e"))
-    shared = F.log2(F.col("n_all") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    scored = others.filter("n_all > n_e").select("entity", "term", (shared / information).alias("disclosure"))
+    mutual = F.log2(F.col("n_all") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    scored = others.filter("n_all > n_e").select("entity", "term", (mutual / information).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= least)
 
 
+def _telling(word: Column) -> Column:
+    """Whether a word may be a name: of more than two characters, or of letters and not in small ones (Li, but not ok)."""
+    small = (F.lower(word) == word) & (F.upper(word) != word)
+    return (F.length(word) > 2) | (word.rlike(r"^\p{L}+$") & ~small)
+
+
+def _marked(shared: DataFrame, terms: DataFrame, remove: float) -> DataFrame:
+    """Key, spans of terms and the terms to be removed, for the texts that have any."""
+    held = _pairs(shared).join(terms, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    words = F.regexp_extract_all("bare", F.lit(_TERMS), F.lit(0))
+    placed = shared.select("key", F.explode(F.filter(_placed(F.split("bare", F.lit(_TERMS), F.lit(-1)), words), lambda s: _telling(s["found"]))).alias("s"))
+    met = placed.withColumn("term", F.lower("s.found")).join(held, ["key", "term"])
+    gone = F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term")))
+    return met.groupBy("key").agg(F.sort_array(F.collect_list("s")).alias(TERM), F.sort_array(gone).alias("gone"))
+
+
 def find(docs: DataFrame, text_col: str = "text", least: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Every row with its personal data.
 
     Columns: row (struct of all columns), text (null as empty), spans arrays `email`, `ip`,
     `card`, `phone` and `term` of (start, end, found), in code points, end exclusive, and
     `gone`: the lower-case terms to be removed rather than generalised. Base spans are never
-    changed by the method; terms only come to them. Repeated rows get the same spans; empty
-    texts and tables have none.
+    changed by the method; terms only come to them, beside them. Repeated rows get the same
+    spans; empty texts and tables have none.
     """
     entities = with_entities(docs, text_col)
-    occurrences = _occurrences(entities)
-    terms = disclosing_terms(entities, occurrences, least)
-    held = occurrences.select("key", "entity").distinct().join(terms, "entity")
-    by_text = held.groupBy("key").agg(
-        F.sort_array(F.collect_set("term")).alias("terms"),
-        F.sort_array(F.collect_set(F.when(F.col("disclosure") >= remove, F.col("term")))).alias("gone"),
-    )
-    # Texts that hold an entity are few; only these meet the terms.
-    some = entities.filter(" + ".join(f"size({k})" for k in KINDS) + " > 0").select("text").distinct().withColumn("key", _key())
-    # Letters and digits only, longest first: no quoting needed.
-    longest = F.array_sort("terms", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    marked = some.join(by_text, "key").withColumn("pattern", pattern).withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
-    marked = marked.filter(F.size("found") > 0).select("key", _placed(F.split("text", F.col("pattern"), F.lit(-1)), F.col("found")).alias(TERM), "gone")
+    # Texts that hold an entity are few; they are read several times.
+    holders = settle(_holders(entities))
+    terms = disclosing_terms(entities, holders, least)
+    marked = _marked(_shared(holders)[1], terms, remove)
     joined = entities.withColumn("key", _key()).join(marked, "key", "left")
+
+    def apart(s: Column) -> Column:
+        return ~F.exists(F.concat(*KINDS), lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"]))
+
     return joined.select(
-        "row", "text", *KINDS, F.coalesce(TERM, F.array().cast(_SPAN)).alias(TERM), F.coalesce("gone", F.array().cast("array<string>")).alias("gone")
+        "row",
+        "text",
+        *KINDS,
+        F.when(F.col(TERM).isNotNull(), F.filter(TERM, apart)).otherwise(F.array().cast(_SPAN)).alias(TERM),
+        F.coalesce("gone", F.array().cast("array<string>")).alias("gone"),
     )
 
 

@@ -176,6 +176,21 @@ def test_terms_need_no_number_of_surroundings(spark):
     assert all("Dunstan" not in found for found in got.values())  # mostly elsewhere
 
 
+def test_terms_stand_anywhere_in_the_text(spark):
+    far = "came. Later on, " + "and after much plain text " * 10
+    forms = ["Zorvath <@>", "Zorvath (@)", "@, Zorvath", "Zorvath:@", "Zorvath\nMail:@", f"Zorvath {far}\n@", f"@ {far} Zorvath"]
+    rows = [(k, f"own{k} " + form.replace("@", "zed@corp.com")) for k, form in enumerate(forms)]
+    rows += [(20 + k, f"own{k + 20} 李明\nand Li on 10.9.8.7") for k in range(3)]
+    rows += [(30 + k, f"own{k + 30} Quill quill@corp.org") for k in range(3)]
+    rows += [(100 + k, f"Mail {far} {k}") for k in range(60)]
+    got = _terms(spark, rows)
+    assert all(got[k] == ["Zorvath"] for k in range(len(forms)))
+    assert all(got[20 + k] == ["李明", "Li"] and got[30 + k] == ["Quill"] for k in range(3))  # no part of an address
+    assert all(got[100 + k] == [] for k in range(60))
+    clean = {r.doc_id: r.text for r in pii.sanitised(_frame(spark, rows)).collect()}
+    assert clean[0] == "own0  <<EMAIL>>" and clean[20] == "own20 \nand  on <IP>" and clean[30] == "own30  <EMAIL>"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>"</script></head><body class="has-sidebar">
 <nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav><div class="cookie-notice">We use cookies on this site, as all others do, to know who you are.</div>
 <header class="site-header"><h1>The site</h1></header><div class="ad">Buy this now, it is cheap and good and yours for ever.</div>
