@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bookweir.llm import bpe, dedup, langid, lm, main_text, merkle, mixing, near, pii, quality, token_counts
+from bookweir.llm import bpe, dedup, langid, lm, main_text, merkle, mixing, near, negatives, pii, quality, token_counts
 from bookweir.llm.work import ready
 from bookweir.sources.tables import table
 
@@ -74,6 +74,11 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_shares(table(spark, folder, "documents"))
 
 
+@_query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mined(table(spark, folder, "embeddings"))
+
+
 @_query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
@@ -86,6 +91,7 @@ WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
            FROM documents),
 g AS (SELECT doc_id, t, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FROM n WINDOW w AS (PARTITION BY t))
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op12_hard_negatives": negatives.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
 

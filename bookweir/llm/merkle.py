@@ -26,7 +26,7 @@ FANOUT = 16
 DIGITS = 2
 #: Leaves of a range partition, each about 150 bytes; at most so many partitions, for the
 #: driver draws a sample of the keys of each (a larger one spills while it is sorted).
-PART_LEAVES = 400_000
+PART_LEAVES = 50_000
 MOST_PARTS = 1 << 15
 #: Tampering: every row whose crc32 of the id this divides.
 TAMPERED = 5
