@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bookweir.llm import bpe, dedup, langid, lm, main_text, merkle, mixing, near, negatives, pii, quality, token_counts
+from bookweir.llm import bpe, dedup, langid, lm, main_text, merkle, mixing, near, negatives, pii, quality, token_counts, word_bpe
 from bookweir.llm.work import ready
 from bookweir.sources.tables import table
 
@@ -74,6 +74,11 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_shares(table(spark, folder, "documents"))
 
 
+@_query
+def op11_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return word_bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mined(table(spark, folder, "embeddings"))
