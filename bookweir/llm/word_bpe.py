@@ -44,6 +44,8 @@ from bookweir.llm.work import begin, bounds, once, quoted
 LEAF = 4096
 #: Characters of a part: longer texts are encoded by several tasks, part by part.
 PART = 1 << 15
+#: Tokens at either edge of a part whose places go with it.
+EDGE = 256
 #: Characters of the first window on either side of a cut.
 WINDOW = 48
 # Bytes of texts that a worker encodes at a time.
@@ -105,7 +107,7 @@ class Lazy:
     """A library encoding of text[base:], asked token by token."""
 
     def __init__(self, encoding, base: int):
-        self.encoding, self.base, self.n = encoding, base, len(encoding)
+        self.encoding, self.base, self.n, self._ids = encoding, base, len(encoding), None
 
     def span(self, k: int) -> tuple[int, int]:
         start, end = self.encoding.token_to_chars(k)
@@ -115,28 +117,35 @@ class Lazy:
         return not k or self.encoding.token_to_word(k) != self.encoding.token_to_word(k - 1)
 
     def ids(self) -> np.ndarray:
-        return np.array(self.encoding.ids, np.int64)
+        if self._ids is None:
+            self._ids = np.array(self.encoding.ids, np.int64)
+        return self._ids
 
     def id(self, k: int) -> int:
-        return self.encoding.ids[k] if self.n < 400 else int(self._all()[k])
-
-    def _all(self) -> np.ndarray:
-        if not hasattr(self, "kept"):
-            self.kept = self.ids()
-        return self.kept
+        return int(self.ids()[k])
 
 
 class Listed:
-    """Tokens that came from another task as arrays."""
+    """Tokens of a part that another task encoded: all ids, and the spans of those near its edges.
+
+    A window that asks for more has the part encoded here again.
+    """
+
+    def __init__(self, ids: np.ndarray, edges: tuple, base: int, again):
+        self._ids, self._edges, self.base, self.n, self._again = ids, edges, base, len(ids), again
 
-    def __init__(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, base: int):
-        self._ids, self._starts, self._ends, self._words, self.base, self.n = ids, starts, ends, words, base, len(ids)
+    def _at(self, k: int) -> tuple[int, int, bool]:
+        starts, ends, words = self._edges
+        if len(starts) < self.n and EDGE <= k < self.n - EDGE:
+            starts, ends, words = self._edges = self._again()
+        j = k if len(starts) == self.n or k < EDGE else k - self.n
+        return int(starts[j]) + self.base, int(ends[j]) + self.base, bool(words[j])
 
     def span(self, k: int) -> tuple[int, int]:
-        return int(self._starts[k]) + self.base, int(self._ends[k]) + self.base
+        return self._at(k)[:2]
 
     def starts_word(self, k: int) -> bool:
-        return not k or bool(self._words[k])
+        return not k or self._at(k)[2]
 
     def ids(self) -> np.ndarray:
         return self._ids
@@ -178,16 +187,13 @@ class Rope:
             return np.zeros(0, np.int64)
         return np.concatenate([t.ids()[a:b] for t, a, b in self.stretches])
 
-    def listed(self) -> tuple[list[int], list[int], list[int], list[bool]]:
-        """Ids, starts and ends from the rope's start, and whether a token starts a pre-token."""
-        starts, ends, words = [], [], []
-        for tokens, a, b in self.stretches:
-            for k in range(a, b):
-                start, end = tokens.span(k)
-                starts.append(start - self.lo)
-                ends.append(end - self.lo)
-                words.append(tokens.starts_word(k))
-        return self.ids().tolist(), starts, ends, words
+    def spans(self, edge: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends from the rope's start, and whether a token starts a pre-token, of all tokens or the outer ones."""
+        places = [(t, k) for t, a, b in self.stretches for k in range(a, b)]
+        if edge is not None and len(places) > 2 * edge:
+            places = [*places[:edge], *places[-edge:]]
+        spans = np.array([t.span(k) for t, k in places], np.int32).reshape(-1, 2) - self.lo
+        return spans[:, 0], spans[:, 1], np.array([t.starts_word(k) for t, k in places], bool)
 
 
 class _Join:
@@ -381,9 +387,10 @@ def _of_texts(docs: DataFrame, keep: list[str], text_col: str, path: str, fields
         for batch in batches:
             for k in range(batch.num_rows):
                 said = batch.column(3)[k].as_py()
-                listed = ropes(model, [said], leaf)[0].listed()
-                types = [pa.list_(pa.int32())] * 3 + [pa.list_(pa.bool_())]
-                made_of = [pa.array([v], t) for v, t in zip(listed, types)]
+                rope = ropes(model, [said], leaf)[0]
+                starts, ends, words = rope.spans(EDGE)
+                columns = [rope.ids().astype(np.int32), starts.astype(np.int32), ends.astype(np.int32), words]
+                made_of = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in columns]
                 piece = pa.StructArray.from_arrays(
                     [batch.column(2).slice(k, 1), batch.column(3).slice(k, 1), *made_of], names=[f.name for f in _PIECE]
                 )
@@ -399,7 +406,8 @@ def _of_texts(docs: DataFrame, keep: list[str], text_col: str, path: str, fields
         for k in order.tolist():
             lo, part_text = pieces.field("lo")[k].as_py(), pieces.field("text")[k].as_py()
             arrays = [pieces.field(c)[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "starts", "ends", "words")]
-            tokens = Listed(arrays[0].astype(np.int64), *arrays[1:], lo)
+            again = lambda t=part_text: ropes(model, [t], leaf)[0].spans()
+            tokens = Listed(arrays[0].astype(np.int64), tuple(arrays[1:]), lo, again)
             forest.append(Rope(lo, lo + len(part_text), [(tokens, 0, tokens.n)]))
             said.append(part_text)
         rope = concatenated(model, ["".join(said)], [forest])[0]

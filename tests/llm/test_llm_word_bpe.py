@@ -83,7 +83,9 @@ def _frame(spark, rows):
     return frame.repartition(4)
 
 
-def test_digests_over_several_tasks(spark, library):
+@pytest.mark.parametrize("edge", [1, 4, 256])
+def test_digests_over_several_tasks(spark, library, monkeypatch, edge):
+    monkeypatch.setattr(word_bpe, "EDGE", edge)  # with few, parts are encoded again where they are joined
     texts = [None, "", *_texts(11, 60, 300), "x" * 5000, "日本" * 3000, *_texts(12, 3, 5000)]
     rows = [*enumerate(texts), (None, "null id"), (3, texts[3]), (3, texts[3])]
     got = word_bpe.digests(_frame(spark, rows), PATH, leaf=64, part=200).collect()
