@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookweir.llm import spans
 from bookweir.llm.work import begin, map_texts, once, quoted
@@ -38,6 +39,9 @@ NOTHING, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOINING, IN_BLANKS, ONE_MORE, TWO_MO
 _BLOCK = 256
 # Pre-tokens whose merges a worker remembers.
 CACHE = 200_000
+# Widths in which new pre-tokens are merged side by side; longer ones go one by one, by a heap.
+SIDE_BY_SIDE = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64)
+_NONE = 1 << 40
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -156,23 +160,107 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merger:
-    """Pair merging by rank, with the merges of pre-tokens remembered."""
+    """Pair merging by rank, with the merges of pre-tokens remembered.
+
+    New pre-tokens of a batch are merged side by side, one pair of each a round. What is
+    remembered is kept in two generations: when the younger is full it becomes the older,
+    and what is used again moves back.
+    """
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.cache: dict[bytes, list[int]] = {}
-
-    def ids(self, piece: bytes) -> list[int]:
-        found = self.cache.get(piece)
-        if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = [self.ranks[piece]] if piece in self.ranks else self._merge(piece)
-            if len(piece) <= 256:
-                self.cache[piece] = found
+        self.young: dict[bytes, list[int]] = {}
+        self.old: dict[bytes, list[int]] = {}
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # Every way to put a token together from two: left << 32 | right, and the token.
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+
+    def all_ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each of some distinct pre-tokens."""
+        found: list = [None] * len(pieces)
+        fresh: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            ids = self.young.get(piece)
+            if ids is None:
+                ids = self.old.get(piece)
+                if ids is None:
+                    if piece in self.ranks:
+                        ids = [self.ranks[piece]]
+                    elif len(piece) > SIDE_BY_SIDE[-1]:
+                        ids = self._merge(piece)
+                    else:
+                        fresh.setdefault(next(n for n in SIDE_BY_SIDE if len(piece) <= n), []).append(k)
+                        continue
+                self._remember(piece, ids)
+            found[k] = ids
+        for width, places in fresh.items():
+            for lo in range(0, len(places), 1 << 15):
+                some = places[lo : lo + (1 << 15)]
+                for k, ids in zip(some, self._merge_all([pieces[k] for k in some], width)):
+                    found[k] = ids
+                    self._remember(pieces[k], ids)
         return found
 
+    def _remember(self, piece: bytes, ids: list[int]) -> None:
+        if len(piece) <= 256:
+            if len(self.young) >= CACHE // 2:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two make, _NONE where they make none or one isn't there."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where((right >= 0) & (self.pairs[at] == keys), self.merged[at], _NONE)
+
+    def _merge_all(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        """Merge pieces of at most `width` bytes: in each the pair of lowest rank, the leftmost of equals, a round."""
+        if not len(self.pairs):
+            return [self._merge(piece) for piece in pieces]
+        parts = np.full((len(pieces), width + 1), -1, np.int64)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        inside = np.arange(width + 1) < sizes[:, None]
+        parts[inside] = self.bytes[data]
+        ranks = self._rank_of(parts[:, :-1], parts[:, 1:])
+        # A column behind the last pair, so that every row can be moved up by one.
+        ranks = np.concatenate((ranks, np.full((len(pieces), 1), _NONE)), axis=1)
+        places, out = np.arange(len(pieces)), [None] * len(pieces)
+        columns = np.arange(width + 1)
+        while len(places):
+            at = ranks.argmin(axis=1)
+            rows = np.arange(len(places))
+            lowest = ranks[rows, at]
+            done = lowest == _NONE
+            if done.any():
+                ended = parts[done]
+                for k, ids, n in zip(places[done].tolist(), ended.tolist(), (ended >= 0).sum(1).tolist()):
+                    out[k] = ids[:n]
+                going = ~done
+                parts, ranks, places, at, lowest = parts[going], ranks[going], places[going], at[going], lowest[going]
+                rows = np.arange(len(places))
+                if not len(places):
+                    break
+            parts[rows, at] = lowest
+            source = columns + (columns > at[:, None])
+            parts = np.take_along_axis(parts, np.minimum(source, width), axis=1)
+            parts[:, width] = -1
+            source = columns + (columns >= at[:, None])
+            ranks = np.take_along_axis(ranks, np.minimum(source, width), axis=1)
+            ranks[:, width] = _NONE
+            ranks[rows, at] = self._rank_of(parts[rows, at], parts[rows, np.minimum(at + 1, width)])
+            left = np.flatnonzero(at)
+            ranks[left, at[left] - 1] = self._rank_of(parts[left, at[left] - 1], parts[left, at[left]])
+        return out
+
     def _merge(self, piece: bytes) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left; a heap finds it in log time."""
         ranks, n = self.ranks, len(piece)
@@ -212,7 +300,7 @@ def _pieces(texts: pa.Array, merger: Merger) -> tuple[list[list[int]], np.ndarra
     buffer, at, first = pre_tokens([t or "" for t in texts.to_pylist()])
     data = np.frombuffer(buffer, np.uint8)
     which, number = spans.distinct(spans.span_hashes(data, at[:-1], at[1:]))
-    ids = [merger.ids(buffer[a:b]) for a, b in zip(at[which].tolist(), at[which + 1].tolist())]
+    ids = merger.all_ids([buffer[a:b] for a, b in zip(at[which].tolist(), at[which + 1].tolist())])
     return ids, number, at, first
 
 
@@ -266,18 +354,20 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
 
 
 def decoded(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """The rows with a column `bytes` in place of the ids; null ids give null."""
-    others = [name for name in docs.columns if name != ids_col]
-    schema = docs.select(*[quoted(n) for n in others], F.lit(b"").alias("bytes")).schema
+    """The rows with a column `bytes` in place of the ids, or of one of that name; null ids give null."""
+    others = [name for name in docs.columns if name not in (ids_col, "bytes")]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(quoted(n)) for n in others]).alias("row")
+    inputs = docs.select(row, F.col(quoted(ids_col)).alias("ids"))
+    schema = T.StructType([inputs.schema["row"], T.StructField("bytes", T.BinaryType())])
 
     def run(batches):
         begin("bpe")
         merger = _merger(path)
         for batch in batches:
-            texts = [None if ids is None else merger.decode(ids) for ids in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*others, "bytes"])
+            texts = [None if ids is None else merger.decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["row", "bytes"])
 
-    return docs.select(*[quoted(n) for n in others], quoted(ids_col)).mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).select(*[F.col("row")[n].alias(n) for n in others], "bytes")
 
 
 def encoding_digests(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
