@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookweir.session import use_checkpoint_dir
+from bookweir.session import plan_bytes, use_checkpoint_dir
 
 # Size of a chunk, as the optimizer estimates it.
 CHUNK_BYTES = 128 << 20
@@ -38,7 +38,7 @@ def ordered_chunks(rows: DataFrame, key: str, order: list[str], chunks: int | No
 
 def _chunks_by_size(rows: DataFrame) -> int:
     """Chunks of CHUNK_BYTES by the optimizer's estimate; 1 where it has none."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = plan_bytes(rows)
     return -(-size // CHUNK_BYTES) if size < 1 << 58 else 1
 
 

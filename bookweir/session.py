@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import bookweir
 
@@ -60,3 +60,14 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="bookweir-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, at most that of all the plan reads.
+
+    Without column statistics the estimate of a join is the product of its sides.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), read)
