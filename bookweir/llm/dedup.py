@@ -106,10 +106,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = keyed.repartitionByRange(parts, "k1", "k2", ident)
     ordered = dealt.sortWithinPartitions("k1", "k2", normal, ident).select("row", ident.alias("ident"))
     fields = T.StructType([docs.schema[name] for name in needed])
-    rows = F.struct(F.col("row.*"), F.col("ident").alias("_ident"))
+    own = next(name for name in ("_ident" + "_" * k for k in range(len(needed) + 1)) if name.lower() not in {n.lower() for n in needed})
+    rows = F.struct(*[F.col("row")[name].alias(name) for name in needed], F.col("ident").alias(own))
     schema = T.StructType(
         [
-            T.StructField("row", T.StructType([*fields, T.StructField("_ident", T.LongType())])),
+            T.StructField("row", T.StructType([*fields, T.StructField(own, T.LongType())])),
             T.StructField("sha", T.StringType()),
             T.StructField("size", T.LongType()),
             T.StructField("top", T.LongType()),

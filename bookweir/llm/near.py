@@ -486,8 +486,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows that repeat the id that stays, stay with it (exact duplicates go before this).
     """
     found = settle(near_duplicates(docs, id_col, text_col))
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept")).distinct()
     ident = F.col(quoted(id_col)).cast("long")
-    with_id = docs.join(kept, ident == F.col("_kept"), "left_semi")
+    rows = docs.select(F.struct(*[F.col(quoted(name)) for name in docs.columns]).alias("row"), ident.alias("ident"))
+    with_id = rows.join(kept, F.col("ident") == F.col("kept"), "left_semi").select(
+        *[F.col("row")[name].alias(name) for name in docs.columns]
+    )
     without = docs.filter(ident.isNull())
     return with_id.unionByName(without)

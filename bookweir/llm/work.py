@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookweir.session import prepare, use_checkpoint_dir
+from bookweir.session import plan_bytes, prepare, use_checkpoint_dir
 
 # White space that ends a word: the space and U+0009 to U+000D, as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,8 +76,11 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Size by the optimizer's statistics (of files: their size); by reading where these know nothing."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size by the optimizer's statistics (of files: their size); by reading where these know nothing.
+
+    For a join these multiply both sides, so no more than all that the plan reads counts.
+    """
+    size = plan_bytes(df)
     if size < 1 << 58:
         return size
     lengths = [F.coalesce(F.octet_length(quoted(f.name)), F.lit(0)) for f in df.schema if f.dataType == T.StringType()]

@@ -27,7 +27,7 @@ def _copies(seed: int, n: int = 300) -> list[tuple]:
 def _frame(spark, rows):
     """With columns whose names clash with those of the operators."""
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for name in ("row", "out", "kept", "size", "sha", "shard", "taken", "part", "run", "key"):
+    for name in ("row", "out", "kept", "size", "sha", "shard", "taken", "part", "run", "key", "_ident", "_kept"):
         frame = frame.withColumn(name, F.lit(f"own {name}"))
     return frame.repartition(5)
 
@@ -218,3 +218,13 @@ def test_empty_tables(spark):
     assert quality.verdicts(empty).collect() == []
     assert mixing.mix_shares(empty).collect() == []
     assert near.near_duplicates(empty).collect() == []
+
+
+def test_a_join_asks_for_no_more_parts_than_its_sides(spark):
+    from bookweir.llm.work import estimated_bytes, parts_for
+    from bookweir.sources.tables import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    joined = docs.join(docs.select("doc_id"), "doc_id")
+    assert estimated_bytes(joined) <= 2 * estimated_bytes(docs)
+    assert parts_for(joined) <= 2 * parts_for(docs)

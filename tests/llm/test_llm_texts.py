@@ -32,7 +32,7 @@ def _texts(seed: int, n: int, extra=()) -> list[str]:
 
 def _frame(spark, rows, schema="doc_id long, text string"):
     frame = spark.createDataFrame(rows, schema)
-    for name in ("row", "out", "ids", "key", "score", "email", "one", "found"):
+    for name in ("row", "out", "ids", "key", "score", "email", "one", "found", "bytes"):
         frame = frame.withColumn(name, F.lit(f"own {name}"))
     return frame
 
