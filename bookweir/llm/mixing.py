@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookweir.llm.work import WORD, quoted
+from bookweir.llm.work import WORD, quoted, settle
 
 #: Weights of the sources by code point (null last), repeating; the mix's
 #: share of all words; how often a document may be taken.
@@ -28,6 +28,8 @@ BLOCK_WORDS = 1 << 16
 MOST_BLOCKS = 1 << 20
 #: Block draws of an output shard.
 SHARD_BLOCKS = 64
+#: Block draws up to which the decisions on blocks are broadcast (some 20 MB).
+BROADCAST_DRAWS = 200_000
 SEED = 20
 
 
@@ -178,14 +180,16 @@ def mix(
     """
     spark = docs.sparkSession
     columns = docs.columns if keep is None else keep
-    inputs = docs.select(
-        F.struct(*[F.col(quoted(name)) for name in columns]).alias("row"),
+    named = [F.col(quoted(f.name)) for f in docs.schema if f.name in (source_col, text_col, "doc_id")]
+    measured = [
         F.col(quoted(source_col)).alias("source"),
         words(F.col(quoted(text_col))).alias("size"),
-        F.xxhash64(F.lit(SEED), *[F.col(quoted(f.name)) for f in docs.schema if f.name in (source_col, text_col, "doc_id")]).alias("h"),
-    )
-    sizes = inputs.select("source", "size")
-    sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+        F.xxhash64(F.lit(SEED), *named).alias("h"),
+    ]
+    inputs = docs.select(F.struct(*[F.col(quoted(name)) for name in columns]).alias("row"), *measured)
+    # Three numbers a document, which every step but the last works on.
+    narrow = settle(docs.select(*measured))
+    sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     # One row per source; the rest of the plan hangs on it three times.
     rows = sources.collect()
     sources = spark.createDataFrame(rows, sources.schema)
@@ -200,17 +204,12 @@ def mix(
         .select("row", "size", "h", "t.s", "source_size", "target", "n_blocks", F.pmod(F.xxhash64("h"), F.col("n_blocks")).alias("block"))
     )
     lean = (
-        docs.select(
-            F.col(quoted(source_col)).alias("source"),
-            words(F.col(quoted(text_col))).alias("size"),
-            F.xxhash64(F.lit(SEED), *[F.col(quoted(f.name)) for f in docs.schema if f.name in (source_col, text_col, "doc_id")]).alias("h"),
-        )
-        .alias("d")
+        narrow.alias("d")
         .join(sources.alias("t"), same)
         .select("t.s", "size", "h", "n_blocks", F.pmod(F.xxhash64("h"), F.col("n_blocks")).alias("block"))
     )
     blocks = lean.groupBy("s", "block", "n_blocks").agg(F.sum("size").alias("words"))
-    draws = _draws(blocks, sources)
+    draws = settle(_draws(blocks, sources))
     quotas = draws.groupBy("s").count()
     n_draws = {r["s"]: r["count"] for r in quotas.collect()}  # one row per source
     counts = [n_draws.get(s, 0) for s in range(len(rows))]
@@ -243,6 +242,10 @@ def mix(
 
     fitting = items.select("s", "block", F.aggregate("items", start, add, lambda a: a["chosen"]).alias("chosen"))
     decided = decided.join(fitting, ["s", "block"], "left").select("s", "block", "whole", "partly", "chosen")
+    if sum(counts) <= BROADCAST_DRAWS:
+        # Rows of at most one per draw, each below a hundred bytes, and a cut block's hashes once a
+        # source: texts stay where they are. Beyond that many the two sides meet by block.
+        decided = F.broadcast(settle(decided))
     one_more = F.coalesce(F.array_contains("chosen", F.col("h")), F.lit(False))
     times = F.concat(
         F.coalesce("whole", F.array().cast("array<struct<pass:bigint,shard:bigint>>")),
