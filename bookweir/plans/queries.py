@@ -837,12 +837,11 @@ def _stream_token_bucket_runs(spark, folder):
 
 @_query("stream_adaptive")
 def _stream_adaptive(spark, folder):
-    log = crawl_log(_stream_log(spark, folder))
-    adapted = jobs.drained_table(stream_limits.stream_adaptive(log, "domain", _seconds(), _success()), "adaptive")
-    return adapted.select(
-        F.col("id").alias("log_id"),
-        _r("adaptation_factor").alias("adaptation_factor"),
-        _r("current_rate").alias("current_rate"),
+    path = jobs.work_folder(spark, "adaptive")
+    log = crawl_log(_stream_log(spark, folder)).select("log_id", "ts", "domain", "response_time_ms", "http_status")
+    jobs.drain(stream_limits.adapt_in_runs(log, "domain", _seconds(), _success(), path), f"{path}/state_of_stream")
+    return spark.read.parquet(f"{path}/rows").select(
+        "log_id", _r("adaptation_factor").alias("adaptation_factor"), _r("current_rate").alias("current_rate")
     )
 
 

@@ -1,4 +1,4 @@
-"""The rate-limit audit and the adaptive rate as stateful streams."""
+"""The rate-limit audit and the adaptive rate on streams."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from bookweir.functions.times import epoch_micros
-from bookweir.operators.adaptive import AdaptiveConfig
+from bookweir.operators.adaptive import AdaptiveConfig, adaptive_rate, adaptive_state
 from bookweir.operators.limits import Bucket, Limit, bucket_levels, token_bucket
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,37 +69,6 @@ class _TokenBucket(StatefulProcessor):
         pass
 
 
-class _Adaptive(StatefulProcessor):
-    def __init__(self, config: AdaptiveConfig):
-        self._config = config
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("history", "seconds array<double>, errors array<double>, factor double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        config, stored = self._config, self._state.get()
-        seconds, errors, factor = (list(stored[0]), list(stored[1]), stored[2]) if stored else ([], [], 1.0)
-        batch = _in_order(rows)
-        out = []
-        for row_id, took, error in zip(batch["id"].tolist(), batch["seconds"].tolist(), batch["error"].tolist()):
-            seconds, errors = [*seconds, took][-config.history :], [*errors, error][-config.history :]
-            mean, error_rate = sum(seconds) / len(seconds), sum(errors) / len(errors)
-            rate = config.requests_per_second
-            if len(seconds) >= config.warm_up:
-                speed = min(1.0, config.max_response_time / max(mean, config.min_response_time))
-                new_factor = (speed + 1.0 - error_rate / config.max_error_rate) / 2
-                factor = config.keep * factor + (1 - config.keep) * new_factor
-                rate = max(config.min_requests_per_second, config.requests_per_second * factor)
-            out.append((key[0], row_id, mean, error_rate, factor, rate))
-        self._state.update((seconds, errors, factor))
-        yield pd.DataFrame(
-            out, columns=["key", "id", "avg_response_time", "avg_error_rate", "adaptation_factor", "current_rate"]
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def stream_token_bucket(rows: DataFrame, key: str, limit: Limit, ts: str = "ts", tie: str = "log_id") -> DataFrame:
     """The token-bucket audit on a stream.
 
@@ -141,27 +110,33 @@ def audit_in_runs(
     return rows.writeStream.foreachBatch(run)
 
 
-def stream_adaptive(
+def adapt_in_runs(
     rows: DataFrame,
     key: str,
     seconds: Column,
     success: Column,
+    folder: str,
     ts: str = "ts",
     tie: str = "log_id",
     config: AdaptiveConfig = AdaptiveConfig(),
-) -> DataFrame:
-    """The adaptive rate on a stream, on the same condition."""
-    use_state_store(rows.sparkSession)
-    narrow = rows.select(
-        F.col(key).alias("key"),
-        F.col(tie).alias("id"),
-        epoch_micros(F.col(ts)).alias("us"),
-        seconds.alias("seconds"),
-        F.when(F.coalesce(success, F.lit(False)), 0.0).otherwise(1.0).alias("error"),
-    )
-    return narrow.groupBy("key").transformWithStateInPandas(
-        _Adaptive(config),
-        "key string, id bigint, avg_response_time double, avg_error_rate double, adaptation_factor double, current_rate double",
-        "append",
-        "none",
-    )
+) -> DataStreamWriter:
+    """The adaptive rate on a stream, on the same condition as the audit.
+
+    Every trigger is one run of the batch job, which spreads a hot key over calendar cells
+    and blocks. Carried from run to run are a key's factor and its last responses, a
+    row a key. A run writes `rows/run=<n>` and `state/run=<n>` below `folder`; a repeated
+    run replaces itself, and a state goes once the next run but one has been written.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        saved = spark.read.parquet(f"{folder}/state/run={batch_id - 1}") if batch_id else None
+        adapted = adaptive_rate(batch, key, seconds, success, ts, tie, config, saved=saved)
+        adapted.write.mode("overwrite").parquet(f"{folder}/rows/run={batch_id}")
+        written = spark.read.parquet(f"{folder}/rows/run={batch_id}")
+        state = adaptive_state(written, key, seconds, success, ts, tie, config, saved)
+        state.write.mode("overwrite").parquet(f"{folder}/state/run={batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/run={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return rows.writeStream.foreachBatch(run)

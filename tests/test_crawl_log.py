@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from bookweir.operators import metrics, outcomes, queue, stats
@@ -195,3 +196,17 @@ def test_job_and_result_constraints(spark):
     ok, bad = validate_results(results)
     assert ok.count() == 1
     assert bad.collect()[0].reasons == ["source missing", "unknown status", "confidence_score out of range"]
+
+
+@pytest.mark.parametrize("k, spread", [(0, 1), (7, 1 << 50), (150, 1), (151, 1 << 50), (299, 1), (300, 1)])
+def test_a_queue_is_cut_without_sorting_it(spark, k, spread):
+    """Nulls, negative and very distant ranks, ties in rank and equal tasks."""
+    rng = random.Random(k)
+    some = [(rng.choice([None, -3, 1, 1, 2, 10]), rng.choice([None, 0, 5, rng.randrange(-40, 40) * spread]), rng.choice("ab")) for _ in range(300)]
+    tasks = spark.createDataFrame(some, "priority int, arrival_seq long, name string").withColumn("_task", F.lit("own"))
+    head, rest = queue.take(tasks.repartition(3), k)
+    assert "rangepartitioning" not in head._jdf.queryExecution().executedPlan().toString()
+    rank = lambda r: tuple((x is not None, x or 0) for x in r[:2])
+    got, left = [tuple(r)[:3] for r in head.collect()], [tuple(r)[:3] for r in rest.collect()]
+    assert sorted(got + left, key=str) == sorted(some, key=str)
+    assert sorted(map(rank, got)) == sorted(map(rank, some))[:k]

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,12 +150,12 @@ def test_warm_up_and_first_step(spark):
     assert got[9][2:] == pytest.approx((0.925, 9.25))
 
 
-@pytest.mark.parametrize("chunks, block_rows", [(None, 65_536), (7, 1024), (20, 512)])
+@pytest.mark.parametrize("cell, block_rows", [("1 hour", 65_536), ("7 days", 1024), ("10 minutes", 512)])
 @pytest.mark.parametrize("key", ["domain", "source", "one"])
-def test_adaptive_rate_over_blocks(spark, chunks, block_rows, key):
+def test_adaptive_rate_over_blocks(spark, cell, block_rows, key):
     log = crawl_log(table(spark, "/root/testdata/sf0.01", "events")).withColumn("one", F.lit("x"))
     log = log.select("log_id", "ts", key, "response_time_ms", "http_status")
-    got = adaptive.adaptive_rate(log, key, *_columns(), chunks=chunks, block_rows=block_rows)
+    got = adaptive.adaptive_rate(log, key, *_columns(), cell=cell, block_rows=block_rows)
     _close(_figures(got), _adaptive_loop(log.collect(), key))
 
 
@@ -172,9 +173,41 @@ def test_streams_equal_the_batch(spark, folder, tmp_path):
     limit = Limit(0.2 / 3600, 4)
     audited = jobs.drained_table(stream_limits.stream_token_bucket(stream, "source", limit), "bucket")
     assert _by_id(audited.withColumnRenamed("id", "log_id")) == _by_id(limits.token_bucket(log, "source", limit=limit))
-    adapted = jobs.drained_table(stream_limits.stream_adaptive(stream, "source", *_columns()), "adaptive")
-    batch = adaptive.adaptive_rate(log, "source", *_columns())
-    _close(_figures(adapted.withColumnRenamed("id", "log_id")), _figures(batch))
+
+
+@pytest.mark.parametrize("key, keep, history", [("domain", 0.7, 100), ("source", 0.99, 20), ("one", 0.7, 400)])
+def test_adaptive_runs_equal_one_run(spark, folder, tmp_path, key, keep, history):
+    """Also where one key has all rows, and where keys are idle in some runs."""
+    stream = crawl_log(_several_files(spark, folder, str(tmp_path / "events"))).withColumn("one", F.lit("x"))
+    log = crawl_log(table(spark, folder, "events")).withColumn("one", F.lit("x"))
+    config, out = adaptive.AdaptiveConfig(keep=keep, history=history), str(tmp_path / "adapted")
+    jobs.drain(stream_limits.adapt_in_runs(stream, key, *_columns(), out, config=config), f"{out}/stream")
+    batch = adaptive.adaptive_rate(log, key, *_columns(), config=config)
+    _close(_figures(spark.read.parquet(f"{out}/rows")), _figures(batch))
+
+
+def test_adaptive_jobs_start_nothing_while_they_are_built(spark, folder):
+    log = crawl_log(table(spark, folder, "events"))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("building", "")
+    built = [adaptive.adaptive_rate(log, "domain", *_columns(), config=adaptive.AdaptiveConfig(history=h)) for h in (100, 10_000)]
+    rolling = adaptive.rolling_response(log, "domain", *_columns())
+    assert not tracker.getJobIdsForGroup("building")
+    context._jsc.clearJobGroup()
+    plans = [re.sub(r"#\d+L?|\d+", "", df._jdf.queryExecution().optimizedPlan().toString()) for df in built]
+    assert plans[0] == plans[1]  # the history's length changes numbers only
+    assert "rangepartitioning" not in rolling._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_instant_and_without_a_key(spark):
+    rows = [(k, dt.datetime(2024, 1, 1) if k % 3 else None, None if k % 2 else "a", 100.0 * k, 200) for k in range(300)]
+    log = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, k string, response_time_ms double, http_status int")
+    got = {r.log_id: r.avg_response_time for r in adaptive.rolling_response(log, "k", *_columns()).collect()}
+    for key in (None, "a"):
+        own = sorted((r for r in rows if r[2] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+        for i, r in enumerate(own):
+            recent = [x[3] / 1000 for x in own[max(0, i - 99) : i + 1]]
+            assert abs(got[r[0]] - sum(recent) / len(recent)) < 1e-9
 
 
 def test_runs_with_saved_levels_equal_one_run(spark, folder, tmp_path):
@@ -219,7 +252,7 @@ def test_adaptive_rate_off_the_defaults(spark, keep, history, block_rows):
     rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), rng.choice([0.2, 4.0, 9.0]) * 1000, rng.choice([200, 200, 503])) for k in range(3000)]
     log = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, response_time_ms double, http_status int").withColumn("k", F.lit("x"))
     config = adaptive.AdaptiveConfig(keep=keep, history=history)
-    got = adaptive.adaptive_rate(log, "k", F.col("response_time_ms") / 1000, F.col("http_status") == 200, config=config, chunks=3, block_rows=block_rows)
+    got = adaptive.adaptive_rate(log, "k", F.col("response_time_ms") / 1000, F.col("http_status") == 200, config=config, cell="3 minutes", block_rows=block_rows)
     seconds, errors, factor = [], [], 1.0
     for r in got.orderBy("log_id").collect():
         seconds, errors = [*seconds, r.response_time_ms / 1000][-history:], [*errors, float(r.http_status != 200)][-history:]
