@@ -47,22 +47,9 @@ def limit_lookup(
     below the session's threshold and shuffles it beyond.
     """
     if match == "suffix":
-        labels = F.split("_name", r"\.")
-        suffixes = F.transform(
-            F.sequence(F.lit(1), F.size(labels)),
-            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-        )
-        names = rows.select(F.col(key).alias("_name")).distinct()
-        known = (
-            names.select("_name", F.explode(suffixes).alias("limit_key"))
-            .join(limits, "limit_key")
-            .groupBy("_name")
-            .agg(F.max_by(F.struct("requests_per_second", "burst_size"), F.length("limit_key")).alias("l"))
-            .select(F.col("_name").alias("limit_key"), "l.requests_per_second", "l.burst_size")
-        )
+        joined = _by_suffix(rows, key, limits)
     else:
-        known = limits
-    joined = rows.join(known, F.col(key) == F.col("limit_key"), "left").drop("limit_key")
+        joined = rows.join(limits, F.col(key) == F.col("limit_key"), "left").drop("limit_key")
     return joined.withColumns(
         {
             "requests_per_second": F.coalesce("requests_per_second", F.lit(float(default.requests_per_second))),
@@ -71,6 +58,41 @@ def limit_lookup(
     )
 
 
+# Limits that go to every task; beyond, hosts and limits meet by suffix, dealt over SALTS places.
+SMALL_LIMITS = 10_000
+SALTS = 64
+
+
+def _by_suffix(rows: DataFrame, key: str, limits: DataFrame) -> DataFrame:
+    """Rows with the limit of the longest known suffix of their host, level by level of a trie of labels.
+
+    Limits are parted by how many labels they have; a host looks up its last 1, 2, ... labels
+    in each part, and the deepest that knows it counts. The log is read once and not
+    grouped. A table of many limits isn't broadcast: each of its rows is then there
+    once per salt, and a host with a third of all rows is dealt over all of them.
+    """
+    sized = limits.withColumn("_labels", F.size(F.split("limit_key", r"\.")))
+    # How many limits there are at every depth: a row a depth.
+    depths = {r["_labels"]: r["count"] for r in sized.groupBy("_labels").count().collect() if r["_labels"] > 0}
+    labels = F.split(F.col(key), r"\.")
+    out = rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    for depth in sorted(depths):
+        known = sized.filter(F.col("_labels") == depth).select(
+            F.col("limit_key").alias("_suffix"), F.struct("requests_per_second", "burst_size").alias(f"_limit_{depth}")
+        )
+        out = out.withColumn("_suffix", F.when(F.size(labels) >= depth, F.array_join(F.slice(labels, -depth, depth), ".")))
+        if depths[depth] <= SMALL_LIMITS:
+            out = out.join(F.broadcast(known), "_suffix", "left")
+        else:
+            salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            out = out.join(salted, ["_suffix", "_salt"], "left")
+    none = F.lit(None).cast("struct<requests_per_second:double,burst_size:int>")
+    found = F.coalesce(*[F.col(f"_limit_{depth}") for depth in sorted(depths, reverse=True)], none)
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], found.alias("_found")).select(
+        *[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], "_found.requests_per_second", "_found.burst_size"
+    )
+
+
 class Bucket:
     """Token bucket in whole units, so every order of evaluation gives the same answer.
 

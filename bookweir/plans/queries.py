@@ -254,10 +254,8 @@ def _limit_lookup_suffix(spark, folder):
 
 @_query("results_with_books")
 def _results_with_books(spark, folder):
-    results = _page_results(spark, folder)
-    found = books.books(results.select("page_id", "url", "source", "html")).select("page_id", "metadata")
-    joined = outcomes.results_with_books(results.select("page_id", "status"), found)
-    return joined.select("page_id", "status", F.col("book.metadata.title").alias("title"))
+    found = books.extract_books(_page_results(spark, folder))
+    return found.select("page_id", "status", F.col("metadata.title").alias("title"))
 
 
 @_query("descendant_select")

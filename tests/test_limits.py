@@ -58,6 +58,21 @@ def test_ten_equal_requests(spark):
         assert (stats.total_requests, stats.blocked_requests, stats.success_rate) == (admitted, 10 - admitted, admitted / 10)
 
 
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_suffixes_over_a_hot_host(spark, monkeypatch, small):
+    """With limits broadcast and dealt by salt; the log is read once, and hosts of one name or none are fine."""
+    monkeypatch.setattr(limits, "SMALL_LIMITS", small)
+    hosts = ["www.a.com"] * 200 + ["a.com", "x.b.a.com", "com", "", None, "a.org", "b.a.com.", "aa.com"]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "log_id long, d string")
+    known = limits.limits_frame(spark, {"com": Limit(1), "a.com": Limit(2, 2), "b.a.com": Limit(3, 3)})
+    found = limits.limit_lookup(rows, "d", known, match="suffix")
+    got = [(r.d, r.requests_per_second, r.burst_size) for r in found.orderBy("log_id").collect()]
+    want = {"www.a.com": (2, 2), "a.com": (2, 2), "x.b.a.com": (3, 3), "com": (1, 1), "aa.com": (1, 1)}
+    assert got == [(h, *map(float, want.get(h, (10, 1))[:1]), want.get(h, (10, 1))[1]) for h in hosts]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 4 and (not small or "Exchange hashpartitioning" not in plan)
+
+
 def test_longest_suffix_wins(spark):
     rows = spark.createDataFrame([("a.b.example.com",), ("example.com",), ("xexample.com",), ("",)], "d string")
     known = limits.limits_frame(spark, {"example.com": Limit(1), "b.example.com": Limit(2, 7)})
