@@ -43,6 +43,9 @@ _NODE_ARROW = pa.struct(
         pa.field("pre", pa.int32()),
         pa.field("post", pa.int32()),
         pa.field("parent", pa.int32()),
+        pa.field("prev", pa.int32()),
+        pa.field("nth", pa.int32()),
+        pa.field("last", pa.bool_()),
         pa.field("up", pa.list_(pa.int32())),
         pa.field("tag", pa.string()),
         pa.field("attrs", pa.map_(pa.string(), pa.string())),
@@ -63,6 +66,8 @@ class _Elements(HTMLParser):
         self._open_tags: defaultdict[str, int] = defaultdict(int)
         self._kept: list[int] = []
         self._next_pre = self._next_post = 0
+        # Of the page and every open element: how many child elements so far, the last one's number and row.
+        self._children: list[list] = [[0, None, None]]
         self.rows: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
@@ -75,7 +80,11 @@ class _Elements(HTMLParser):
         keep = self._wanted(tag, named)
         parent = self._open[-1][1] if self._open else None
         up = self._kept.copy() if keep else None
-        self._open.append((tag, pre, parent, up, named, len(self._texts)))
+        family = self._children[-1]
+        place = (family[0] + 1, family[1])
+        family[:] = [place[0], pre, None]
+        self._children.append([0, None, None])
+        self._open.append((tag, pre, parent, up, named, len(self._texts), place))
         self._open_tags[tag] += 1
         if keep:
             self._kept.append(pre)
@@ -104,6 +113,7 @@ class _Elements(HTMLParser):
         self.close()
         while self._open:
             self._close_last()
+        self._mark_last()
         self.rows.sort(key=lambda row: row["pre"])
         return self.rows
 
@@ -118,8 +128,14 @@ class _Elements(HTMLParser):
             if self._open[depth][0] in scope:
                 return
 
+    def _mark_last(self) -> None:
+        row = self._children.pop()[2]
+        if row is not None:
+            row["last"] = True
+
     def _close_last(self) -> str:
-        tag, pre, parent, up, attrs, first_text = self._open.pop()
+        tag, pre, parent, up, attrs, first_text, (nth, prev) = self._open.pop()
+        self._mark_last()
         self._open_tags[tag] -= 1
         post, self._next_post = self._next_post, self._next_post + 1
         if up is not None:
@@ -129,12 +145,16 @@ class _Elements(HTMLParser):
                     "pre": pre,
                     "post": post,
                     "parent": parent,
+                    "prev": prev,
+                    "nth": nth,
+                    "last": False,
                     "up": up,
                     "tag": tag,
                     "attrs": list(attrs.items()),
                     "text": "".join(self._texts[first_text:]).strip(),
                 }
             )
+            self._children[-1][2] = self.rows[-1]
         return tag
 
 

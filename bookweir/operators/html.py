@@ -37,6 +37,8 @@ def select(nodes: DataFrame, css: str) -> DataFrame:
     element encloses this one exactly when its `post` is the larger. So a
     descendant selector needs one sort per page, not a range join.
     """
+    if not selectors.plain(css):
+        raise ValueError("siblings and parents are looked up in the page's row: use select_pages")
     chains = selectors.parse(css)
     before = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     out = nodes.filter(selectors.predicate([simple for chain in chains for simple in chain]))

@@ -324,6 +324,12 @@ _ORACLES: dict[str, str] = {
     unnest(regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1)) AS t FROM bare) UNION ALL
   SELECT page_id, 'h1', {_element_text('t')} FROM (SELECT page_id,
     unnest(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<h1>(.*?)</h1>', 1)) AS t FROM bare)""",
+    "css_combinators": f"""WITH {LINKS}, ends AS (SELECT page_id, max(pos) AS last FROM links GROUP BY page_id)
+  SELECT page_id, 'a' AS tag, text FROM links JOIN ends USING (page_id) WHERE pos % 2 = 0 OR (pos = last AND pos > 0) UNION ALL
+  SELECT page_id, 'div', {_element_text("regexp_extract(html, '(?s)</nav>[ ]*<div class=\"ad\">(.*?)</div>', 1)")}
+  FROM bare WHERE regexp_matches(html, '(?s)</nav>[ ]*<div class="ad">') UNION ALL
+  SELECT page_id, 'h1', {_element_text("regexp_extract(html, '(?s)</nav>.*<article><h1>(.*?)</h1>', 1)")}
+  FROM bare WHERE regexp_matches(html, '(?s)</nav>.*<article><h1>')""",
     "first_per_page": f"WITH {LINKS} SELECT page_id, {_unescaped('href')} AS href, text FROM links WHERE pos = 0",
     "resolve_urls": f"""WITH {LINKS}, {BOOK_PAGES}, {LOG}
   SELECT 'link' AS kind, page_id AS id, url FROM links UNION ALL

@@ -479,6 +479,13 @@ def _dom_intervals(spark, folder):
 
 
 CSS = 'div.ad, article h1, nav a[href*="th"]'
+COMBINED_CSS = "nav > ul > li:nth-child(2n+1) > a, li:last-child:not(:first-child) > a, nav + div.ad, nav ~ article > h1:first-child"
+
+
+@_query("css_combinators")
+def _css_combinators(spark, folder):
+    """Elements by parent, neighbours and place among siblings."""
+    return html.select_pages(_pages(spark, folder), COMBINED_CSS).select("page_id", "tag", "text")
 
 
 @_query("css_select")

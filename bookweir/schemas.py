@@ -101,6 +101,9 @@ NODE = T.StructType(
         T.StructField("pre", T.IntegerType(), False),
         T.StructField("post", T.IntegerType(), False),
         T.StructField("parent", T.IntegerType()),
+        T.StructField("prev", T.IntegerType()),
+        T.StructField("nth", T.IntegerType(), False),
+        T.StructField("last", T.BooleanType(), False),
         T.StructField("up", T.ArrayType(T.IntegerType(), False), False),
         T.StructField("tag", T.StringType(), False),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType(), False), False),

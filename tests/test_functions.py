@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookweir.functions import selectors
-from bookweir.functions.selectors import Simple, AttrTest
+from bookweir.functions.selectors import AttrTest, Place, Simple
 from bookweir.functions.text import clean_text
 from bookweir.functions.urls import domain_key, is_http_url, resolve_url
 
@@ -76,7 +76,18 @@ def test_selectors_are_read():
     ]
 
 
-@pytest.mark.parametrize("css", ["a > b", "a:first-child", "", "a,,b"])
+@pytest.mark.parametrize("css", ["a >", "> a", "a > > b", "a >, b", "a:hover", "a:nth-child(x)", "a:not(b c)", "a::before", "", "a,,b"])
 def test_unsupported_selectors_are_refused(css):
     with pytest.raises(ValueError):
         selectors.parse(css)
+
+
+def test_combinators_and_places_are_read():
+    assert selectors.parse("a>b + c~d e") == [
+        [Simple("a"), Simple("b", link=">"), Simple("c", link="+"), Simple("d", link="~"), Simple("e")]
+    ]
+    places = {"first-child": Place(0, 1), "nth-child(odd)": Place(2, 1), "nth-child( -n + 3 )": Place(-1, 3), "nth-child(4)": Place(0, 4)}
+    for text, place in places.items():
+        assert selectors.parse(f"li:{text}") == [[Simple("li", places=(place,))]]
+    (chain,) = selectors.parse('a[href~="x > y"]:not(.b, [c=")"])')
+    assert [s.tests for s in chain[0].but] == [(AttrTest("class", "token", "b"),), (AttrTest("c", "eq", ")"),)]

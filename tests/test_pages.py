@@ -289,7 +289,7 @@ def test_selectors_in_the_row_agree_with_those_over_elements(spark):
 
 
 def test_selectors_outside_the_subset_are_refused():
-    for css in ("ul > li", "", "a,", "a[", "a:hover"):
+    for css in ("ul > > li", "", "a,", "a[", "a:hover"):
         with pytest.raises(ValueError):
             html.selectors.parse(css)
 
@@ -304,3 +304,32 @@ def test_books_of_one_isbn_meet_and_others_do_not(spark):
     assert {(r.key_kind, r.book_key): r.copies for r in merged} == {
         ("isbn", "9780306406157"): 2, ("page", "9780306406157"): 1, ("isbn", "9780804429573"): 1,
     }
+
+
+@pytest.mark.parametrize(
+    "css, names",
+    [
+        ("ul > li", "b c d e"),
+        ("#a > ul > li > b", "x"),
+        ("li + li", "c d e"),
+        ("#b + li", "c"),
+        ("#b ~ li", "c d e"),
+        ("li:first-child", "b"),
+        ("li:last-child, p:only-child", "e q"),
+        ("li:nth-child(even)", "c e"),
+        ("li:nth-child(-n+2)", "b c"),
+        ("li:nth-child(2n+3)", "d"),
+        ("li:not(.s)", "c e"),
+        ("li.s:not(:first-child)", "d"),
+        ("ul ~ div p", "q"),
+        ("ul > b", ""),
+        ("html > body > div", "a"),
+        (":not(li):not(html):not(body):not(ul)", "a x f q"),
+    ],
+)
+def test_combinators_and_places(spark, css, names):
+    text = """<html id=h><body id=o>text<div id=a><ul id=u><li id=b class=s><b id=x>1</b></li>between<li id=c>2
+    <li id=d class="s t">3<li id=e>4</ul><div id=f><p id=q>5</p></div></div></body></html>"""
+    found = html.select_pages(_pages(spark, text), css)
+    got = [r.attrs["id"] for r in found.collect()]
+    assert " ".join(got) == names
