@@ -1,16 +1,23 @@
 """Token counts of documents of any length, by overlapping chunks spliced where both agree.
 
-A text is encoded in chunks that overlap. Inside a chunk, white-space characters of ASCII are
-boundaries that no token crosses: the tokenizer drops them, none of its pre-tokens or special
-strings has one inside, and no normal form composes across one. So a place after such a
-character that both chunks see as a boundary is stable: what the left chunk has up to there and
-what the right one has from there on are the tokens of the whole. Near its edges a chunk may
-have cut a word and be wrong; only boundaries inside the overlap count, and where an overlap
-has none (a word longer than it), it is widened until it has, or the chunk reaches the end.
+A text of more than a chunk is encoded by the tokenizer in chunks that overlap, with the place of
+each token. Near its edges a chunk may have cut a word, a normal form or a special string, so
+its tokens there may be wrong. Inside an overlap the two chunks are compared token by token. A
+place is a stable boundary if both have the same token there, both start a pre-token with it,
+no normal form joins its first character to what is before, and it is farther from the left chunk's end
+than any special string is long. Pre-tokens are matches found one after the other, and a match depends
+on nothing before its start: from such a place on the right chunk's tokens are those of the
+whole text, up to it the left chunk's are. Where an overlap has no such place, it is widened
+until it has, up to the whole of both chunks, which then become one.
+
+Shorter texts have nothing to splice. They are encoded whole; for tokenizer files whose words between
+white space are independent, which is checked by the file's own steps, word by word with the
+counts of words remembered.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import partial
 
@@ -20,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookweir.llm import spans
+from bookweir.llm.word_bpe import Lazy, Model, firm, unsafe_characters
 from bookweir.llm.work import map_texts, once, utf8
 
-#: Bytes of a chunk and of the first try at an overlap.
-CHUNK = 1 << 16
+#: Characters of a chunk and of the first try at an overlap.
+CHUNK = 8192
 OVERLAP = 256
 # Words whose counts a worker remembers.
 CACHE = 300_000
@@ -31,18 +39,36 @@ CACHE = 300_000
 _TAIL = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?#$%&*]+)", re.DOTALL)
 
 
+# The steps of a file under which words between ASCII white space are independent, only
+# ASCII letters of an ASCII word change, and marks at its end are a pre-token of their own.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BY_WORD = [
+    {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+
+
 class Counter:
     """Tokens of words without white space, as the tokenizer gives them, remembered."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = Model(path)
+        self.tokenizer = self.model.tokenizer
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_word = [steps["normalizer"], steps["pre_tokenizer"]] == _BY_WORD and steps["model"]["type"] == "BPE"
         self.cache: dict[bytes, int] = {}
 
     def counts(self, words: list[bytes]) -> np.ndarray:
@@ -82,50 +108,57 @@ def encode_chunks(data: np.ndarray, offsets: np.ndarray, counter: Counter) -> tu
     return starts, ends, chunk, counts[number] if len(number) else np.zeros(0, np.int64)
 
 
-def _character(data: np.ndarray, at: int) -> int:
-    """The next place, from `at` on, where a character starts."""
-    while at < len(data) and data[at] & 0xC0 == 0x80:
-        at += 1
-    return min(at, len(data))
+def _common(text: str, left: Lazy, right: Lazy, back: int, limit: int, unsafe: frozenset) -> tuple[int, int] | None:
+    """Numbers of the token at a stable boundary in the left and the right chunk, the last one before `limit`."""
+    at = {}
+    for k in range(left.n - 1, -1, -1):
+        start = left.span(k)[0]
+        if start <= back:
+            break
+        if start < limit:
+            at[start] = k
+    found = None
+    for j in range(1, right.n):
+        start, end = right.span(j)
+        if start >= limit:
+            break
+        k = at.get(start)
+        if k is None or left.span(k) != (start, end) or left.id(k) != right.id(j):
+            continue
+        if firm(text, left, k, unsafe) and firm(text, right, j, unsafe) and left.starts_word(k) and right.starts_word(j):
+            found = k, j
+    return found
 
 
-def count_long(data: np.ndarray, counter: Counter, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def count_long(text: str, model: Model, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of one text by overlapping chunks, spliced at stable common boundaries."""
+    unsafe = once("word bpe unsafe", unsafe_characters)
 
-    def encode(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        part = data[lo:hi]
-        starts, ends, _, counts = encode_chunks(part, np.array([0, len(part)]), counter)
-        return ends + lo, np.cumsum(counts), starts + lo
+    def encode(lo: int, hi: int) -> Lazy:
+        return Lazy(model.encodings([text[lo:hi]])[0], lo)
 
-    lo, hi = 0, _character(data, chunk)
-    ends, sums, starts = encode(lo, hi)
-    total, done = 0, 0  # tokens of what is spliced; where the chunk in hand begins to count
-    while hi < len(data):
+    lo, hi = 0, min(chunk, len(text))
+    left, total, first, done = encode(lo, hi), 0, 0, 0
+    while hi < len(text):
         width = overlap
         while True:
-            back = _character(data, max(lo, hi - width))
-            next_hi = _character(data, max(back + chunk, hi + width))
-            r_ends, r_sums, r_starts = encode(back, next_hi)
-            # Boundaries that both see: word starts after the overlap's first character and the
-            # left chunk's last cut, each behind white space.
-            common = np.intersect1d(starts[(starts > back) & (starts > done)], r_starts[r_starts > back])
-            if len(common):
-                break
-            if back <= lo:  # the whole left chunk is one word: nothing of it is settled yet
-                hi = next_hi
+            back = max(lo, hi - width)
+            next_hi = min(len(text), max(back + chunk, hi + width))
+            right = encode(back, next_hi)
+            found = _common(text, left, right, max(back, done), hi - model.margin, unsafe)
+            if found or back == lo:
                 break
             width *= 2
-        if not len(common):
-            ends, sums, starts = encode(lo, hi)
+        if found:  # what is before the boundary is settled
+            total += found[0] - first
+            left, first, lo, hi = right, found[1], back, next_hi
+            done = left.span(first)[0]
             continue
-        cut = int(common[-1])
-        upto = int(np.searchsorted(starts, cut))  # words of the left chunk before the cut
-        before = int(np.searchsorted(starts, done))
-        total += int(sums[upto - 1] if upto else 0) - int(sums[before - 1] if before else 0)
-        lo, hi, done = back, next_hi, cut
-        ends, sums, starts = r_ends, r_sums, r_starts
-    before = int(np.searchsorted(starts, done))
-    return total + (int(sums[-1]) if len(sums) else 0) - (int(sums[before - 1]) if before else 0)
+        # The overlap is the whole left chunk and has no stable place: both chunks become one.
+        hi = min(len(text), max(next_hi, 2 * hi - lo))
+        left = encode(lo, hi)
+        first = next((k for k in range(left.n) if done and left.span(k)[0] >= done), 0)
+    return total + left.n - first
 
 
 def token_counts(
@@ -144,19 +177,23 @@ def token_counts(
 
     def work(texts: pa.Array) -> list:
         counter = _counter(path)
-        data, offsets = utf8(texts)
-        n_bytes = np.diff(offsets)
+        said = [t or "" for t in texts.to_pylist()]
+        lengths = np.fromiter(map(len, said), np.int64, len(said))
         n_tokens = np.zeros(len(texts), np.int64)
-        short = n_bytes <= chunk
-        lengths = np.where(short, n_bytes, 0)
-        picked = data if short.all() else data[np.repeat(short, n_bytes)]
-        _, _, of, counts = encode_chunks(picked, np.concatenate(([0], np.cumsum(lengths))), counter)
-        n_tokens += np.bincount(of, counts, minlength=len(texts)).astype(np.int64)
-        for k in np.flatnonzero(~short):
-            n_tokens[k] = count_long(data[offsets[k] : offsets[k + 1]], counter, chunk, overlap)
+        for k in np.flatnonzero(lengths > chunk).tolist():
+            n_tokens[k] = count_long(said[k], counter.model, chunk, overlap)
+        short = np.flatnonzero(lengths <= chunk)
+        data, offsets = utf8(pa.array([said[k] for k in short.tolist()], pa.string()))
+        if counter.by_word:
+            _, _, of, counts = encode_chunks(data, offsets, counter)
+            n_tokens[short] = np.bincount(of, counts, minlength=len(short)).astype(np.int64)
+        else:
+            encoded = counter.tokenizer.encode_batch_fast([said[k] for k in short.tolist()], add_special_tokens=False)
+            n_tokens[short] = list(map(len, encoded))
+        n_bytes = np.fromiter((len(t.encode()) for t in said), np.int64, len(said))
         return [pa.array(n_bytes), pa.array(n_tokens)]
 
-    return map_texts(docs, text_col, "n_bytes long, n_tokens long", work, keep, limit=1 << 20, kept="counter")
+    return map_texts(docs, text_col, "n_bytes long, n_tokens long", work, keep, limit=1 << 20, kept=("counter", "word bpe unsafe"))
 
 
 def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

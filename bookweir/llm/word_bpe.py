@@ -87,7 +87,7 @@ def _model(path: str) -> Model:
     return once(f"word bpe {path}", partial(Model, path))
 
 
-def _unsafe() -> frozenset:
+def unsafe_characters() -> frozenset:
     """Characters that a normal form may join to, or move before, what is in front of them."""
     found = set()
     for code in range(0x110000):
@@ -196,6 +196,20 @@ class Rope:
         return spans[:, 0], spans[:, 1], np.array([t.starts_word(k) for t, k in places], bool)
 
 
+def firm(text: str, tokens, k: int, unsafe: frozenset, inside: bool = False) -> bool:
+    """Whether token k is at a place where agreement is proof: it starts a pre-token, or is `inside` a run of one kind."""
+    start, end = tokens.span(k)
+    if start == end or text[start] in unsafe:
+        return False
+    if not k:
+        return True
+    if tokens.span(k - 1)[1] > start:  # both are bytes of one character
+        return False
+    if tokens.starts_word(k):
+        return True
+    return inside and "'" not in text[max(0, start - 2) : start + 1] and text[start - 1] not in unsafe
+
+
 class _Join:
     """Two neighbours of a text on their way to be one."""
 
@@ -204,18 +218,9 @@ class _Join:
         self.reach, self.cut = WINDOW, left.hi
 
     def _firm(self, tokens, k: int, first: int, starts_text: bool) -> bool:
-        """Whether token k is at a place where agreement is proof."""
-        start, end = tokens.span(k)
-        if start == end or self.text[start] in self.unsafe:
-            return False
-        if k == first:
-            return starts_text and not k
-        if tokens.span(k - 1)[1] > start:  # both are bytes of one character
+        if k == first and not (starts_text and not k):
             return False
-        if tokens.starts_word(k):
-            return True
-        near = self.text[max(0, start - 2) : start + 1]
-        return "'" not in near and self.text[start - 1] not in self.unsafe
+        return firm(self.text, tokens, k, self.unsafe, inside=True)
 
     def window(self) -> str:
         """The text to encode: from a firm token of the left side to as far beyond the cut."""
@@ -270,7 +275,7 @@ class _Join:
 
 def concatenated(model: Model, texts: list[str], forests: list[list[Rope]]) -> list[Rope]:
     """Join the neighbouring ropes of every text, pair by pair, level by level."""
-    unsafe = once("word bpe unsafe", _unsafe)
+    unsafe = once("word bpe unsafe", unsafe_characters)
     forests = [list(f) for f in forests]
     while any(len(f) > 1 for f in forests):
         open_joins, places = [], []

@@ -39,10 +39,10 @@ def once(key: str, make: Callable):
     return kept[key]
 
 
-def begin(keys: str = "-") -> None:
+def begin(keys: str | tuple = "-") -> None:
     """Start a task's work: let go of what other operators keep in this worker process, and of freed memory.
 
-    Only entries whose key starts with `keys` stay.
+    Only entries whose key starts with `keys`, or one of them, stay.
     """
     kept = vars(sys).setdefault("_bookweir_kept", {})
     for key in [key for key in kept if not key.startswith(keys)]:
@@ -121,7 +121,7 @@ def map_texts(
     work: Callable[[pa.Array], list],
     keep: list[str] | None = None,
     limit: int = CHUNK_BYTES,
-    kept: str = "-",
+    kept: str | tuple = "-",
 ) -> DataFrame:
     """Columns `row` (a struct of the kept columns, all by default) and `out` (what `work` makes of the texts).
 

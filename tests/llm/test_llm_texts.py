@@ -96,8 +96,29 @@ def test_token_counts(spark, counter):
 def test_spliced_chunks_give_the_count_of_the_whole(counter, chunk, overlap):
     texts = _texts(4, 150, SPECIAL) + ["a" * 500, "a " * 300, "ab " * 5 + "c" * 400 + " d" * 40]
     for text, one in zip(texts, counter.tokenizer.encode_batch(texts, add_special_tokens=False)):
-        data = np.frombuffer(text.encode(), np.uint8)
-        assert token_counts.count_long(data, counter, chunk, overlap) == len(one), text
+        assert token_counts.count_long(text, counter.model, chunk, overlap) == len(one), text
+
+
+def test_an_overlap_widens_where_the_chunks_do_not_agree(counter, monkeypatch):
+    """The overlap lies in one long word: no place there is stable until it reaches past it."""
+    text = "some words first " * 20 + "etaoin" * 60 + " and some after it" * 30
+    encoded, encodings = [], counter.model.encodings
+    monkeypatch.setattr(counter.model, "encodings", lambda texts: encoded.extend(texts) or encodings(texts))
+    want = len(counter.tokenizer.encode(text, add_special_tokens=False))
+    assert token_counts.count_long(text, counter.model, 400, 8) == want
+    overlaps = [len(b) for a, b in zip(encoded, encoded[1:])]
+    assert len(encoded) > -(-len(text) // 392) and max(overlaps) >= 400  # more chunks than without widening
+
+
+def test_another_tokenizer_file_is_counted_by_the_library(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = _texts(6, 60, SPECIAL) + ["x" * 9000, "many words in a row " * 900]
+    from tokenizers import Tokenizer
+
+    want = [len(e) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert not token_counts.Counter(path).by_word
+    got = {r.doc_id: r.n_tokens for r in token_counts.counts(_frame(spark, list(enumerate(texts))), path).collect()}
+    assert [got[i] for i in range(len(texts) - 2)] == want[:-2]
 
 
 def test_languages_of_held_out_documents(spark):
