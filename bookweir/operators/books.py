@@ -10,6 +10,7 @@ from bookweir.functions.arrays import attribute, hold, let, struct
 from bookweir.functions.urls import http_url, resolved
 from bookweir.operators.dom import shred
 from bookweir.operators.html import METADATA_KEEP, STRUCTURED_KEEP, with_metadata, with_structured_items
+from bookweir.operators.links import key_groups
 from bookweir.schemas import BOOK, METADATA, SOURCES
 
 # The selector rules and limits for pages without structured data.
@@ -285,13 +286,27 @@ def book_key(metadata: str = "metadata") -> Column:
     ISBNs are compared without hyphens and spaces, those of ten digits as the ISBN-13 they
     stand for; the kind keeps a page id from ever meeting an ISBN of the same digits.
     """
-    texts = [F.regexp_replace(F.col(f"{metadata}.{name}"), r"[-\s]", "") for name in ("isbn13", "isbn10", "isbn")]
-    isbn = _isbn13(F.coalesce(*[F.nullif(text, F.lit("")) for text in texts]))
+    isbn = _isbn13(F.coalesce(*_isbns(metadata)))
     url = F.col(f"{metadata}.source_url")
     kind = F.when(isbn.isNotNull(), "isbn").when(url.isNotNull(), "url").otherwise("page")
     return F.struct(kind.alias("kind"), F.coalesce(isbn, url, F.col("page_id").cast("string")).alias("value"))
 
 
+def _isbns(metadata: str) -> list[Column]:
+    """The ISBNs of a record without hyphens and spaces, null where there is none."""
+    texts = [F.regexp_replace(F.col(f"{metadata}.{name}"), r"[-\s]", "") for name in ("isbn13", "isbn10", "isbn")]
+    return [F.nullif(text, F.lit("")) for text in texts]
+
+
+def book_keys(metadata: str = "metadata") -> Column:
+    """All that identifies a book across sources: every ISBN it has and its URL, as kind and value."""
+    url = F.nullif(F.col(f"{metadata}.source_url"), F.lit(""))
+    values = [("isbn", _isbn13(isbn)) for isbn in _isbns(metadata)] + [("url", url)]
+    return F.array_compact(
+        F.array(*[F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))) for kind, v in values])
+    )
+
+
 def _isbn13(isbn: Column) -> Column:
     """An ISBN-10 as ISBN-13; anything else as it is."""
     body = F.concat(F.lit("978"), F.left(isbn, F.lit(9)))
@@ -300,8 +315,22 @@ def _isbn13(isbn: Column) -> Column:
     return F.when(isbn.rlike("^[0-9]{9}[0-9Xx]$"), F.concat(body, check.cast("string"))).otherwise(isbn)
 
 
-def consolidate(found: DataFrame) -> DataFrame:
-    """One row per book across sources.
+def consolidate_linked(found: DataFrame) -> DataFrame:
+    """One row per book across sources, where copies need not all have the same key.
+
+    A copy known by URL meets one known by ISBN by way of a third that has both. The least
+    of the keys so tied names the book. Rows meet the tied keys by their own first key, in a
+    join that may be split where one key is hot; `consolidate` then combines before it shuffles.
+    """
+    own = found.withColumn("_key", F.array_min(book_keys()))
+    tied = key_groups(found, book_keys()).select(F.col("key").alias("_key"), F.col("leader").alias("_leader"))
+    page = F.struct(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("value"))
+    grouped = own.join(tied, "_key", "left").withColumn("_book", F.coalesce("_leader", "_key", page))
+    return consolidate(grouped, F.col("_book"))
+
+
+def consolidate(found: DataFrame, key: Column | None = None) -> DataFrame:
+    """One row per book across sources; `key` (kind, value) says which book a row is of.
 
     The earliest row gives the primary source; every field takes its first
     filled value in that order. All aggregates keep one value per key, so they
@@ -314,7 +343,7 @@ def consolidate(found: DataFrame) -> DataFrame:
         kind = field.dataType.typeName()
         first = F.min_by(value, F.when(_is_filled(value, kind), order))
         firsts.append((F.coalesce(first, F.array()) if kind == "array" else first).alias(field.name))
-    merged = found.groupBy(book_key().alias("book_key")).agg(
+    merged = found.groupBy((book_key() if key is None else key).alias("book_key")).agg(
         F.min_by("primary_source", order).alias("primary_source"),
         # The names of the sources are known, so one flag each is enough.
         F.array_compact(F.array(*[F.max(F.when(F.col("primary_source") == name, name)) for name in sorted(SOURCES)])).alias("sources"),

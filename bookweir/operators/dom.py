@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookweir.functions.selectors import AttrTest, Simple
-from bookweir.schemas import NODE
+from bookweir.schemas import NODE, SPAN
 
 # Elements without content, and the start tags that end an open
 # paragraph, both as the HTML standard lists them.
@@ -52,15 +52,26 @@ _NODE_ARROW = pa.struct(
         pa.field("text", pa.string()),
     ]
 )
+_SPAN_ARROW = pa.struct(
+    [field for field in _NODE_ARROW if field.name not in ("up", "text")]
+    + [pa.field("start", pa.int32()), pa.field("stop", pa.int32())]
+)
 _FLUSH_CHARS = 8_000_000
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())  # what str.strip takes away
 
 
 class _Elements(HTMLParser):
-    """Collects the wanted elements of one page with their pre / post interval."""
+    """Collects the wanted elements of one page with their pre / post interval.
+
+    Either each comes with its text and the numbers of those around it, or (`flat`) with
+    where its text starts and stops in the text of the page.
+    """
 
-    def __init__(self, wanted: Callable[[str, dict], bool]):
+    def __init__(self, wanted: Callable[[str, dict], bool], flat: bool = False):
         super().__init__(convert_charrefs=True)
         self._wanted = wanted
+        self._flat = flat
+        self._chars = 0
         self._texts: list[str] = []
         self._open: list[tuple] = []
         self._open_tags: defaultdict[str, int] = defaultdict(int)
@@ -79,12 +90,12 @@ class _Elements(HTMLParser):
         pre, self._next_pre = self._next_pre, self._next_pre + 1
         keep = self._wanted(tag, named)
         parent = self._open[-1][1] if self._open else None
-        up = self._kept.copy() if keep else None
+        up = (None if self._flat else self._kept.copy()) if keep else False
         family = self._children[-1]
         place = (family[0] + 1, family[1])
         family[:] = [place[0], pre, None]
         self._children.append([0, None, None])
-        self._open.append((tag, pre, parent, up, named, len(self._texts), place))
+        self._open.append((tag, pre, parent, up, named, self._chars if self._flat else len(self._texts), place))
         self._open_tags[tag] += 1
         if keep:
             self._kept.append(pre)
@@ -101,6 +112,7 @@ class _Elements(HTMLParser):
 
     def handle_data(self, data):
         self._texts.append(data)
+        self._chars += len(data)
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
@@ -108,6 +120,9 @@ class _Elements(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not needed
 
+    def page_text(self) -> str:
+        return "".join(self._texts)
+
     def finish(self, html: str) -> list[dict]:
         self.feed(html)
         self.close()
@@ -138,22 +153,23 @@ class _Elements(HTMLParser):
         self._mark_last()
         self._open_tags[tag] -= 1
         post, self._next_post = self._next_post, self._next_post + 1
-        if up is not None:
+        if up is not False:
             self._kept.pop()
-            self.rows.append(
-                {
-                    "pre": pre,
-                    "post": post,
-                    "parent": parent,
-                    "prev": prev,
-                    "nth": nth,
-                    "last": False,
-                    "up": up,
-                    "tag": tag,
-                    "attrs": list(attrs.items()),
-                    "text": "".join(self._texts[first_text:]).strip(),
-                }
-            )
+            row = {
+                "pre": pre,
+                "post": post,
+                "parent": parent,
+                "prev": prev,
+                "nth": nth,
+                "last": False,
+                "tag": tag,
+                "attrs": list(attrs.items()),
+            }
+            if self._flat:
+                row |= {"start": first_text, "stop": self._chars}
+            else:
+                row |= {"up": up, "text": "".join(self._texts[first_text:]).strip()}
+            self.rows.append(row)
             self._children[-1][2] = self.rows[-1]
         return tag
 
@@ -236,6 +252,62 @@ def shred(pages: DataFrame, keep: Iterable[Simple] | None = None) -> DataFrame:
     return pages.select(*names, "html").mapInArrow(run, schema)
 
 
+def element_spans(pages: DataFrame, keep: Iterable[Simple] | None = None) -> DataFrame:
+    """Replace `html` by `page_text`, all text of the page, and `spans`, its elements in document order.
+
+    An element has its interval (pre, post), its place among its siblings, tag, attributes and
+    where its text starts and stops in `page_text`. What encloses it has the smaller pre and the greater
+    post. So a page costs what its own length does, however deep its elements nest; `shred` copies the text and
+    the enclosing numbers to every element. An unreadable page has null text and spans.
+    """
+    keep = None if keep is None else list(keep)
+    others = [field for field in pages.schema.fields if field.name != "html"]
+    schema = T.StructType([*others, T.StructField("page_text", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
+    names = [field.name for field in others]
+
+    def read(html: str | None, wanted: Callable[[str, dict], bool]) -> tuple[str | None, list[dict] | None]:
+        if html is None:
+            return None, None
+        try:
+            page = _Elements(wanted, flat=True)
+            rows = page.finish(html)
+            return page.page_text(), rows
+        except (AssertionError, ValueError):
+            return None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _keeper(keep)
+        for batch in batches:
+            htmls, first, rows, chars = batch.column("html"), 0, [], 0
+            for i in range(batch.num_rows):
+                rows.append(read(htmls[i].as_py(), wanted))
+                chars += len(rows[-1][0] or "") + 100 * len(rows[-1][1] or ())
+                if chars > _FLUSH_CHARS or i == batch.num_rows - 1:
+                    columns = [batch.column(name).slice(first, len(rows)) for name in names]
+                    texts, spans = zip(*rows)
+                    columns += [pa.array(texts, pa.string()), pa.array(spans, pa.list_(_SPAN_ARROW))]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, "page_text", "spans"])
+                    first, rows, chars = i + 1, [], 0
+
+    return pages.select(*names, "html").mapInArrow(run, schema)
+
+
+def span_nodes(doms: DataFrame, text: bool = True) -> DataFrame:
+    """One row per element of `element_spans`; its text is cut out of the page's only if it is asked for."""
+    rows = doms.select("page_id", *(["page_text"] if text else []), F.explode("spans").alias("n"))
+    own = F.substring("page_text", F.col("n.start") + 1, F.col("n.stop") - F.col("n.start"))
+    return rows.select(
+        "page_id",
+        F.col("n.pre").cast("bigint").alias("node_id"),
+        F.col("n.parent").cast("bigint").alias("parent_id"),
+        "n.pre",
+        "n.post",
+        "n.tag",
+        "n.attrs",
+        *([F.btrim(own, F.lit(_BLANKS)).alias("text")] if text else []),
+    )
+
+
 def dom_nodes(doms: DataFrame) -> DataFrame:
     """One row per element."""
     return doms.select("page_id", F.explode("nodes").alias("n")).select(

@@ -72,11 +72,6 @@ def active_requests(results: DataFrame) -> DataFrame:
     """Open requests at every instant at which one starts or ends.
 
     A request is open during [ts, ts + response time], both ends included.
-    Edges are summed per instant first. The running sum then goes by calendar -
-    days, seconds of a day, instants of a second - so no window sees more than
-    the number of days, 86,400 or a million rows, whatever the log holds. The
-    three levels share one shuffle of the instants: times are made non-null, or
-    the joins would filter each copy in its own way.
     """
     started = epoch_micros(F.col("ts"))
     ended = started + F.round(F.col("response_time_ms") * 1000).cast("bigint")
@@ -89,6 +84,33 @@ def active_requests(results: DataFrame) -> DataFrame:
             )
         )
     )
+    return _levels(edges).select("at_us", "at", (F.col("before") + F.col("opened")).alias("active"))
+
+
+def queue_sizes(tasks: DataFrame, job: str = "job_id") -> DataFrame:
+    """Pending tasks at every instant at which some are queued or started.
+
+    All tasks of a job are queued when its first one starts, and a task leaves the queue at
+    its own `ts`. Arrivals are one row per job, so no task meets its job again.
+    """
+    at = epoch_micros(F.col("ts"))
+    timed = tasks.filter(F.col("ts").isNotNull())
+    queued = timed.groupBy(job).agg(F.min(at).alias("at_us"), F.count("*").alias("opened"))
+    edges = queued.select("at_us", "opened", F.lit(0).alias("closed")).unionByName(
+        timed.select(at.alias("at_us"), F.lit(0).alias("opened"), F.lit(1).alias("closed"))
+    )
+    return _levels(edges).select("at_us", "at", (F.col("before") + F.col("opened") - F.col("closed")).alias("queue_size"))
+
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """How many are open before every instant of `edges` (at_us, opened, closed).
+
+    Edges are summed per instant first. The running sum then goes by calendar -
+    days, seconds of a day, instants of a second - so no window sees more than
+    the number of days, 86,400 or a million rows, whatever the log holds. The
+    three levels share one shuffle of the instants: times are made non-null, or
+    the joins would filter each copy in its own way.
+    """
     instants = edges.groupBy("at_us").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
 
     def unit(time: str, size: int) -> Column:
@@ -114,7 +136,7 @@ def active_requests(results: DataFrame) -> DataFrame:
     )
     level = F.col("second_level") + earlier("net", before_instant)
     return instants.join(seconds, "second").select(
-        "at_us", from_micros(F.col("at_us")).alias("at"), (level + F.col("opened")).alias("active")
+        "at_us", from_micros(F.col("at_us")).alias("at"), "opened", "closed", level.alias("before")
     )
 
 

@@ -38,7 +38,10 @@ def scrape_batch(requests: DataFrame, fetches: DataFrame) -> tuple[DataFrame, Da
     `fetches` names the task it belongs to by request_id and pos, so a URL that
     was asked for many times never meets its copies. Tasks meet results after
     extraction, when a row is small. A task without a fetch has a null status.
+    Any other column that both have keeps its name in the results and is `task_...` of the task.
     """
     accepted, rejected = validate_requests(expand_requests(requests))
     results = scrape_results(fetches).drop("source", "url")
+    clashing = (set(accepted.columns) & set(results.columns)) - {"request_id", "pos"}
+    accepted = accepted.withColumnsRenamed({name: f"task_{name}" for name in clashing})
     return accepted.join(results, ["request_id", "pos"], "left"), rejected

@@ -312,6 +312,9 @@ _ORACLES: dict[str, str] = {
   SELECT us + took_us, 0, 1 FROM results), instants AS (SELECT at_us, sum(o) AS o, sum(c) AS c FROM edges GROUP BY at_us)
   SELECT at_us, CAST(sum(o) OVER (ORDER BY at_us) - coalesce(sum(c) OVER (ORDER BY at_us ROWS BETWEEN UNBOUNDED PRECEDING
   AND 1 PRECEDING), 0) AS BIGINT) AS active FROM instants""",
+    "queue_size_over_time": f"""WITH {RESULTS}, edges AS (SELECT us AS at_us, -1 AS n FROM results UNION ALL
+  SELECT min(us), count(*) FROM results GROUP BY job_id), instants AS (SELECT at_us, sum(n) AS n FROM edges GROUP BY at_us)
+  SELECT at_us, CAST(sum(n) OVER (ORDER BY at_us) AS BIGINT) AS queue_size FROM instants""",
     "throughput_gauges": f"""WITH {RESULTS}, run AS (SELECT (max(us) - min(us)) / 1e6 AS up, count(*) AS n,
   count(*) FILTER (WHERE status = 'success') AS good FROM results)
   SELECT 'uptime_seconds' AS metric, round(up, 9) AS value FROM run UNION ALL
@@ -389,6 +392,23 @@ _ORACLES: dict[str, str] = {
   count(*) AS copies, min(epoch_us(created_at)) AS created_us, {_first('title')} AS title,
   coalesce({_first('authors')}, '') AS authors, {_first('publisher')} AS publisher, {_first('rating')} AS rating,
   {_first('description')} AS description, {_first('cover_image_url')} AS cover_image_url FROM ranked GROUP BY book_key""",
+    "book_consolidate_linked": f"""WITH {BOOKS}, keyed AS (SELECT page_id AS k, source, title, publisher,
+    {SNAPSHOT} + to_minutes(page_id * 37 % 1000) AS created_at,
+    CASE WHEN page_id % 7 <> 0 THEN '9780' || lpad(CAST(page_id // 2 AS VARCHAR), 9, '0') END AS isbn13,
+    CASE WHEN page_id % 5 <> 0 THEN 'https://books.example.com/c/' || ((page_id + 1) // 2) END AS link FROM books),
+  tied AS (SELECT *, coalesce(lag(k) OVER (ORDER BY k) = k - 1 AND
+    CASE WHEN k % 2 = 1 THEN lag(isbn13) OVER (ORDER BY k) = isbn13 ELSE lag(link) OVER (ORDER BY k) = link END, false) AS on_from FROM keyed),
+  runs AS (SELECT *, sum(CASE WHEN on_from THEN 0 ELSE 1 END) OVER (ORDER BY k) AS run,
+    row_number() OVER (ORDER BY created_at, k) AS rn FROM tied)
+  SELECT CASE WHEN count(isbn13) > 0 THEN 'isbn' WHEN count(link) > 0 THEN 'url' ELSE 'page' END AS key_kind,
+  coalesce(min(isbn13), min(link), CAST(min(k) AS VARCHAR)) AS book_key, arg_min(source, rn) AS primary_source,
+  array_to_string(list_sort(list(DISTINCT source)), '|') AS sources, count(*) AS copies, min(epoch_us(created_at)) AS created_us,
+  {_first('title')} AS title, {_first('publisher')} AS publisher FROM runs GROUP BY run""",
+    "book_search_indexed": f"""WITH {BOOKS}, asked(query, wanted) AS (VALUES ('Anvil', NULL), ('brand#2', 'amazon'), ('#3', NULL), ('no such book', NULL)),
+  hits AS (SELECT query, page_id, title, row_number() OVER (PARTITION BY query ORDER BY title, page_id) AS rn
+    FROM asked JOIN books ON (wanted IS NULL OR source = wanted)
+      AND (contains(lower(title), lower(query)) OR contains(lower(authors), lower(query))))
+  SELECT query, page_id, title FROM hits WHERE rn <= 10""",
     "book_search": f"""WITH {BOOKS} SELECT page_id, title FROM books WHERE contains(lower(title), 'anvil')
   OR contains(lower(authors), 'anvil') ORDER BY title, page_id LIMIT 10""",
     "book_search_source": f"""WITH {BOOKS} SELECT page_id, title FROM books WHERE source = 'amazon'
@@ -419,6 +439,12 @@ _ORACLES: dict[str, str] = {
   SELECT domain, round(factor, 6) AS adaptation_factor, round(CAST(rate AS DOUBLE), 6) AS current_rate, {_AVERAGES}
   FROM last WHERE back = 1""",
     "stream_request_rate": _windows(f"WITH {RESULTS}", 10),
+    "stream_late_rows": f"""WITH {LOG}, landed AS (SELECT log_id, source, epoch_us(ts) AS us,
+    (epoch_us(ts) + CASE WHEN log_id % 10 = 3 THEN 777600000000 ELSE 0 END) // 604800000000 AS week FROM log),
+  weeks AS (SELECT week, max(us) AS latest FROM landed GROUP BY week),
+  seen AS (SELECT week, max(latest) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM weeks)
+  SELECT source, count(*) AS requests, count(*) FILTER (WHERE us < seen - 86400000000) AS late
+  FROM landed JOIN seen USING (week) GROUP BY source""",
     "stream_counters": f"""WITH {RESULTS}, typed AS (SELECT *, error_code AS error_type,
     status = 'success' AND log_id % 6 <> 5 AS has_book FROM results)
   SELECT metric, source, status, error_type, le, round(value, 3) AS value FROM ({_COUNTERS})""",
@@ -428,6 +454,43 @@ _ORACLES: dict[str, str] = {
     "stream_extract": f"""SELECT page_id, url,
   {_element_text("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title FROM pages""",
 }
+_REASONS = """concat_ws('|', CASE WHEN t.url NOT LIKE 'https://%' THEN 'url is no http url' END,
+  CASE WHEN t.source = 'elsewhere' THEN 'unknown source' END,
+  CASE WHEN priority NOT BETWEEN 1 AND 10 THEN 'priority out of range' END)"""
+_ORACLES["scrape_batch"] = f"""WITH {REQUESTS}, {LOG}, {BOOKS}, checked AS (SELECT request_id, pos, {_REASONS} AS reasons FROM tasks t),
+  got AS (SELECT log_id // 5 AS request_id, log_id % 5 AS pos, {_OK} AS ok, http_status, exception_class, title
+    FROM log LEFT JOIN books ON page_id = log_id % (SELECT count(*) FROM part))
+  SELECT request_id, pos, CASE WHEN reasons <> '' THEN 'rejected' WHEN NOT ok THEN 'failed' WHEN title IS NULL THEN 'partial'
+    ELSE 'success' END AS status,
+  CASE WHEN reasons = '' AND NOT ok THEN coalesce(exception_class, 'HTTP_' || http_status) END AS error_code,
+  CASE WHEN reasons = '' AND ok THEN title END AS title, reasons FROM checked JOIN got USING (request_id, pos)"""
+# Raw pages made well-formed: what the tree rules imply is written out, markup inside scripts is masked.
+_WHOLE = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'),
+  '(<script>var t=")<(/p)>', '\1' || chr(1) || '\2' || chr(2)), '(<br>[^<]*)(<p>|</article>)', '\1</b></p>\2', 'g')"""
+_ORACLES["dom_intervals"] = f"""WITH whole AS (SELECT page_id, {_WHOLE} AS html FROM pages),
+  closed AS (SELECT page_id, html || CASE WHEN contains(html, '</html>') THEN '' ELSE '</body></html>' END AS html FROM whole),
+  cut AS (SELECT page_id, regexp_extract_all(html, '<[^>]*>') AS tags, string_split_regex(html, '<[^>]*>') AS texts FROM closed),
+  tokens AS (SELECT page_id, unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS mark, unnest(texts[2:]) AS after FROM cut),
+  named AS (SELECT page_id, i, regexp_extract(mark, '^</?([a-z0-9]+)', 1) AS tag, mark LIKE '</%' AS closing,
+    regexp_extract(mark, '^<[a-z0-9]+ +([a-z]+)="', 1) AS attr, {_unescaped("""regexp_extract(mark, '="([^"]*)"', 1)""")} AS value,
+    replace(replace({_unescaped('after')}, chr(1), '<'), chr(2), '>') AS after FROM tokens),
+  steps AS (SELECT *, tag IN ('meta', 'br') AS void, CASE WHEN tag IN ('meta', 'br') THEN 0 WHEN closing THEN -1 ELSE 1 END AS step FROM named),
+  deep AS (SELECT *, sum(step) OVER w + CASE WHEN closing OR void THEN 1 ELSE 0 END AS depth,
+    sum(CASE WHEN closing THEN 0 ELSE 1 END) OVER w - 1 AS pre,
+    sum(CASE WHEN closing OR void THEN 1 ELSE 0 END) OVER w - 1 AS post,
+    coalesce(sum(length(after)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+    FROM steps WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+  text_of AS (SELECT page_id, string_agg(after, '' ORDER BY i) AS page_text FROM named GROUP BY page_id),
+  opens AS (SELECT *, row_number() OVER (PARTITION BY page_id, depth ORDER BY i) AS nth FROM deep WHERE NOT closing AND NOT void),
+  closes AS (SELECT *, row_number() OVER (PARTITION BY page_id, depth ORDER BY i) AS nth FROM deep WHERE closing),
+  elements AS (SELECT o.page_id, o.i, o.depth, o.pre, c.post, o.tag, o.attr, o.value, o.begins AS start, c.begins AS stop
+    FROM opens o JOIN closes c USING (page_id, depth, nth) UNION ALL
+    SELECT page_id, i, depth, pre, post, tag, attr, value, begins, begins FROM deep WHERE void)
+  SELECT e.page_id, CAST(e.pre AS BIGINT) AS node_id, CAST(p.pre AS BIGINT) AS parent_id, CAST(e.pre AS INTEGER) AS pre,
+  CAST(e.post AS INTEGER) AS post, e.tag, CASE WHEN e.attr = '' THEN '' ELSE e.attr || '=' || e.value END AS attrs,
+  trim(substring(page_text, CAST(e.start AS BIGINT) + 1, CAST(e.stop - e.start AS BIGINT)), chr(32) || chr(9) || chr(10) || chr(13)) AS text
+  FROM elements e JOIN text_of USING (page_id)
+  ASOF LEFT JOIN (SELECT page_id, i, depth + 1 AS depth, pre FROM opens) p ON e.page_id = p.page_id AND e.depth = p.depth AND e.i > p.i"""
 _ORACLES["active_peak"] = f"""WITH series AS ({_ORACLES["active_requests"]})
   SELECT max(active) AS peak, arg_max(at_us, active * 10000000000000000::HUGEINT - at_us) AS first_us FROM series"""
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from bookweir.functions.text import clean_text
 from bookweir.functions.times import epoch_micros
 from bookweir.functions.urls import domain_key, resolve_url
-from bookweir.operators import adaptive, books, dom, html, limits, metrics, outcomes, queue, stats, validate
-from bookweir.plans.crawl import scrape_results
+from bookweir.operators import adaptive, books, dom, html, limits, metrics, outcomes, queue, search, stats, validate
+from bookweir.plans.crawl import scrape_batch, scrape_results
 from bookweir.session import prepare
 from bookweir.sources import requests as rq
 from bookweir.sources.pages import load_pages, stream_pages
 from bookweir.sources.sinks import to_json_rows
 from bookweir.sources.tables import book_pages, crawl_log, dirty_documents, scrape_requests, table
-from bookweir.streaming import counters, jobs
+from bookweir.streaming import counters, jobs, late
 from bookweir.streaming import limits as stream_limits
 
 AUDIT_LIMIT = limits.Limit(0.125 / 3600, 2)
@@ -424,6 +424,11 @@ def _active_requests(spark, folder):
     return metrics.active_requests(_log(spark, folder)).select("at_us", "active")
 
 
+@_query("queue_size_over_time")
+def _queue_size_over_time(spark, folder):
+    return metrics.queue_sizes(_log(spark, folder)).select("at_us", "queue_size")
+
+
 @_query("active_peak")
 def _active_peak(spark, folder):
     return metrics.active_peak(_log(spark, folder)).select("peak", epoch_micros(F.col("first_at")).alias("first_us"))
@@ -451,20 +456,47 @@ def _request_rate(spark, folder):
     return _rate_rows(metrics.request_rate(_results(spark, folder)))
 
 
+# --- a whole crawl ------------------------------------------------------------------
+
+
+@_query("scrape_batch")
+def _scrape_batch(spark, folder):
+    """Requests, the pages that were fetched for them, and what came of every task."""
+    parts = table(spark, folder, "part").select(F.count("*")).scalar()
+    events = table(spark, folder, "events")
+    fetched = crawl_log(events).select(
+        F.floor(F.col("log_id") / 5).cast("bigint").alias("request_id"),
+        (F.col("log_id") % 5).cast("int").alias("pos"),
+        (F.col("log_id") % parts).alias("page_id"),
+        "url",
+        "source",
+        "http_status",
+        "exception_class",
+    )
+    pages = book_pages(spark, folder).select("page_id", "html")
+    results, rejected = scrape_batch(scrape_requests(events), fetched.join(pages, "page_id"))
+    done = results.select("request_id", "pos", "status", "error_code", F.col("metadata.title").alias("title"), F.lit("").alias("reasons"))
+    refused = rejected.select(
+        "request_id", "pos", F.lit("rejected").alias("status"), F.lit(None).cast("string").alias("error_code"),
+        F.lit(None).cast("string").alias("title"), _joined("reasons").alias("reasons"),
+    )
+    return done.unionByName(refused).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 # --- pages ------------------------------------------------------------------------
 
 
 @_query("dom_nodes")
 def _dom_nodes(spark, folder):
     """Elements per page and tag."""
-    nodes = dom.dom_nodes(dom.shred(_pages(spark, folder)))
+    nodes = dom.span_nodes(dom.element_spans(_pages(spark, folder)), text=False)
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @_query("dom_intervals")
 def _dom_intervals(spark, folder):
     """Every element of every page with its interval, attributes and text."""
-    nodes = dom.dom_nodes(dom.shred(_pages(spark, folder)))
+    nodes = dom.span_nodes(dom.element_spans(_pages(spark, folder)))
     attrs = F.array_sort(F.map_entries("attrs"))
     return nodes.select(
         "page_id",
@@ -709,6 +741,44 @@ def _book_consolidate(spark, folder):
     )
 
 
+@_query("book_consolidate_linked")
+def _book_consolidate_linked(spark, folder):
+    """Books of which every copy shares an ISBN with one neighbour and a URL with the other; some lack one or both."""
+    k = F.col("page_id")
+    created = F.timestamp_add("MINUTE", k * 37 % 1000, F.lit(SNAPSHOT).cast("timestamp_ntz"))
+    isbn13 = F.when(k % 7 != 0, F.concat(F.lit("978-0-"), F.lpad(F.floor(k / 2).cast("string"), 9, "0")))
+    url = F.when(k % 5 != 0, F.concat(F.lit("https://books.example.com/c/"), F.floor((k + 1) / 2).cast("string")))
+    unset = F.lit(None).cast("string")
+    keyed = F.col("metadata").withField("isbn13", isbn13).withField("source_url", url).withField("isbn", unset)
+    found = books.with_defaults(books.books(book_pages(spark, folder)), created).withColumn("metadata", keyed)
+    return books.consolidate_linked(found).select(
+        "key_kind",
+        "book_key",
+        "primary_source",
+        _joined("sources").alias("sources"),
+        "copies",
+        epoch_micros(F.col("created_at")).alias("created_us"),
+        F.col("metadata.title").alias("title"),
+        F.col("metadata.publisher").alias("publisher"),
+    )
+
+
+@_query("book_search_indexed")
+def _book_search_indexed(spark, folder):
+    path = jobs.work_folder(spark, "index")
+    search.write_index(books.with_defaults(books.books(book_pages(spark, folder))), path)
+    parts = [
+        search.search_index(spark, path, query, source).select(
+            F.lit(query).alias("query"), "page_id", F.col("metadata.title").alias("title")
+        )
+        for query, source in (("Anvil", None), ("brand#2", "amazon"), ("#3", None), ("no such book", None))
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 @_query("book_search")
 def _book_search(spark, folder):
     found = books.with_defaults(books.books(book_pages(spark, folder)))
@@ -815,6 +885,19 @@ def _stream_request_rate(spark, folder):
     return _rate_rows(counters.stream_request_rate(counts))
 
 
+@_query("stream_late_rows")
+def _stream_late_rows(spark, folder):
+    """The log as it lands week by week; every tenth row is nine days under way."""
+    path, events = jobs.work_folder(spark, "late"), table(spark, folder, "events")
+    under_way = F.when(F.col("event_id") % 10 == 3, 9).otherwise(0)
+    week = F.floor(epoch_micros(F.timestamp_add("DAY", under_way, F.col("ts"))) / 604_800_000_000)
+    for w in sorted(r.w for r in events.select(week.alias("w")).distinct().collect()):
+        events.filter(week == w).write.mode("append").parquet(f"{path}/landed")
+        results = crawl_log(spark.readStream.schema(events.schema).parquet(f"{path}/landed"))
+        jobs.drain(late.split_late(results, f"{path}/split", "1 day"), f"{path}/state")
+    return late.late_counts(late.split_rows(spark, f"{path}/split", results))
+
+
 @_query("stream_counters")
 def _stream_counters(spark, folder):
     log = _with_body(_stream_log(spark, folder))

@@ -110,3 +110,9 @@ NODE = T.StructType(
         T.StructField("text", T.StringType(), False),
     ]
 )
+
+# One element of a page whose text stands at `start` to `stop` of the page's.
+SPAN = T.StructType(
+    [field for field in NODE if field.name not in ("up", "text")]
+    + [T.StructField("start", T.IntegerType(), False), T.StructField("stop", T.IntegerType(), False)]
+)

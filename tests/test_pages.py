@@ -53,6 +53,23 @@ def test_intervals_nest(spark, folder):
                 assert parent.pre < n.pre and parent.post > n.post
 
 
+def test_spans_are_the_same_elements(spark, folder):
+    odd = _pages(spark, "<div> \u00a0<p><b>one &amp;<br><p>two \x1c</div>tail", "", "text only", None, "<p>x" * 50)
+    for pages in (odd, load_pages(spark, f"{folder}/pages.parquet")):
+        spans = dom.span_nodes(dom.element_spans(pages)).collect()
+        key = lambda r: (r.page_id, r.pre)
+        assert sorted(spans, key=key) == sorted(dom.dom_nodes(dom.shred(pages)).collect(), key=key)
+    texts = {r.page_id: (r.page_text, r.spans is None) for r in dom.element_spans(odd).collect()}
+    assert texts[1] == ("", False) and texts[2] == ("text only", False) and texts[3] == (None, True)
+
+
+def test_deep_pages_cost_their_length(spark):
+    deep = 100_000
+    nodes = dom.span_nodes(dom.element_spans(_pages(spark, "<div>x" * deep)), text=False)
+    r = nodes.agg(F.count("*"), F.min(F.col("post") + F.col("pre")), F.max(F.col("post") + F.col("pre")), F.max("parent_id")).collect()[0]
+    assert tuple(r) == (deep, deep - 1, deep - 1, deep - 2)
+
+
 def test_unreadable_and_empty_pages(spark):
     rows = {r.page_id: (r.html_length, r.parsed) for r in html.parse_report(_pages(spark, None, "", "<p>")).collect()}
     assert rows == {0: (None, False), 1: (0, True), 2: (3, True)}
@@ -251,6 +268,10 @@ def test_batch_results(spark):
         5: ("success", None, None),
     }
     assert [r.url for r in rejected.collect()] == ["oops"]
+    clashing = requests.withColumns({"metadata": F.lit("m"), "page_id": F.lit(7), "html": F.lit("h")})
+    again = scrape_batch(clashing, fetches)[0].select("pos", "status", "metadata.title", "task_metadata").collect()
+    assert {r.pos: r.title for r in again} == {pos: title for pos, (_, title, _) in got.items()}
+    assert {r.task_metadata for r in again} == {"m"}
 
 
 def test_new_pages_equal_one_run(spark, folder, tmp_path):
