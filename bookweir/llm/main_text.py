@@ -22,8 +22,8 @@ from bookweir.llm.work import map_texts
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "article", "heading")
 
 # The labelled table, one block a row: the features in order, then 1 for main text.
-# Inside boilerplate elements nothing is text; inside the article everything is but lists of
-# links; elsewhere long blocks of few links are, and short ones between such blocks.
+# Inside boilerplate elements nothing is text; inside the article everything is but links next to
+# other links; elsewhere long blocks of few links are, and short ones between such blocks.
 LABELLED = [
     # menus, sidebars, footers, forms, adverts, notices and comments, told by their elements
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
@@ -64,42 +64,96 @@ LABELLED = [
     (13, 0.1, 4, 0.0, 0, 0.0, 0, 1, 0, 1),
     (110, 0.0, 6, 0.0, 0, 0.0, 0, 1, 0, 1),
     (6, 0.0, 7, 1.0, 5, 1.0, 0, 1, 0, 1),
+    (12, 1.0, 40, 0.0, 50, 0.0, 0, 1, 0, 1),
+    (4, 1.0, 60, 0.0, 30, 0.1, 0, 1, 0, 1),
+    (25, 1.0, 5, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (3, 1.0, 0, 0.0, 45, 0.0, 0, 1, 0, 1),
+    (6, 1.0, 0, 0.0, 70, 0.0, 0, 1, 1, 1),
+    (9, 0.9, 3, 0.0, 4, 0.2, 0, 1, 0, 1),
+    (2, 1.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
+    # in the article also at its ends, and next to links
+    (5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (9, 0.3, 55, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (12, 0.0, 4, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (15, 0.0, 58, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (17, 0.1, 17, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (7, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (25, 0.0, 0, 0.0, 60, 0.0, 0, 1, 0, 1),
+    (3, 0.0, 0, 0.0, 8, 0.0, 0, 1, 0, 1),
+    (7, 0.0, 0, 0.0, 5, 1.0, 0, 1, 0, 1),
+    (6, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 1),
+    (4, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 1),
+    (12, 0.0, 1, 1.0, 11, 0.0, 0, 1, 0, 1),
+    (6, 0.0, 1, 1.0, 40, 0.0, 0, 1, 0, 1),
+    (9, 0.1, 1, 1.0, 0, 0.0, 0, 1, 0, 1),
+    (3, 0.0, 4, 1.0, 2, 1.0, 0, 1, 1, 1),
+    (2, 0.0, 40, 0.0, 3, 1.0, 0, 1, 1, 1),
+    (5, 0.5, 6, 0.5, 4, 1.0, 0, 1, 0, 1),
     (50, 0.0, 1, 1.0, 2, 1.0, 0, 1, 0, 1),
     (3, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0, 0),
     (5, 1.0, 3, 1.0, 4, 1.0, 0, 1, 0, 0),
     (2, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0, 0),
     (8, 0.9, 60, 0.0, 6, 1.0, 0, 1, 0, 0),
-    # pages without such elements
+    # pages without such elements: long blocks, and whatever stands between blocks without links
     (60, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1),
     (35, 0.0, 8, 0.0, 50, 0.0, 0, 0, 0, 1),
     (90, 0.1, 50, 0.0, 5, 1.0, 0, 0, 0, 1),
     (25, 0.0, 70, 0.0, 30, 0.0, 0, 0, 0, 1),
     (12, 0.0, 45, 0.0, 65, 0.0, 0, 0, 0, 1),
     (5, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (6, 0.0, 55, 0.0, 60, 0.0, 0, 0, 1, 1),
-    (8, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1, 1),
+    (2, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 9, 0.0, 7, 0.0, 0, 0, 0, 1),
+    (10, 0.0, 17, 0.0, 8, 0.0, 0, 0, 0, 1),
+    (4, 0.1, 50, 0.0, 6, 0.0, 0, 0, 0, 1),
+    (6, 0.0, 5, 0.0, 14, 0.0, 0, 0, 0, 1),
+    (14, 0.1, 7, 0.0, 8, 0.0, 0, 0, 0, 1),
+    (13, 0.0, 55, 0.0, 4, 0.0, 0, 0, 0, 1),
+    (9, 0.0, 9, 0.0, 4, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 20, 0.0, 2, 0.0, 0, 0, 0, 1),
+    (16, 0.0, 2, 0.0, 1, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 60, 0.0, 1, 0.0, 0, 0, 0, 1),
     (20, 0.1, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
+    (30, 0.0, 12, 0.0, 0, 0.0, 0, 0, 0, 1),
     (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
     (45, 0.0, 3, 1.0, 7, 0.0, 0, 0, 0, 1),
+    (28, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1),
+    (80, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1),
+    (40, 0.2, 1, 1.0, 0, 0.0, 0, 0, 0, 1),
+    # headings, unless only links follow
+    (6, 0.0, 55, 0.0, 60, 0.0, 0, 0, 1, 1),
+    (8, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1, 1),
+    (4, 0.0, 0, 0.0, 6, 0.0, 0, 0, 1, 1),
+    (9, 0.0, 12, 0.0, 9, 0.0, 0, 0, 1, 1),
+    (11, 0.0, 1, 1.0, 23, 0.0, 0, 0, 1, 1),
+    (3, 0.0, 8, 0.0, 3, 0.0, 0, 0, 1, 1),
+    (4, 0.0, 12, 0.0, 1, 0.0, 0, 0, 1, 1),
+    (3, 0.0, 4, 1.0, 2, 1.0, 0, 0, 1, 0),
+    (2, 0.0, 40, 0.0, 3, 1.0, 0, 0, 1, 0),
+    # links and what is mostly links
     (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0),
     (3, 1.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0),
     (10, 0.8, 4, 1.0, 6, 0.9, 0, 0, 0, 0),
     (25, 0.7, 8, 1.0, 12, 0.8, 0, 0, 0, 0),
+    (5, 0.5, 6, 0.5, 4, 1.0, 0, 0, 0, 0),
+    (9, 1.0, 70, 0.0, 60, 0.0, 0, 0, 0, 0),
+    (9, 0.7, 12, 0.0, 0, 0.0, 0, 0, 0, 0),
+    # short blocks next to links: an advert below the menu, a label between links
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (6, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0),
+    (8, 0.0, 3, 1.0, 6, 1.0, 0, 0, 0, 0),
+    (12, 0.0, 1, 1.0, 11, 0.0, 0, 0, 0, 0),
+    (15, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0),
+    (6, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
+    (9, 0.1, 1, 1.0, 0, 0.0, 0, 0, 0, 0),
+    (6, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0),
     (7, 0.0, 0, 0.0, 5, 1.0, 0, 0, 0, 0),
+    # short last blocks: whose page it is
     (5, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
     (9, 0.3, 55, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (8, 0.0, 3, 1.0, 6, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 4, 1.0, 2, 1.0, 0, 0, 1, 0),
-    (7, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 6, 0.0, 0, 0, 1, 0),
-    (9, 0.1, 3, 0.0, 4, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 0),
-    (5, 0.5, 6, 0.5, 4, 1.0, 0, 0, 0, 0),
-    (9, 1.0, 70, 0.0, 60, 0.0, 0, 0, 0, 0),
-    (4, 0.0, 50, 0.0, 6, 0.0, 0, 0, 0, 0),
-    (10, 0.0, 7, 0.0, 8, 0.0, 0, 0, 0, 0),
+    (12, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (15, 0.0, 58, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (17, 0.1, 17, 0.0, 0, 0.0, 0, 0, 0, 0),
 ]
 
 # Elements that start and end a block of text.
@@ -130,7 +184,9 @@ _MARKUP = re.compile(
     re.DOTALL,
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
+# A name that begins so says something about what it names but isn't it: with-sidebar, no-comments.
+_ABOUT = frozenset("with without has have no not non is hide hides hidden show shows toggle open above below before after".split())
 _NO_MORE: dict[str, re.Pattern] = {}
 
 
@@ -140,6 +196,14 @@ def _end_of(tag: str) -> re.Pattern:
     return _NO_MORE[tag]
 
 
+def _names(token: str) -> set[str]:
+    """What a class, id or role names: itself, or its first or last part (`sidebar-left`, `site-footer`)."""
+    parts = _PARTS.findall(token)
+    if not parts or len(parts) > 1 and parts[0] in _ABOUT:
+        return set()
+    return {parts[0], parts[-1]}
+
+
 def _kind(tag: str, attributes: str, boiler: int, article: bool) -> tuple[int, bool]:
     """Whether text inside an element is boilerplate (2: whatever is inside) or of the article, given its surroundings."""
     names: set[str] = set()
@@ -148,7 +212,8 @@ def _kind(tag: str, attributes: str, boiler: int, article: bool) -> tuple[int, b
         for name, value in _NAMED.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
-                names.update(_WORDS.findall(value))
+                for token in value.split():
+                    names.update(_names(token))
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 hidden = True
             elif name == "style" and "display:none" in value.replace(" ", ""):
@@ -251,6 +316,9 @@ def features(rows: list[tuple]) -> np.ndarray:
     own = np.array(rows, float).reshape(-1, 5)
     before, after = np.zeros((len(own), 2)), np.zeros((len(own), 2))
     before[1:], after[:-1] = own[:-1, :2], own[1:, :2]
+    # What stands outside the article, or outside the menu, is no neighbour of what is inside.
+    apart = (own[1:, 2:4] != own[:-1, 2:4]).any(axis=1)
+    before[1:][apart] = after[:-1][apart] = 0
     return np.hstack([own[:, :2], before, after, own[:, 2:]])
 
 

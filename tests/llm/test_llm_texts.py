@@ -1,9 +1,12 @@
 """Tokenizers, language ID, PII, main text and LM scores against libraries and plain loops."""
 
 import hashlib
+import html
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -232,15 +235,50 @@ def test_main_text_of_a_page(spark):
     assert main_text.main_texts(frame).count() == len(rows)
 
 
+def _article(page):
+    """Lines of the article of a test page, by plain patterns."""
+    inside = page[page.index("<article>") : page.index("</article>")]
+    lines = [" ".join(html.unescape(re.sub("<[^>]*>", " " if "<br" in line else "", line)).split()) for line in re.split("</?(?:p|h1|article)>", inside)]
+    return [line for line in lines if line]
+
+
 def test_pages_made_from_documents(spark):
-    """The article of a page is the text it was made from, below its heading."""
+    """The text of a page is its article, line by line."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    for r in main_text.extract(pages).limit(60).collect():
-        page = r.row.html
-        article = page[page.index("<article>") : page.index("</article>")]
-        lines = r.out.text.split("\n")
-        assert len(lines) == article.count("<p>") - article.count("<br><p>") - article.count("<p><b><p>") + 1 or len(lines) > 1
-        assert not any(line in page[: page.index("<article>")].split("<body>")[1] for line in lines if len(line) > 80)
+    got = main_text.extract(pages).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        assert r.out.text == "\n".join(_article(r.row.html)) and r.out.n_chars == len(r.out.text)
+
+
+def test_pages_without_known_elements(spark):
+    """With all telling elements, classes and ids taken out, words and links of the neighbours decide."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    bare = [re.sub(r' (class|id)="[^"]*"', "", re.sub(r"<(/?)(nav|footer|article)>", r"<\1div>", page)) for page in pages]
+    kept = wanted = others = 0
+    for r in main_text.extract(_frame(spark, list(enumerate(bare)), "page_id long, html string")).collect():
+        expected, found = Counter(_article(pages[r.row.page_id])), Counter(r.out.text.split("\n") if r.out.text else [])
+        kept, wanted, others = kept + (expected & found).total(), wanted + expected.total(), others + (found - expected).total()
+    assert kept >= 0.97 * wanted and others <= 0.01 * wanted
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content with-sidebar"><p>@</p></div>', "@"),
+        ('<div class="no-comments"><p>@</p></div>', "@"),
+        ('<div id="isHidden"><p>@</p></div><div class="sidebar-left"><p>@</p></div>', "@"),
+        ('<article><p>@</p><p><a href="x">all of it one link</a></p><p>@</p></article>', "@\nall of it one link\n@"),
+        ('<nav><a href="a">A</a></nav><article><p><a href="x">a link first</a></p><p>@</p></article>', "a link first\n@"),
+        ('<article><p>@</p><ul><li><a href="1">One</a><li><a href="2">Two</a></ul></article>', "@"),
+        ('<p>@</p><div class="reader-comments"><p>@</p></div><div class="site-footer"><p>@</p></div>', "@"),
+        ('<div role="main"><p>Hi.</p></div><div class="COOKIE-notice x"><p>@</p></div>', "Hi."),
+    ],
+)
+def test_names_are_whole_names(spark, page, text):
+    long = "one paragraph with words enough " * 16
+    frame = _frame(spark, [(1, page.replace("@", long))], "page_id long, html string")
+    assert main_text.extract(frame).collect()[0].out.text == text.replace("@", long.strip())
 
 
 def test_context_trees_by_recursion():
