@@ -1,12 +1,13 @@
 """Scoring texts by context-tree weighting, beside a unigram base; the work around `ctw`.
 
-One pass over the corpus packs, per task, the distinct grams with their counts, the distinct
-words of each block of documents with theirs, and which words each document of the block has.
-Grams meet by their two latest context bytes, words by hash: a part gets one entry per task or
-block, however often a word or gram occurs, so frequent ones are no burden. Parts of grams
+One pass over the corpus packs blocks of documents: the distinct grams and words of each block with
+their counts in training texts, which words each document has, and the texts themselves. Grams
+meet by their two latest context bytes, words by hash: a part gets one entry per block,
+however often a word or gram occurs, so frequent ones are no burden. Parts of grams
 build the subtrees below them; what they hand up has one number per context byte and node.
-The finished table (gram, log-probability) is sent to the scoring pass in slices of a fixed
-size, each scored by a pass of its own where there is more than one.
+With the highest two levels known, each part answers every block with the log-probabilities of
+just the grams that the block has, and the block scores its documents by them. No task
+and not the driver ever holds the whole model.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ from pyspark.sql import functions as F
 from bookweir.llm import ctw, spans
 from bookweir.llm.work import begin, bounds, estimated_bytes, quoted, settle, utf8
 
-#: Distinct grams of a slice of the model: 12 bytes each are broadcast at once, no more.
-SLICE_GRAMS = 6 << 20
-#: Distinct grams a task holds before it sums them, and word entries of a block.
-HELD_GRAMS = 4 << 20
+#: Word entries and bytes of text of a block, about; a longer text is a block of its own.
 BLOCK_ENTRIES = 1 << 20
+BLOCK_BYTES = 12 << 20
+#: Distinct grams a block holds before it sums them.
+HELD_GRAMS = 2 << 20
 #: Compressed bytes of input per part.
 PART_BYTES = 32 << 20
-_PACKED = "part long, block long, a binary, b binary, c binary, d binary, x long, y long"
-_NAMES = ["part", "block", "a", "b", "c", "d", "x", "y"]
-_KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+_PACKED = "part long, block long, a binary, b binary, c binary, d binary, x long, y long, e binary, f binary"
+_NAMES = ["part", "block", "a", "b", "c", "d", "x", "y", "e", "f"]
+_KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64(), *[pa.binary()] * 2]
+_TEXTS = 1  # `y` of the row that holds a block's texts
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -48,7 +50,7 @@ def _whole(data: bytes, width: int) -> np.ndarray:
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(_NAMES)
+    columns = list(zip(*[r + (None,) * (len(_NAMES) - len(r)) for r in rows])) or [()] * len(_NAMES)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _KINDS)], names=_NAMES)
 
 
@@ -57,28 +59,37 @@ def _gram_part(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
     return (spans.mix(keys >> np.uint64(8 * (depth - 1)) << np.uint64(1) | np.uint64(1)) % np.uint64(parts)).astype(np.int64)
 
 
+def _by_part(keys: np.ndarray, depth: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of grams by part, and where each part ends in it."""
+    part = _gram_part(keys, depth, parts)
+    return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
+
+
 class _Task:
-    """What a task has read: grams in sums, word lists in blocks."""
+    """What a task has read and not yet packed into a block."""
 
     def __init__(self, depth: int, parts: int):
         self.depth, self.parts, self.serial = depth, parts, 0
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.clear()
 
     def clear(self) -> None:
         self.one, self.two, self.held_out, self.sizes = [], [], [], []
         self.words, self.times, self.entries = [], [], 0
+        self.grams, self.texts, self.lengths, self.bytes = [], [], [], 0
 
     def add(self, one: np.ndarray, two: np.ndarray, held_out: np.ndarray, texts: pa.Array) -> None:
         data, offsets = utf8(texts)
         data = spans.lower(data)
+        self.texts.append(data.tobytes())
+        self.lengths.append(np.diff(offsets))
+        self.bytes += len(data)
         keys, of = ctw.grams(data, offsets, self.depth)
         for some, weight in ((keys[~held_out[of]], 1), (keys[held_out[of]], 0)):
             ordered = np.sort(some)
             fresh = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(some) else np.zeros(0, np.int64)
             self.grams.append((ordered[fresh], np.diff(fresh, append=len(some)) * weight))
-        if sum(len(k) for k, _ in self.grams) > HELD_GRAMS:
-            self.sum_grams()
+        if len(self.grams) > 2 and sum(len(k) for k, _ in self.grams[1:]) > HELD_GRAMS:
+            self.grams = [self.summed_grams()]
         starts, ends, text = spans.word_spans(data, offsets)
         hashes = spans.span_hashes(data, starts, ends) >> np.uint64(8)
         order = np.lexsort((hashes, text))
@@ -93,9 +104,11 @@ class _Task:
             kept.append(more)
         self.entries += len(places)
 
-    def sum_grams(self) -> None:
-        if self.grams:
-            self.grams = [ctw.summed(*(np.concatenate(x) for x in zip(*self.grams)))]
+    def summed_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        return ctw.summed(*(np.concatenate(x) for x in zip(*self.grams)))
+
+    def full(self) -> bool:
+        return self.entries >= BLOCK_ENTRIES or self.bytes >= BLOCK_BYTES
 
     def block(self):
         """The words and lists of the documents gathered so far."""
@@ -105,7 +118,17 @@ class _Task:
         self.serial += 1
         words, times, sizes = np.concatenate(self.words), np.concatenate(self.times), np.concatenate(self.sizes)
         one, two, held_out = np.concatenate(self.one), np.concatenate(self.two), np.concatenate(self.held_out)
+        keys, counts = self.summed_grams()
+        text, lengths = b"".join(self.texts), np.concatenate(self.lengths)
         self.clear()
+        rows = [(-1 - block, block, pa.compress(text, codec="zstd", asbytes=True) if text else b"", _planes(lengths, 5), None, None, 0, _TEXTS)]
+        del text
+        order, ends = _by_part(keys, self.depth, self.parts)
+        lo, width = 0, self.depth + 1
+        for p, hi in enumerate(ends.tolist()):
+            if hi > lo:
+                rows.append((p, block, _planes(keys[order[lo:hi]], width), _planes(counts[order[lo:hi]], 4)))
+            lo = hi
         of = np.repeat(np.arange(len(sizes)), sizes)
         first, number = spans.distinct(words)
         known = words[first]
@@ -115,8 +138,7 @@ class _Task:
         order = np.argsort(part, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        ends = np.cumsum(np.bincount(part, minlength=self.parts))
-        rows, lo = [], 0
+        ends, lo = np.cumsum(np.bincount(part, minlength=self.parts)), 0
         for p, hi in enumerate(ends.tolist()):
             if hi > lo:
                 chosen = order[lo:hi]
@@ -129,26 +151,11 @@ class _Task:
         starts = np.cumsum(sizes) - sizes
         starts = starts[sizes > 0]
         steps[starts] = listed[starts]
-        keys = one.astype(np.int64).tobytes() + two.astype(np.int64).tobytes()
-        rows.append((-1 - block, block, keys, _planes(sizes, 4), _planes(steps, 4), _planes(times, 4), int((~held_out).sum()), 0))
+        idents = one.astype(np.int64).tobytes() + two.astype(np.int64).tobytes()
+        rows.append((-1 - block, block, idents, _planes(sizes, 4), _planes(steps, 4), _planes(times, 4), int((~held_out).sum()), 0))
         for at in range(0, len(rows), 64):
             yield _packed(rows[at : at + 64])
 
-    def all_grams(self):
-        self.sum_grams()
-        if not self.grams or not len(self.grams[0][0]):
-            return
-        keys, counts = self.grams[0]
-        part = _gram_part(keys, self.depth, self.parts)
-        order = np.argsort(part, kind="stable")
-        ends = np.cumsum(np.bincount(part, minlength=self.parts))
-        lo, width = 0, self.depth + 1
-        for p, hi in enumerate(ends.tolist()):
-            if hi > lo:
-                chosen = order[lo:hi]
-                yield _packed([(p, 0, _planes(keys[chosen], width), _planes(counts[chosen], 4), None, None, None, None)])
-            lo = hi
-
 
 def _gathered(depth: int, parts: int):
     def run(batches):
@@ -159,10 +166,9 @@ def _gathered(depth: int, parts: int):
             texts = pc.fill_null(batch.column(3), "")
             for lo, hi in bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
                 task.add(one[lo:hi], two[lo:hi], held_out[lo:hi], texts.slice(lo, hi - lo))
-                if task.entries >= BLOCK_ENTRIES:
+                if task.full():
                     yield from task.block()
         yield from task.block()
-        yield from task.all_grams()
 
     return run
 
@@ -172,13 +178,14 @@ def _met(depth: int, parts: int):
 
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        if part < 0:
-            return group
         rows = group.select(["block", "a", "b"]).to_pylist()
         out = []
         if part < parts:
-            keys, counts = (np.concatenate(x) for x in zip(*[(_whole(r["a"], depth + 1), _whole(r["b"], 4).astype(np.int64)) for r in rows]))
-            keys, counts = ctw.summed(keys, counts)
+            of_blocks = [_whole(r["a"], depth + 1) for r in rows]
+            keys, counts = ctw.summed(np.concatenate(of_blocks), np.concatenate([_whole(r["b"], 4).astype(np.int64) for r in rows]))
+            # Where each block's grams are among the part's, as steps; a block has them in the same order.
+            asked = b"".join(_planes(np.diff(np.searchsorted(keys, own), prepend=0), 4) for own in of_blocks)
+            blocks = np.array([[r["block"], len(own)] for r, own in zip(rows, of_blocks)], np.int64).tobytes()
             found, _ = ctw.levels(keys, counts.astype(float), depth, ctw.PARTED)
             top = found[-1]  # two bytes of context: what they hand up to one byte
             shorter = ctw.drop_oldest(top.keys, ctw.PARTED)
@@ -192,7 +199,7 @@ def _met(depth: int, parts: int):
                 sums.append(np.bincount(at, top.weighted[k]))
             handed = np.concatenate(nodes).astype(np.int64).tobytes(), np.concatenate(sums).tobytes()
             packed = np.concatenate([ones.astype(np.int64), tops.astype(np.int64)]).tobytes()
-            out.append((part, len(keys), _planes(keys, depth + 1), _planes(counts, 6), handed[0], handed[1], None, None))
+            out.append((part, len(keys), _planes(keys, depth + 1), _planes(counts, 6), handed[0], handed[1], None, None, asked, blocks))
             out.append((part, -1, packed, None, None, None, None, None))
         else:
             words = [_whole(r["a"], 7) for r in rows]
@@ -227,8 +234,8 @@ def _handed_up(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind)), pa.array(keys), pa.array(values)], names=["kind", "key", "value"])
 
 
-def _finished(depth: int, sent):
-    """Grams of a part with the log10 of their chance, mixed up to the root."""
+def _answered(depth: int, sent):
+    """For each block that has grams of a part, the log10 of their chances, mixed up to the root."""
 
     def run(batches):
         ones, counts, nodes, sums = sent.value
@@ -236,8 +243,7 @@ def _finished(depth: int, sent):
         up = np.searchsorted(zero.keys, ctw.drop_oldest(one.keys, 1))
         for batch in batches:
             for row in batch.to_pylist():
-                keys = _whole(row["a"], depth + 1)
-                found, places = ctw.levels(keys, _whole(row["b"], 6).astype(float), depth, ctw.PARTED)
+                found, places = ctw.levels(_whole(row["a"], depth + 1), _whole(row["b"], 6).astype(float), depth, ctw.PARTED)
                 chance = ctw.mixed_chances(found, places)
                 shorter = ctw.drop_oldest(found[-1].keys, ctw.PARTED)
                 place = np.searchsorted(one.keys, shorter)[places[-1]]
@@ -245,48 +251,50 @@ def _finished(depth: int, sent):
                     for k in range(8):
                         share = level.share[k][level.nodes[k][at]]
                         chance[k] = share * level.chance(k)[at] + (1 - share) * chance[k]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["part"]]),
-                        pa.array([len(keys)]),
-                        pa.array([keys.tobytes()], pa.binary()),
-                        pa.array([np.log10(chance).sum(axis=0).astype(np.float32).tobytes()], pa.binary()),
-                    ],
-                    names=["part", "n", "keys", "logs"],
-                )
-
-    return run
-
-
-def _scored(depth: int, sent):
-    def run(batches):
-        model, logs = sent.value
-        for batch in batches:
-            texts = pc.fill_null(batch.column(2), "")
-            for lo, hi in bounds(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
-                data, offsets = utf8(texts.slice(lo, hi - lo))
-                keys, of = ctw.grams(spans.lower(data), offsets, depth)
-                order = np.argsort(keys)
-                keys = keys[order]
-                fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
-                own = keys[fresh]
-                at = np.minimum(np.searchsorted(model, own), max(len(model) - 1, 0))
-                values = np.where(model[at] == own, logs[at], 0.0) if len(model) else np.zeros(len(own))
-                score = np.bincount(of[order], values[np.cumsum(fresh) - 1], minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score)], names=["one", "two", "score"]
-                )
+                logs = np.log10(chance).sum(axis=0).astype(np.float32)
+                out, at = [], 0
+                for block, n in np.frombuffer(row["f"], np.int64).reshape(-1, 2).tolist():
+                    asked = np.cumsum(_whole(row["e"][4 * at : 4 * (at + n)], 4).astype(np.int64))
+                    out.append((row["part"], block, logs[asked].tobytes()))
+                    at += n
+                    if len(out) == 64:
+                        yield _packed(out)
+                        out = []
+                yield _packed(out)
 
     return run
 
 
-def _based(parts: int):
-    """Per document of a block: words, known words and the sum of log10(count + 1)."""
+def _text_logs(texts: dict, answers: list[bytes], depth: int, parts: int) -> np.ndarray:
+    """The score of each text of a block, given the parts' answers on its grams in the order of the parts."""
+    lengths = _whole(texts["b"], 5).astype(np.int64)
+    data = np.frombuffer(pa.decompress(texts["a"], int(lengths.sum()), codec="zstd", asbytes=True) if texts["a"] else b"", np.uint8)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    runs = []
+    for lo, hi in bounds(lengths, 1 << 20):
+        keys, of = ctw.grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], depth)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        runs.append((lo, hi, ordered[fresh], (np.cumsum(fresh) - 1).astype(np.int32), of[order].astype(np.int32)))
+    keys = np.unique(np.concatenate([own for _, _, own, _, _ in runs]))
+    logs = np.empty(len(keys), np.float32)
+    logs[_by_part(keys, depth, parts)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in answers])
+    score = np.empty(len(lengths))
+    for lo, hi, own, number, of in runs:
+        values = logs[np.searchsorted(keys, own)].astype(float)
+        score[lo:hi] = np.bincount(of, values[number], minlength=hi - lo)
+    return score
+
+
+def _scored(depth: int, parts: int):
+    """Per document of a block: words, known words, the sum of log10(count + 1) and the score."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["part"])
-        listed = rows[0]
-        counts = [_whole(r["a"], 5).astype(np.int64) for r in rows[1:]]
+        texts, listed = sorted(rows[:2], key=lambda r: r["y"] != _TEXTS)
+        score = _text_logs(texts, [r["a"] for r in rows[2:] if r["part"] < parts], depth, parts)
+        counts = [_whole(r["a"], 5).astype(np.int64) for r in rows[2:] if r["part"] >= parts]
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         one, two = np.split(np.frombuffer(listed["a"], np.int64), 2)
         sizes = _whole(listed["b"], 4).astype(np.int64)
@@ -304,6 +312,7 @@ def _based(parts: int):
                 "n_words": pa.array(np.bincount(of, times, minlength=n).astype(np.int64)),
                 "known": pa.array(np.bincount(of, times * (c > 0), minlength=n).astype(np.int64)),
                 "logs": pa.array(np.bincount(of, times * np.log10(c + 1.0), minlength=n)),
+                "score": pa.array(score),
             }
         )
 
@@ -336,58 +345,34 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ident.alias("ident"),
     )
     parts = max(1, math.ceil(estimated_bytes(docs.select(ident, text)) / PART_BYTES))
-    packed = keyed.select("one", "two", "held_out", "text").mapInArrow(_gathered(depth, parts), _PACKED)
-    met = settle(packed.groupBy("part").applyInArrow(_met(depth, parts), _PACKED))
-    grams = met.filter((F.col("part") >= 0) & (F.col("part") < parts))
+    packed = settle(keyed.select("one", "two", "held_out", "text").mapInArrow(_gathered(depth, parts), _PACKED))
+    met = settle(packed.filter("part >= 0").groupBy("part").applyInArrow(_met(depth, parts), _PACKED))
+    grams = met.filter(F.col("part") < parts)
     # Sums per context byte and node: 256 x 256 of either kind at most.
     handed = grams.select("block", "a", "c", "d").mapInArrow(_handed_up, "kind long, key long, value double")
     tops = handed.groupBy("kind", "key").agg(F.sum("value").alias("value")).toPandas().sort_values("key")
     ones, nodes = tops[tops["kind"] == 1], tops[tops["kind"] == 0]
-    slices: list[list[int]] = []
+    blocks = packed.filter("part < 0").unionByName(met.filter((F.col("part") >= parts) & (F.col("block") >= 0)))
     if len(ones):
         sent = spark.sparkContext.broadcast([x[name].to_numpy() for x in (ones, nodes) for name in ("key", "value")])
-        model = settle(grams.filter("block >= 0").select("part", "a", "b").mapInArrow(_finished(depth, sent), "part long, n long, keys binary, logs binary"))
-        room = 0
-        for row in model.select("part", "n").orderBy("part").collect():  # one row per part
-            if not slices or row["n"] > room:
-                slices.append([])
-                room = SLICE_GRAMS
-            slices[-1].append(row["part"])
-            room -= row["n"]
-    scored = keyed.select("one", "two", F.lit(0.0).alias("score"))
-    if slices:
-        passes = []
-        for chosen in slices:
-            rows = model.filter(F.col("part").isin(chosen)).select("keys", "logs").collect()
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-            logs = np.concatenate([np.frombuffer(r["logs"], np.float32) for r in rows])
-            order = np.argsort(keys)
-            sent = spark.sparkContext.broadcast((keys[order], logs[order]))
-            passes.append(keyed.select("one", "two", "text").mapInArrow(_scored(depth, sent), "one long, two long, score double"))
-        scored = passes[0]
-        for more in passes[1:]:
-            scored = scored.union(more)
+        blocks = blocks.unionByName(grams.filter("block >= 0").select("part", "a", "b", "e", "f").mapInArrow(_answered(depth, sent), _PACKED))
+    result = "one long, two long, n_words long, known long, logs double, score double"
     # Rows that repeat one another have one score.
-    if len(slices) > 1:
-        scored = scored.groupBy("one", "two", F.lit(0)).agg((F.sum("score") / (F.count("*") / len(slices))).alias("score"))
-    scored = scored.dropDuplicates(["one", "two"])
-    blocks = met.filter((F.col("part") < 0) | (F.col("part") >= parts) & (F.col("block") >= 0))
-    based = blocks.groupBy("block").applyInArrow(_based(parts), "one long, two long, n_words long, known long, logs double")
-    based = based.dropDuplicates(["one", "two"])
+    scored = blocks.groupBy("block").applyInArrow(_scored(depth, parts), result).dropDuplicates(["one", "two"])
+    texts = packed.filter("part < 0").agg(F.coalesce(F.sum("x"), F.lit(0)).alias("texts")).collect()[0]["texts"]
     sums = met.agg(
-        F.coalesce(F.sum(F.when(F.col("part") < 0, F.col("x"))), F.lit(0)).alias("texts"),
         F.coalesce(F.sum(F.when(F.col("block") == -2, F.col("x"))), F.lit(0)).alias("kinds"),
         F.coalesce(F.sum(F.when(F.col("block") == -2, F.col("y"))), F.lit(0)).alias("words"),
     ).collect()[0]
-    n_train, n_kinds = sums["texts"] + sums["words"], sums["kinds"] + (sums["texts"] > 0)
+    n_train, n_kinds = texts + sums["words"], sums["kinds"] + (texts > 0)
     n_tokens = F.col("n_words") + 1
-    base = F.col("logs") + math.log10(sums["texts"] + 1) - n_tokens * math.log10(n_train + n_kinds + 1)
+    base = F.col("logs") + math.log10(texts + 1) - n_tokens * math.log10(n_train + n_kinds + 1)
     rows = keyed.select("one", "two", "held_out", F.col("ident").alias(id_col))
-    return rows.join(based.join(scored, ["one", "two"]), ["one", "two"]).select(
+    return rows.join(scored, ["one", "two"]).select(
         id_col,
         "held_out",
         n_tokens.alias("n_tokens"),
-        (F.col("known") + int(sums["texts"] > 0)).alias("n_known"),
+        (F.col("known") + int(texts > 0)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         "score",

@@ -302,7 +302,8 @@ def test_context_trees_by_recursion():
 def test_text_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "PART_BYTES", 3_000)
     monkeypatch.setattr(lm, "BLOCK_ENTRIES", 50)
-    monkeypatch.setattr(lm, "SLICE_GRAMS", 300)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(lm, "HELD_GRAMS", 100)
     rng = random.Random(9)
     rows = [(k, " ".join(rng.choices(["The", "cat", "été", "sat", "on\n", f"n{k}"], k=rng.randint(0, 9)))) for k in range(60)]
     rows += [(100, None), (101, ""), (None, "the cat"), (5, rows[5][1])]
