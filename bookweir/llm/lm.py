@@ -26,11 +26,11 @@ from bookweir.llm.work import begin, bounds, estimated_bytes, quoted, settle, ut
 
 #: Word entries and bytes of text of a block, about; a longer text is a block of its own.
 BLOCK_ENTRIES = 1 << 20
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Distinct grams a block holds before it sums them.
 HELD_GRAMS = 2 << 20
 #: Compressed bytes of input per part.
-PART_BYTES = 32 << 20
+PART_BYTES = 10 << 20
 _PACKED = "part long, block long, a binary, b binary, c binary, d binary, x long, y long, e binary, f binary"
 _NAMES = ["part", "block", "a", "b", "c", "d", "x", "y", "e", "f"]
 _KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64(), *[pa.binary()] * 2]
@@ -59,10 +59,12 @@ def _gram_part(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
     return (spans.mix(keys >> np.uint64(8 * (depth - 1)) << np.uint64(1) | np.uint64(1)) % np.uint64(parts)).astype(np.int64)
 
 
-def _by_part(keys: np.ndarray, depth: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of grams by part, and where each part ends in it."""
-    part = _gram_part(keys, depth, parts)
-    return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
+def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The order by part, and the places of each part that is met."""
+    order = np.argsort(part, kind="stable")
+    ordered = part[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(part) else np.zeros(0, np.int64)
+    return order, list(zip(ordered[starts].tolist(), np.split(order, starts[1:])))
 
 
 class _Task:
@@ -123,27 +125,20 @@ class _Task:
         self.clear()
         rows = [(-1 - block, block, pa.compress(text, codec="zstd", asbytes=True) if text else b"", _planes(lengths, 5), None, None, 0, _TEXTS)]
         del text
-        order, ends = _by_part(keys, self.depth, self.parts)
-        lo, width = 0, self.depth + 1
-        for p, hi in enumerate(ends.tolist()):
-            if hi > lo:
-                rows.append((p, block, _planes(keys[order[lo:hi]], width), _planes(counts[order[lo:hi]], 4)))
-            lo = hi
+        for p, chosen in _by_part(_gram_part(keys, self.depth, self.parts))[1]:
+            rows.append((p, block, _planes(keys[chosen], self.depth + 1), _planes(counts[chosen], 4)))
+        del keys, counts
         of = np.repeat(np.arange(len(sizes)), sizes)
         first, number = spans.distinct(words)
         known = words[first]
         train = np.bincount(number, times * ~held_out[of], minlength=len(known)).astype(np.int64)
         # Words are numbered in the order in which the parts will answer.
         part = (known % np.uint64(self.parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order, met = _by_part(part)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        ends, lo = np.cumsum(np.bincount(part, minlength=self.parts)), 0
-        for p, hi in enumerate(ends.tolist()):
-            if hi > lo:
-                chosen = order[lo:hi]
-                rows.append((self.parts + p, block, _planes(known[chosen], 7), _planes(train[chosen], 4), None, None, None, None))
-            lo = hi
+        for p, chosen in met:
+            rows.append((self.parts + p, block, _planes(known[chosen], 7), _planes(train[chosen], 4)))
         listed = place[number]
         by_text = np.lexsort((listed, of))
         listed, times = listed[by_text], times[by_text]
@@ -178,14 +173,18 @@ def _met(depth: int, parts: int):
 
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        rows = group.select(["block", "a", "b"]).to_pylist()
         out = []
         if part < parts:
-            of_blocks = [_whole(r["a"], depth + 1) for r in rows]
-            keys, counts = ctw.summed(np.concatenate(of_blocks), np.concatenate([_whole(r["b"], 4).astype(np.int64) for r in rows]))
+            # Read from the table's own memory, and a block's grams twice: a part may be large.
+            of_blocks, times = ([x.as_buffer() for x in group.column(name)] for name in ("a", "b"))
+            keys, counts = ctw.summed(
+                np.concatenate([_whole(x, depth + 1) for x in of_blocks]),
+                np.concatenate([_whole(x, 4).astype(np.int64) for x in times]),
+            )
             # Where each block's grams are among the part's, as steps; a block has them in the same order.
-            asked = b"".join(_planes(np.diff(np.searchsorted(keys, own), prepend=0), 4) for own in of_blocks)
-            blocks = np.array([[r["block"], len(own)] for r, own in zip(rows, of_blocks)], np.int64).tobytes()
+            asked = b"".join(_planes(np.diff(np.searchsorted(keys, _whole(x, depth + 1)), prepend=0), 4) for x in of_blocks)
+            sizes = [len(x) // (depth + 1) for x in of_blocks]
+            blocks = np.stack([group.column("block").to_numpy(), sizes], axis=1).astype(np.int64).tobytes()
             found, _ = ctw.levels(keys, counts.astype(float), depth, ctw.PARTED)
             top = found[-1]  # two bytes of context: what they hand up to one byte
             shorter = ctw.drop_oldest(top.keys, ctw.PARTED)
@@ -202,6 +201,7 @@ def _met(depth: int, parts: int):
             out.append((part, len(keys), _planes(keys, depth + 1), _planes(counts, 6), handed[0], handed[1], None, None, asked, blocks))
             out.append((part, -1, packed, None, None, None, None, None))
         else:
+            rows = group.select(["block", "a", "b"]).to_pylist()
             words = [_whole(r["a"], 7) for r in rows]
             counts = np.concatenate([_whole(r["b"], 4).astype(np.int64) for r in rows])
             _, number = spans.distinct(np.concatenate(words))
@@ -279,7 +279,7 @@ def _text_logs(texts: dict, answers: list[bytes], depth: int, parts: int) -> np.
         runs.append((lo, hi, ordered[fresh], (np.cumsum(fresh) - 1).astype(np.int32), of[order].astype(np.int32)))
     keys = np.unique(np.concatenate([own for _, _, own, _, _ in runs]))
     logs = np.empty(len(keys), np.float32)
-    logs[_by_part(keys, depth, parts)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in answers])
+    logs[_by_part(_gram_part(keys, depth, parts))[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in answers])
     score = np.empty(len(lengths))
     for lo, hi, own, number, of in runs:
         values = logs[np.searchsorted(keys, own)].astype(float)
