@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
@@ -57,6 +58,12 @@ _SPAN_ARROW = pa.struct(
     + [pa.field("start", pa.int32()), pa.field("stop", pa.int32())]
 )
 _FLUSH_CHARS = 8_000_000
+# Tags as most pages write them, which one match reads: names of letters and digits, values in double quotes, no
+# references in them. Any other tag goes the way of the standard library.
+_PLAIN_START = re.compile(r"""<([a-zA-Z][a-zA-Z0-9]*)((?:[ \n][a-zA-Z][a-zA-Z0-9:_-]*="[^"&]*")*)/?>""")
+_PLAIN_ATTRS = re.compile(r"""([a-zA-Z][a-zA-Z0-9:_-]*)="([^"]*)\"""")
+_RAW = frozenset((*HTMLParser.CDATA_CONTENT_ELEMENTS, *getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ()), "plaintext"))
+_PLAIN_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())  # what str.strip takes away
 
 
@@ -81,6 +88,20 @@ class _Elements(HTMLParser):
         self._children: list[list] = [[0, None, None]]
         self.rows: list[dict] = []
 
+    def parse_starttag(self, i):
+        plain = _PLAIN_START.match(self.rawdata, i)
+        if plain is None or (tag := plain[1].lower()) in _RAW:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, [(name.lower(), value) for name, value in _PLAIN_ATTRS.findall(plain[2])] if plain[2] else ())
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if plain is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_PARAGRAPH and self._open_tags["p"]:
             self._end_open({"p"}, PARAGRAPH_SCOPE)

@@ -37,11 +37,17 @@ def scrape_batch(requests: DataFrame, fetches: DataFrame) -> tuple[DataFrame, Da
 
     `fetches` names the task it belongs to by request_id and pos, so a URL that
     was asked for many times never meets its copies. Tasks meet results after
-    extraction, when a row is small. A task without a fetch has a null status.
+    extraction, when a row is small. A fetch of a rejected task is no result, so only those of accepted
+    ones are extracted; told by their two key columns, before pages that `fetches` joins meet them.
+    A task without a fetch has a null status.
     Any other column that both have keeps its name in the results and is `task_...` of the task.
     """
     accepted, rejected = validate_requests(expand_requests(requests))
-    results = scrape_results(fetches).drop("source", "url")
+    # Null-safe, so that the optimizer adds no filter of its own and both joins read the tasks that are shuffled once.
+    keys = accepted.select(F.col("request_id").alias("_request_id"), F.col("pos").alias("_pos"))
+    same = F.col("request_id").eqNullSafe(F.col("_request_id")) & F.col("pos").eqNullSafe(F.col("_pos"))
+    wanted = fetches.join(keys, same, "left_semi")
+    results = scrape_results(wanted).drop("source", "url")
     clashing = (set(accepted.columns) & set(results.columns)) - {"request_id", "pos"}
     accepted = accepted.withColumnsRenamed({name: f"task_{name}" for name in clashing})
     return accepted.join(results, ["request_id", "pos"], "left"), rejected

@@ -354,3 +354,36 @@ def test_combinators_and_places(spark, css, names):
     found = html.select_pages(_pages(spark, text), css)
     got = [r.attrs["id"] for r in found.collect()]
     assert " ".join(got) == names
+
+
+def test_plain_tags_are_read_by_one_match_as_the_library_reads_them(monkeypatch):
+    from html.parser import HTMLParser
+
+    pages = [
+        '<HTML><body class="A b"\n ID="x" id="y"><p>a<br/>b<P title="1 > 0">c</p ></Body>',
+        '<script type="x">if (a<b) "</p>"</script><style>p</style><title>a &amp; b</title><textarea><b>x</b></textarea>',
+        "<a href='1' b c=d e = \"f\">x</a><a href=\"?a&amp;b\">y</a><a\tx=\"1\">z<a x=\"1\"y=\"2\"><my-tag a=\"\"/></my-tag></>",
+        '<div a="1"<p>t</p><div a="unclosed><p></div', '<p x="<b>" y="/">\x00</p\n><x:y z:a="1"></x:y><script/>a<b>c', "</p><3 < & <!-- <p> --><![if x]><?p?><!doctype html>",
+    ]
+    library = []
+    for page in pages:
+        with monkeypatch.context() as patched:
+            for name in ("parse_starttag", "parse_endtag"):
+                patched.delattr(dom._Elements, name, raising=False)
+            library.append(dom._elements(page, lambda tag, attrs: True))
+    assert [dom._elements(page, lambda tag, attrs: True) for page in pages] == library
+    asked, way = [], HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: asked.append(i) or way(self, i))
+    dom._elements('<div class="a b"><p>x</p><img src="/y" alt=""/></div>', lambda tag, attrs: True)
+    assert asked == []
+
+
+def test_fetches_of_rejected_or_unknown_tasks_are_no_results(spark):
+    requests = spark.createDataFrame([(1, ["https://h/1", "oops"], "amazon", 5), (None, ["https://h/2"], "amazon", 5)], "request_id int, urls array<string>, source string, priority int")
+    page = ("https://h/1", "amazon", 200, None, "<title>T</title>")
+    rows = [(1, 0, 1, *page), (1, 0, 2, *page), (1, 1, 3, *page), (9, 0, 4, *page), (None, 0, 5, *page)]
+    fetches = spark.createDataFrame(rows, "request_id int, pos int, page_id int, url string, source string, http_status int, exception_class string, html string")
+    results, rejected = scrape_batch(requests, fetches)
+    got = sorted(((r.request_id, r.pos, r.page_id, r.status) for r in results.collect()), key=str)
+    assert got == [(1, 0, 1, "success"), (1, 0, 2, "success"), (None, 0, None, None)]
+    assert rejected.count() == 1

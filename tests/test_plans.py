@@ -66,3 +66,11 @@ def test_levels_share_one_scan(spark, folder, name):
     df.collect()
     final = _plan(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 2
+
+
+def test_fetches_of_rejected_tasks_are_told_before_pages_are_read(spark, folder):
+    """By narrow rows, below the join that brings the pages and below the step that reads them."""
+    found = entry.queries()["scrape_batch"](spark, folder)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = {name: next(i for i, line in enumerate(lines) if name in line) for name in ("MapInArrow", "Join Inner", "Join LeftSemi")}
+    assert at["MapInArrow"] < at["Join Inner"] < at["Join LeftSemi"]
