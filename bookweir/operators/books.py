@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from bookweir.functions.arrays import attribute, hold, let, struct
 from bookweir.functions.urls import http_url, resolved
 from bookweir.operators.dom import shred
 from bookweir.operators.html import METADATA_KEEP, STRUCTURED_KEEP, with_metadata, with_structured_items
-from bookweir.operators.links import key_groups
+from bookweir.operators.links import key_groups, stored
 from bookweir.schemas import BOOK, METADATA, SOURCES
+from bookweir.session import use_checkpoint_dir
 
 # The selector rules and limits for pages without structured data.
 AUTHOR_CSS = '[class*="author"], [class*="Author"], .author, .Author'
@@ -321,7 +324,9 @@ def consolidate_linked(found: DataFrame) -> DataFrame:
     A copy known by URL meets one known by ISBN by way of a third that has both. The least
     of the keys so tied names the book. Rows meet the tied keys by their own first key, in a
     join that may be split where one key is hot; `consolidate` then combines before it shuffles.
+    The rows are written first, since both their keys and their fields are asked for: pages are read once.
     """
+    found = stored(found, f"{use_checkpoint_dir(found.sparkSession)}/bookweir-linked-{uuid.uuid4().hex}", "books")
     own = found.withColumn("_key", F.array_min(book_keys()))
     tied = key_groups(found, book_keys()).select(F.col("key").alias("_key"), F.col("leader").alias("_leader"))
     page = F.struct(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("value"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from bookweir.session import use_checkpoint_dir
 
 
-def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows written to a shared folder and read from there."""
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -28,18 +29,18 @@ def key_groups(rows: DataFrame, keys: Column) -> DataFrame:
     folder = f"{use_checkpoint_dir(rows.sparkSession)}/bookweir-groups-{uuid.uuid4().hex}"
     held = rows.select(F.array_sort(F.array_distinct(F.array_compact(keys))).alias("keys")).filter(F.size("keys") > 1)
     one_way = held.select(F.get("keys", F.lit(0)).alias("key"), F.explode(F.slice("keys", 2, F.size("keys"))).alias("other"))
-    ties = _stored(
+    ties = stored(
         one_way.select(F.inline(F.array(F.struct("key", "other"), F.struct(F.col("other").alias("key"), F.col("key").alias("other"))))).distinct(),
         folder,
         "ties",
     )
-    leaders = _stored(ties.groupBy("key").agg(F.least("key", F.min("other")).alias("leader")), folder, "round=0")
+    leaders = stored(ties.groupBy("key").agg(F.least("key", F.min("other")).alias("leader")), folder, "round=0")
     for n in range(1, 1_000):
         of_others = ties.join(leaders.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("leader").alias("near"))
         closer = leaders.join(of_others, "key").select("key", F.col("leader").alias("was"), F.least("leader", "near").alias("leader"))
         jumps = leaders.select(F.col("key").alias("leader"), F.col("leader").alias("further"))
         after = closer.join(jumps, "leader", "left").select("key", "was", F.least("leader", "further").alias("leader"))
-        after = _stored(after, folder, f"round={n}")
+        after = stored(after, folder, f"round={n}")
         leaders = after.select("key", "leader")
         if after.filter(F.col("was") != F.col("leader")).isEmpty():
             return leaders

@@ -74,3 +74,8 @@ def test_fetches_of_rejected_tasks_are_told_before_pages_are_read(spark, folder)
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = {name: next(i for i, line in enumerate(lines) if name in line) for name in ("MapInArrow", "Join Inner", "Join LeftSemi")}
     assert at["MapInArrow"] < at["Join Inner"] < at["Join LeftSemi"]
+
+
+def test_books_tied_by_several_keys_read_each_page_once(spark, folder):
+    plan = _plan(entry.queries()["book_consolidate_linked"](spark, folder))
+    assert "MapInArrow" not in plan
