@@ -17,7 +17,6 @@ counts of words remembered.
 
 from __future__ import annotations
 
-import json
 import re
 from functools import partial
 
@@ -39,36 +38,13 @@ CACHE = 300_000
 _TAIL = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?#$%&*]+)", re.DOTALL)
 
 
-# The steps of a file under which words between ASCII white space are independent, only
-# ASCII letters of an ASCII word change, and marks at its end are a pre-token of their own.
-_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_BY_WORD = [
-    {
-        "type": "Sequence",
-        "normalizers": [
-            {"type": "NFC"},
-            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
-            {"type": "Lowercase"},
-        ],
-    },
-    {
-        "type": "Sequence",
-        "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
-            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-        ],
-    },
-]
-
-
 class Counter:
     """Tokens of words without white space, as the tokenizer gives them, remembered."""
 
     def __init__(self, path: str):
         self.model = Model(path)
         self.tokenizer = self.model.tokenizer
-        steps = json.loads(self.tokenizer.to_str())
-        self.by_word = [steps["normalizer"], steps["pre_tokenizer"]] == _BY_WORD and steps["model"]["type"] == "BPE"
+        self.by_word = self.model.by_word
         self.cache: dict[bytes, int] = {}
 
     def counts(self, words: list[bytes]) -> np.ndarray:

@@ -22,12 +22,18 @@ Agreement is proof, where it is taken at a place of one of two kinds:
 The normal form must be one that works from left to right and, as the table of safe characters
 has it, NFC or none; pre-tokens must be matches of a pattern without look-behind whose
 letters, numbers and other marks form runs. That holds for lower-cased word BPE files.
+
+Where the file's own steps show that words between white space are independent, a leaf is encoded word
+by word. The library encodes the words not met before; ids of words are remembered. Places of tokens are asked
+of the library for the words next to a cut only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import unicodedata
 from functools import partial
 
@@ -45,11 +51,42 @@ LEAF = 4096
 #: Characters of a part: longer texts are encoded by several tasks, part by part.
 PART = 1 << 15
 #: Tokens at either edge of a part whose places go with it.
-EDGE = 256
+EDGE = 64
 #: Characters of the first window on either side of a cut.
 WINDOW = 48
 # Bytes of texts that a worker encodes at a time.
 _BATCH = 1 << 20
+# Words whose ids a worker remembers, and the longest one.
+WORDS = 1_000_000
+_LONGEST = 64
+# Words that the library is given in one text.
+_JOINED = 256
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Marks at the end of a word that begin a pre-token of their own after an ASCII letter or digit.
+_MARKS = b".,;:!?#$%&*"
+_ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+# The steps of a file under which words between ASCII white space are independent, only
+# ASCII letters of an ASCII word change, and marks at its end are a pre-token of their own.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BY_WORD = [
+    {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 
 
 class Model:
@@ -67,14 +104,111 @@ class Model:
         special = [str(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
         #: How far a place must be from a cut for no special string to reach from one to the other.
         self.margin = max([4, *map(len, special)]) + 1
+        steps = json.loads(self.tokenizer.to_str())
+        #: Whether a word's tokens depend on nothing beyond the white space around it.
+        self.by_word = [steps["normalizer"], steps["pre_tokenizer"]] == BY_WORD and steps["model"]["type"] == "BPE" and all(
+            "<" in t.content and not (_WORD.sub("", t.content) or t.lstrip or t.rstrip or t.single_word or t.normalized)
+            for t in self.tokenizer.get_added_tokens_decoder().values()
+        )
+        # The last token of a pre-token is one of these.
+        suffix = steps["model"].get("end_of_word_suffix")
+        self._last = np.array([bool(suffix) and t.endswith(suffix) for t in self.tokens], bool)
+        self._words: dict[bytes, bytes] = {}
+        self._places: dict[str, tuple] = {}
+
+    def word_ids(self, texts: list[str]) -> list[list[bytes]]:
+        """Per text the ids of each word between ASCII white space, as 32-bit integers."""
+        said = [t.encode().split() for t in texts]
+        found = [list(map(self._words.get, words)) for words in said]
+        fresh = {w for words, ids in zip(said, found) for w, i in zip(words, ids) if i is None}
+        encoded = self._encoded(fresh)
+        for words, ids in zip(said, found):
+            for k in [k for k, i in enumerate(ids) if i is None]:
+                ids[k] = encoded[words[k]]
+        if len(self._words) > WORDS:
+            self._words.clear()
+        self._words.update((w, ids) for w, ids in encoded.items() if len(w) <= _LONGEST)
+        return found
+
+    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. Those of ASCII are encoded in small letters, and marks at the end for themselves."""
+        known, out, open_words, new = self._words, {}, [], set()
+        for word in words:
+            core, tail = word, b""
+            if b"<" not in word:  # else it may hold a special string
+                bare = word.rstrip(_MARKS)
+                if bare is not word and bare and bare[-1] in _ALNUM:
+                    core, tail = bare, word[len(bare) :]
+                if core.isascii():  # small letters of other words may join with marks that capitals don't join
+                    core = core.lower()
+            first, second = known.get(core), known.get(tail) if tail else b""
+            if first is not None and second is not None:
+                out[word] = first + second
+                continue
+            open_words.append((word, core, tail))
+            if first is None:
+                new.add(core)
+            if second is None:
+                new.add(tail)
+        found = self._fresh(new)
+        for word, core, tail in open_words:
+            ids = found[core] if core in found else known[core]
+            out[word] = ids + (found[tail] if tail in found else known[tail]) if tail else ids
+        out.update(found)
+        return out
+
+    def _fresh(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words as the library gives them, those of letters many at a time."""
+        found = {}
+        # A word has one pre-token at least; a text of letters and blanks that has as many as words has one for each.
+        letters = [w for w in words if w.decode().isalpha()]
+        others = [w for w in words if not w.decode().isalpha()]
+        for lo in range(0, len(letters), 64 * _JOINED):
+            some = [letters[k : k + _JOINED] for k in range(lo, min(lo + 64 * _JOINED, len(letters)), _JOINED)]
+            for own, encoded in zip(some, self._fast([b" ".join(x).decode() for x in some])):
+                ids = np.array(encoded.ids, "<u4")
+                ends = 4 * (np.flatnonzero(self._last[ids]) + 1)
+                if len(ends) != len(own) or ends[-1] != 4 * len(ids):
+                    others += own
+                    continue
+                data, start = ids.tobytes(), 0
+                for word, end in zip(own, ends.tolist()):
+                    found[word] = data[start:end]
+                    start = end
+        for lo in range(0, len(others), 10_000):
+            some = others[lo : lo + 10_000]
+            found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self._fast([w.decode() for w in some])))
+        return found
+
+    def places(self, word: str) -> tuple[list[tuple[int, int]], list[bool]]:
+        """Spans of the tokens of a word, and whether each starts a pre-token."""
+        if word in self._places:
+            return self._places[word]
+        tokens = Lazy(self.encodings([word])[0], 0)
+        found = [tokens.span(k) for k in range(tokens.n)], [tokens.starts_word(k) for k in range(tokens.n)]
+        if len(word) <= _LONGEST:
+            if len(self._places) >= WORDS // 20:
+                self._places.clear()
+            self._places[word] = found
+        return found
+
+    def _fast(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.int64) for e in found]
+        if self.by_word:
+            return [np.frombuffer(b"".join(words), "<u4").astype(np.int64) for words in self.word_ids(texts)]
+        return [np.array(e.ids, np.int64) for e in self._fast(texts)]
 
     def encodings(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
+    def leaves(self, texts: list[str], bases: list[int]) -> list:
+        """The tokens of each text, which stands at its base in a longer one."""
+        if self.by_word:
+            return [Worded(self, t, words, base) for t, words, base in zip(texts, self.word_ids(texts), bases)]
+        return [Lazy(e, base) for e, base in zip(self.encodings(texts), bases)]
+
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes ids, special tokens included; without a decoder that joins tokens by blanks."""
         if self.tokenizer.decoder is not None:
@@ -125,6 +259,57 @@ class Lazy:
         return int(self.ids()[k])
 
 
+class Worded:
+    """Tokens of text[base:] word by word: ids at once, places for the words that are asked for."""
+
+    def __init__(self, model: Model, text: str, words: list[bytes], base: int):
+        self._model, self._text, self.base = model, text, base
+        self._ids = np.frombuffer(b"".join(words), "<u4").astype(np.int64)
+        self.n = len(self._ids)
+        self._first = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) // 4, out=self._first[1:])
+        self._near: dict[bool, list[tuple[int, str]]] = {False: [], True: []}
+        self._asked: dict[int, tuple] = {}
+
+    def _word(self, w: int) -> tuple[int, str]:
+        """Start of a word and the word, read from the nearer end of the text as far as asked."""
+        of, text = len(self._first) - 1, self._text
+        from_end = 2 * w >= of
+        need, size = of - w if from_end else w + 1, 256
+        near = self._near[from_end]
+        while len(near) < need:
+            lo, hi = (max(0, len(text) - size), len(text)) if from_end else (0, min(size, len(text)))
+            near = [(m.start(), m[0]) for m in _WORD.finditer(text, lo, hi)]
+            if from_end and lo:  # what touches the place where the reading began or stopped may go on there
+                near = near[1:] if near and near[0][0] == lo else near
+            elif not from_end and hi < len(text):
+                near = near[:-1] if near and near[-1][0] + len(near[-1][1]) == hi else near
+            size *= 4
+        self._near[from_end] = near
+        return near[-need] if from_end else near[w]
+
+    def _at(self, k: int) -> tuple[int, int, bool]:
+        w = int(np.searchsorted(self._first, k, side="right")) - 1
+        if w not in self._asked:
+            start, word = self._word(w)
+            self._asked[w] = start + self.base, *self._model.places(word)
+        at, spans, firsts = self._asked[w]
+        j = k - int(self._first[w])
+        return spans[j][0] + at, spans[j][1] + at, firsts[j]
+
+    def span(self, k: int) -> tuple[int, int]:
+        return self._at(k)[:2]
+
+    def starts_word(self, k: int) -> bool:
+        return self._at(k)[2]
+
+    def ids(self) -> np.ndarray:
+        return self._ids
+
+    def id(self, k: int) -> int:
+        return int(self._ids[k])
+
+
 class Listed:
     """Tokens of a part that another task encoded: all ids, and the spans of those near its edges.
 
@@ -308,12 +493,12 @@ def _cuts(length: int, most: int) -> list[tuple[int, int]]:
 def ropes(model: Model, texts: list[str], leaf: int = LEAF) -> list[Rope]:
     """Each text's tokens by tree concatenation; all leaves are encoded in one go."""
     cuts = [_cuts(len(t), leaf) for t in texts]
-    encoded = iter(model.encodings([t[a:b] for t, own in zip(texts, cuts) for a, b in own]))
+    leaves = iter(model.leaves([t[a:b] for t, own in zip(texts, cuts) for a, b in own], [a for own in cuts for a, _ in own]))
     forests = []
     for own in cuts:
         forest = []
         for a, b in own:
-            tokens = Lazy(next(encoded), a)
+            tokens = next(leaves)
             forest.append(Rope(a, b, [(tokens, 0, tokens.n)]))
         forests.append(forest)
     return concatenated(model, texts, forests)

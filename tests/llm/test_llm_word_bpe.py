@@ -70,6 +70,32 @@ def test_a_window_widens_until_both_sides_agree(model, library, monkeypatch):
     assert word_bpe.encode(model, [text], 40)[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_met_before_are_not_encoded_again(library, monkeypatch):
+    """A leaf is encoded word by word; the library gets new words, and the places of those next to a cut."""
+    model = word_bpe.Model(PATH)
+    assert model.by_word
+    given, fast, places = [], model._fast, model.encodings
+    monkeypatch.setattr(model, "_fast", lambda texts: given.extend(texts) or fast(texts))
+    monkeypatch.setattr(model, "encodings", lambda texts: given.extend(texts) or places(texts))
+    words = ["Letter", "letter,", "J\u030cx", "j\u030cx", "\u01f0x", "we'LL!", "a\u00a0b", "\u00a0", "\u0130st", "\u00c9t\u00e9.", "x<|endoftext|>Y", "<|ENDOFTEXT|>", "3\u00bd", "\u03a3\u03a3.", "#a#"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=n)) + "\t\n" for n in (1, 50, 3000)]
+    for _ in range(2):
+        got = word_bpe.encode(model, texts, 4096)
+        assert [x.tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sum(map(len, given)) < 0.1 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("kept", [1, 7, 1000])
+def test_a_full_cache_of_words_changes_nothing(library, monkeypatch, kept):
+    monkeypatch.setattr(word_bpe, "WORDS", kept)
+    model, texts = word_bpe.Model(PATH), [*_texts(8, 60, 200), "x" * 500, "long " * 99 + "y" * 99]
+    for lo in range(0, len(texts), 10):
+        some = texts[lo : lo + 10]
+        want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert [x.tolist() for x in word_bpe.encode(model, some, 40)] == want
+
+
 def _expected(library, text):
     found = library.encode(text or "", add_special_tokens=False).ids
     back = library.decode(found, skip_special_tokens=False)
